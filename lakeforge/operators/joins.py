@@ -1,0 +1,25 @@
+"""Join helpers: broadcast only behind a proven size bound.
+
+``broadcast_if_small`` runs a bounded job (``limit(max_rows + 1).count()``) that
+stops reading once the bound is exceeded; only a side proven to hold at most
+``max_rows`` rows gets the broadcast hint.  Otherwise the join is left to the
+planner: a shuffled sort-merge join, with AQE converting it to a broadcast at
+run time if the real size turns out small, and splitting skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it is proven small, else ``df`` unchanged."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df

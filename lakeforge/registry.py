@@ -57,3 +57,206 @@ def filter_distinct_sort(spark, sf_dir):
         [Q.not_equal("o_orderstatus", "F"), Q.greater_than("o_orderdate", "1997-01-01")],
         ["o_totalprice"],
     )
+
+
+@register("top_k", """
+SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20
+""")
+def top_k(spark, sf_dir):
+    """A5: the top 20 orders by total price (key as tiebreak); a top-k report."""
+    orders = table(spark, sf_dir, "orders")
+    return Q.top_k(orders, 20, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
+
+
+@register("not_in_filter", """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity
+FROM lineitem WHERE l_returnflag NOT IN ('R', 'A')
+""")
+def not_in_filter(spark, sf_dir):
+    """P5: NOT IN list filter, pushed into the parquet scan."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.where(Q.not_in("l_returnflag", ["R", "A"])).select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+
+
+@register("drop_columns", """
+SELECT c_custkey, c_name, c_nationkey FROM customer
+""")
+def drop_columns(spark, sf_dir):
+    """Drop excluded columns by name (the empty name is ignored)."""
+    return Q.drop_columns(table(spark, sf_dir, "customer"), ["", "c_acctbal", "c_mktsegment"])
+
+
+# --------------------------------------------------------------------------- paths and clock
+
+_PATH_SQL = """concat('/mnt/', CASE WHEN event_type = 'error' THEN 'quarantine9/' ELSE 'landing/' END,
+               strftime(ts, '%Y/%m/%d'), '/P_', lpad(CAST(user_id AS VARCHAR), 5, '0'), '_',
+               event_type, '_', CAST(event_id AS VARCHAR), '.csv')"""
+
+
+def _event_paths(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    root = F.when(F.col("event_type") == "error", "quarantine9/").otherwise("landing/")
+    path = F.concat(F.lit("/mnt/"), root, F.date_format("ts", "yyyy/MM/dd"), F.lit("/P_"),
+                    F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit("_"), F.col("event_type"),
+                    F.lit("_"), F.col("event_id").cast("string"), F.lit(".csv"))
+    return ev.select("event_id", path.alias("path"))
+
+
+@register("path_parts", f"""
+SELECT event_id, path,
+       regexp_replace(path, '.*[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}/', '', 'g') AS file_name,
+       substr(regexp_replace(path, 'P_[0-9]{{5}}|[^0-9]', '', 'g'), 1, 8) AS file_date,
+       substr(substr(regexp_replace(path, 'P_[0-9]{{5}}|[^0-9]', '', 'g'), 1, 8), 1, 4) AS file_year,
+       substr(substr(regexp_replace(path, 'P_[0-9]{{5}}|[^0-9]', '', 'g'), 1, 8), 5, 2) AS file_month,
+       substr(substr(regexp_replace(path, 'P_[0-9]{{5}}|[^0-9]', '', 'g'), 1, 8), 7) AS file_day
+FROM (SELECT event_id, {_PATH_SQL} AS path FROM events)
+""")
+def path_parts(spark, sf_dir):
+    """File name, date text and its parts from landed paths (native regex)."""
+    from .functions.paths import with_path_parts
+
+    return with_path_parts(_event_paths(spark, sf_dir), "path")
+
+
+@register("write_sizing", """
+SELECT 'orders' AS table_name, count(*) AS row_count, CAST(1 + count(*) // 1000 AS BIGINT) AS partitions FROM orders
+UNION ALL
+SELECT 'events' AS table_name, count(*) AS row_count, CAST(1 + count(*) // 1000 AS BIGINT) AS partitions FROM events
+""")
+def write_sizing(spark, sf_dir):
+    """Output partitions = 1 + floor(count / rows_per_partition), here 1,000 rows."""
+    from .sources.tables import partition_count_frame
+
+    return Q.stack([partition_count_frame(table(spark, sf_dir, t), t, 1000) for t in ("orders", "events")])
+
+
+@register("day_parts", """
+SELECT event_id, strftime(ts, '%Y') AS p_year, strftime(ts, '%m') AS p_month, strftime(ts, '%d') AS p_day FROM events
+""")
+def day_parts(spark, sf_dir):
+    """zero-padded year, month and day text of a timestamp."""
+    from .functions.clock import date_parts
+
+    parts = date_parts("ts")
+    return table(spark, sf_dir, "events").select(
+        "event_id", parts["year"].alias("p_year"), parts["month"].alias("p_month"), parts["day"].alias("p_day"))
+
+
+@register("string_clean", """
+SELECT doc_id,
+       trim(replace(replace(replace(text, chr(10), ''), '''', ''), '`', '''')) AS text_clean,
+       upper(source) AS source_upper, lower(lang) AS lang_lower, n_chars
+FROM documents
+""")
+def string_clean(spark, sf_dir):
+    """Newline removal, quote cleanup, trim, case (whole texts)."""
+    from .functions import text as T
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id",
+        F.trim(T.strip_quotes(T.remove_newlines("text"))).alias("text_clean"),
+        T.upper("source").alias("source_upper"),
+        T.lower("lang").alias("lang_lower"),
+        "n_chars",
+    )
+
+
+# --------------------------------------------------------------------------- silver
+
+_LATEST_SQL = "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+@register("dedupe_latest", f"SELECT * FROM events {_LATEST_SQL}")
+def dedupe_latest(spark, sf_dir):
+    """Latest event per user (partial group limit before the shuffle)."""
+    from .operators.silver import dedupe_latest as latest
+
+    return latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+
+
+@register("dedupe_exact", """
+SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
+""")
+def dedupe_exact(spark, sf_dir):
+    """Exact-duplicate documents removed, the smallest doc_id kept (whole texts compared)."""
+    from .operators.silver import dedupe_exact as exact
+
+    return exact(table(spark, sf_dir, "documents"), ["text"], "doc_id")
+
+
+@register("active_flag", """
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS Row_IsActive FROM events
+""")
+def active_flag(spark, sf_dir):
+    """Every event with Row_IsActive = latest row of its user."""
+    from .operators.silver import flag_active
+
+    return flag_active(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+
+
+@register("active_view", f"SELECT *, true AS Row_IsActive FROM events {_LATEST_SQL}")
+def active_view(spark, sf_dir):
+    """The active-rows view (Row_IsActive = true) over flagged events."""
+    from .operators.silver import active_rows, flag_active
+
+    return active_rows(flag_active(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]))
+
+
+@register("xref", """
+SELECT c_custkey, c_mktsegment, c_nationkey,
+       min(c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey) AS master_key
+FROM customer
+""")
+def xref(spark, sf_dir):
+    """Customer key -> master key (smallest key of the same segment and nation)."""
+    from .operators.silver import cross_reference
+
+    return cross_reference(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey")
+
+
+@register("match_merge", """
+SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nationkey,
+       coalesce(c.c_custkey, s.s_suppkey) AS number,
+       coalesce(c.c_name, s.s_name) AS name,
+       coalesce(c.c_acctbal, s.s_acctbal) AS acctbal,
+       c.c_mktsegment AS segment,
+       CASE WHEN c.c_custkey IS NOT NULL AND s.s_suppkey IS NOT NULL THEN 'both'
+            WHEN c.c_custkey IS NOT NULL THEN 'left' ELSE 'right' END AS _matched
+FROM customer c FULL OUTER JOIN supplier s
+  ON c.c_nationkey = s.s_nationkey AND c.c_custkey = s.s_suppkey
+""")
+def match_merge(spark, sf_dir):
+    """Customers and suppliers merged into one party master by nation and number."""
+    from .operators.silver import match_merge as merge
+
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("nationkey"), F.col("c_custkey").alias("number"),
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"))
+    supp = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("nationkey"), F.col("s_suppkey").alias("number"),
+        F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
+    return merge(cust, supp, ["nationkey", "number"], prefer="left")
+
+
+@register("normalise", """
+SELECT DISTINCT sha256(concat_ws('||', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS link_key,
+       l_partkey, l_suppkey
+FROM lineitem
+""")
+def normalise(spark, sf_dir):
+    """Part-supplier link entity with a hashed link key (distinct, map-side partial)."""
+    from .operators.silver import normalise as norm
+
+    return norm(table(spark, sf_dir, "lineitem"), {"link": (["l_partkey", "l_suppkey"], [])})["link"]
+
+
+@register("schema_on_read", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+""")
+def schema_on_read(spark, sf_dir):
+    """Typed column read from semi-structured text (variant path + type)."""
+    from .plans.catalog import schema_on_read as sor
+
+    return sor(table(spark, sf_dir, "events"), "props", [("k", "int")], keep=["event_id"])
