@@ -7,7 +7,6 @@ partitioned by load day, so a replay of some days reads only those folders.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +20,12 @@ METADATA_COLUMNS = (LOAD_TS, RUN_ID, SOURCE_FILE, LOAD_DAY)
 
 
 def _ts_col(run_ts) -> Column:
+    """Load time as ``timestamp_ntz`` wall-clock in the session time zone (UTC)."""
     if run_ts is None:
-        return F.current_timestamp()
+        return F.current_timestamp().cast("timestamp_ntz")
     if isinstance(run_ts, Column):
         return run_ts
-    return F.lit(run_ts if isinstance(run_ts, dt.datetime) else dt.datetime.fromisoformat(str(run_ts))).cast("timestamp")
+    return F.lit(str(run_ts)).cast("timestamp_ntz")
 
 
 def with_load_metadata(df: DataFrame, run_id: str, run_ts=None, source_file: bool = True,
@@ -68,16 +68,17 @@ def rearchive(df: DataFrame, path: str, day_col: str = LOAD_DAY, fmt: str = "par
        .partitionBy(day_col).save(path))
 
 
-def load_audit(landed: DataFrame, event_ts: str | None = None) -> DataFrame:
-    """Rows per run and source file, with load time and the event-time range.
+def load_audit(landed: DataFrame, event_ts: str | None = None, by: Sequence[Column] = ()) -> DataFrame:
+    """Rows per run, source file and load day (and ``by``), with load time and
+    the event-time range.
 
     One hash aggregate with map-side partial counts; output is one row per
-    (run, file), tiny next to the data.
+    group, tiny next to the data.
     """
     aggs = [F.count(F.lit(1)).alias("row_count"), F.min(LOAD_TS).alias("loaded_at")]
     if event_ts:
         aggs += [F.min(event_ts).alias("min_event_ts"), F.max(event_ts).alias("max_event_ts")]
-    return landed.groupBy(RUN_ID, SOURCE_FILE, LOAD_DAY).agg(*aggs)
+    return landed.groupBy(RUN_ID, SOURCE_FILE, LOAD_DAY, *by).agg(*aggs)
 
 
 def replay(spark: SparkSession, path: str, days: Iterable[str] | None = None,

@@ -260,3 +260,191 @@ def schema_on_read(spark, sf_dir):
     from .plans.catalog import schema_on_read as sor
 
     return sor(table(spark, sf_dir, "events"), "props", [("k", "int")], keep=["event_id"])
+
+
+# --------------------------------------------------------------------------- gold
+
+_SALES_SQL = """
+SELECT n_name,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS revenue,
+       count(*) AS line_count
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey
+GROUP BY n_name
+"""
+
+
+def _orders_enriched(spark, sf_dir):
+    """Orders with their customer and nation (dimensions attached to the smaller fact first)."""
+    from .operators.gold import Dimension, star_join as sj
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return sj(orders, [Dimension(customer, [("o_custkey", "c_custkey")]),
+                       Dimension(nation, [("c_nationkey", "n_nationkey")])])
+
+
+@register("star_join", """
+SELECT l_orderkey, l_linenumber, o_orderdate, c_name, n_name, l_extendedprice
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey
+""")
+def star_join(spark, sf_dir):
+    """Lineitem denormalised with order, customer and nation.
+
+    Dimensions are attached to orders first (a quarter of lineitem's rows), then
+    one shuffle join of lineitem on the order key."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    enriched = _orders_enriched(spark, sf_dir)
+    return li.join(enriched, li["l_orderkey"] == enriched["o_orderkey"]).select(
+        "l_orderkey", "l_linenumber", "o_orderdate", "c_name", "n_name", "l_extendedprice")
+
+
+def _sales_by_nation(spark, sf_dir):
+    """Revenue per nation, aggregated as early as possible:
+    lineitem -> per order -> per customer -> per nation.  Each step shrinks the
+    rows before the next join, and each join reuses the partitioning of the
+    aggregate before it."""
+    from .operators.gold import money, mart
+    from .operators.joins import broadcast_if_small
+
+    li = table(spark, sf_dir, "lineitem")
+    per_order = mart(li, ["l_orderkey"], {
+        "rev": F.sum(money("l_extendedprice") * (F.lit(1) - money("l_discount"))),
+        "lines": F.count(F.lit(1)),
+    })
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    per_cust = mart(per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"]), ["o_custkey"],
+                    {"rev": F.sum("rev"), "lines": F.sum("lines")})
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+    joined = (per_cust.join(customer, per_cust["o_custkey"] == customer["c_custkey"])
+              .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
+    return mart(joined, ["n_name"], {"revenue": F.sum("rev").cast("double"),
+                                     "line_count": F.sum("lines").cast("bigint")})
+
+
+@register("sales_mart", _SALES_SQL)
+def sales_mart(spark, sf_dir):
+    """Revenue and line count per nation (exact decimal sums)."""
+    return _sales_by_nation(spark, sf_dir)
+
+
+@register("cross_mart", f"""
+WITH s AS ({_SALES_SQL}),
+p AS (SELECT n_name, count(*) AS supplier_count,
+             CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS supplier_acctbal
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)
+SELECT coalesce(s.n_name, p.n_name) AS n_name, revenue, line_count, supplier_count, supplier_acctbal
+FROM s FULL OUTER JOIN p ON s.n_name = p.n_name
+""")
+def cross_mart(spark, sf_dir):
+    """Sales mart joined with the supplier mart on the conformed nation name."""
+    from .operators.gold import cross_mart as cm, mart, money
+    from .operators.joins import broadcast_if_small
+
+    supplier = table(spark, sf_dir, "supplier")
+    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+    supp = mart(supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]), ["n_name"], {
+        "supplier_count": F.count(F.lit(1)),
+        "supplier_acctbal": F.sum(money("s_acctbal")).cast("double"),
+    })
+    return cm([_sales_by_nation(spark, sf_dir), supp], ["n_name"])
+
+
+_QUALITY_RULES_SQL = {
+    "value_at_least_5": "value >= 5",
+    "not_error": "event_type <> 'error'",
+    "props_is_object": "props LIKE '{%}'",
+    "before_jan_30": "ts < TIMESTAMP '2024-01-30 00:00:00'",
+}
+
+
+def _quality_rules():
+    return {
+        "value_at_least_5": F.col("value") >= 5,
+        "not_error": F.col("event_type") != "error",
+        "props_is_object": F.col("props").like("{%}"),
+        "before_jan_30": F.col("ts") < F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"),
+    }
+
+
+@register("quality_report", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({r}, false)) AS failed_rows, "
+    f"count(*) AS total_rows FROM events" for n, r in _QUALITY_RULES_SQL.items()))
+def quality_report(spark, sf_dir):
+    """Failing-row count per data-quality rule (one global aggregate)."""
+    from .operators.gold import quality_report as qr
+
+    return qr(table(spark, sf_dir, "events"), _quality_rules())
+
+
+@register("quality_rejected", "SELECT *, array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN NOT coalesce({r}, false) THEN '{n}' END" for n, r in _QUALITY_RULES_SQL.items())
+    + "], lambda x: x IS NOT NULL), ',') AS failed_rules FROM events WHERE NOT (" + " AND ".join(
+    f"coalesce({r}, false)" for r in _QUALITY_RULES_SQL.values()) + ")")
+def quality_rejected(spark, sf_dir):
+    """Quarantined rows with the names of the rules they failed (comma-joined)."""
+    from .operators.gold import apply_quality
+
+    rejected = apply_quality(table(spark, sf_dir, "events"), _quality_rules())[1]
+    return rejected.withColumn("failed_rules", F.array_join("_failed_rules", ",")).drop("_failed_rules")
+
+
+# --------------------------------------------------------------------------- cipher
+
+def _cipher_params():
+    """Key and IV for the registered cipher queries: hex in LAKEFORGE_RC2_KEY /
+    LAKEFORGE_RC2_IV when set, else a demonstration key (never use it for data)."""
+    import os
+
+    from .functions.cipher import RC2Params
+
+    if os.environ.get("LAKEFORGE_RC2_KEY"):
+        return RC2Params.from_env("LAKEFORGE_RC2_KEY", "LAKEFORGE_RC2_IV" if os.environ.get("LAKEFORGE_RC2_IV") else None)
+    return RC2Params(key=b"demo-key", iv=b"12345678")
+
+
+@register("encrypt_length", """
+SELECT c_custkey, CAST(4 * ceil(8 * ceil(strlen(c_name) / 8) / 3) AS INTEGER) AS cipher_len FROM customer
+""")
+def encrypt_length(spark, sf_dir):
+    """base64 ciphertext length = 4*ceil(8*ceil(bytes/8)/3) (zero padding)."""
+    from .functions.cipher import encrypt_column
+
+    cust = table(spark, sf_dir, "customer")
+    return cust.select("c_custkey", F.length(encrypt_column("c_name", _cipher_params())).alias("cipher_len"))
+
+
+@register("encrypt_roundtrip", "SELECT c_custkey, c_name FROM customer")
+def encrypt_roundtrip(spark, sf_dir):
+    """Names encrypted to base64 and decrypted back equal the originals."""
+    from .functions.cipher import decrypt_column, encrypt_column
+
+    p = _cipher_params()
+    cust = table(spark, sf_dir, "customer").select("c_custkey", encrypt_column("c_name", p).alias("cipher"))
+    return cust.select("c_custkey", decrypt_column("cipher", p, as_text=True).alias("c_name"))
+
+
+@register("encrypt_joinable", """
+SELECT c_nationkey, count(DISTINCT c_mktsegment) AS n_distinct FROM customer GROUP BY c_nationkey
+""")
+def encrypt_joinable(spark, sf_dir):
+    """Equal plaintexts give equal ciphertexts, so distinct counts survive encryption."""
+    from .functions.cipher import encrypt_column
+
+    cust = table(spark, sf_dir, "customer").select("c_nationkey", encrypt_column("c_mktsegment", _cipher_params()).alias("seg"))
+    return cust.groupBy("c_nationkey").agg(F.countDistinct("seg").alias("n_distinct"))
+
+
+@register("encrypt_documents", "SELECT doc_id, text FROM documents")
+def encrypt_documents(spark, sf_dir):
+    """C1-C5 on whole long texts: encrypt, decrypt, compare with the source."""
+    from .functions.cipher import decrypt_column, encrypt_column
+
+    p = _cipher_params()
+    docs = table(spark, sf_dir, "documents").select("doc_id", encrypt_column("text", p).alias("cipher"))
+    return docs.select("doc_id", decrypt_column("cipher", p, as_text=True).alias("text"))

@@ -26,7 +26,7 @@ def stream_with_metadata(spark: SparkSession, source_dir: str, schema: StructTyp
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.load(source_dir)
-    ts = F.current_timestamp()
+    ts = F.current_timestamp().cast("timestamp_ntz")
     return df.select(
         "*",
         ts.alias(LOAD_TS),
