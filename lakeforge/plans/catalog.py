@@ -46,7 +46,7 @@ def column_metadata(spark: SparkSession, database: str, tables: Iterable[str] |
     for t in (tables if tables is not None else list_tables(spark, database)):
         name = f"{database}.{t}"
         loc = table_location(spark, name)
-        for i, c in enumerate(spark.catalog.listColumns(t, database)):
+        for i, c in enumerate(spark.catalog.listColumns(name)):
             rows.append((database, t, loc, i, c.name, c.dataType, bool(c.isPartition)))
     return spark.createDataFrame(rows, METADATA_SCHEMA)
 

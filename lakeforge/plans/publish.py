@@ -60,9 +60,8 @@ def day_filter(day: dt.date):
 
 def _ddl_columns(spark: SparkSession, name: str, excluded: Sequence[str] = (), rename: bool = False) -> tuple[list[str], list[str]]:
     """(column definitions, partition column names) of a catalog table."""
-    db, _, t = name.rpartition(".")
     cols, parts = [], []
-    for c in spark.catalog.listColumns(t, db or None):
+    for c in spark.catalog.listColumns(name):
         if c.isPartition:
             parts.append(c.name)
             continue
@@ -88,7 +87,8 @@ def create_external_table(spark: SparkSession, name: str, location: str, columns
     if defs:
         defs += [f"{quote_ident(p)} string" for p in partition_cols]
     cols = f" ({', '.join(defs)})" if defs else ""
-    part = f" PARTITIONED BY ({', '.join(quote_ident(p) for p in partition_cols)})" if partition_cols else ""
+    # without a column list Spark infers columns and partitioning from the folder layout
+    part = f" PARTITIONED BY ({', '.join(quote_ident(p) for p in partition_cols)})" if partition_cols and defs else ""
     spark.sql(f"CREATE TABLE {quote_ident(name)}{cols} USING {provider}{part} LOCATION '{location}'")
     if partition_cols and provider in ("parquet", "orc", "csv", "json"):
         refresh_external_table(spark, name)

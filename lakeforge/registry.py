@@ -448,3 +448,211 @@ def encrypt_documents(spark, sf_dir):
     p = _cipher_params()
     docs = table(spark, sf_dir, "documents").select("doc_id", encrypt_column("text", p).alias("cipher"))
     return docs.select("doc_id", decrypt_column("cipher", p, as_text=True).alias("text"))
+
+
+# --------------------------------------------------------------------------- publish (S9, S11-S18, M*)
+
+APP = "sales_app"
+APP_DB = "sales_app"
+WAREHOUSE_DB = "warehouse"
+LOAD_DAY = "2024-01-03"
+
+
+def _build_app(spark, sf_dir):
+    """An application database made from ``events`` (fresh files each call):
+
+    * ``events``: events + Row_IsActive (latest per user) + P_Year/P_Month/P_Day
+    * ``metrics``: event_id and a *string* column named ``value``, day-partitioned
+    * ``single``: one column
+
+    Returns the root folder of the application files.
+    """
+    from .operators.silver import flag_active
+    from .plans.publish import create_external_table, with_day_partitions, write_day_partitioned
+    from .session import work_path
+    from .sources.tables import create_database
+
+    root = f"{work_path(spark, 'apps')}/{APP}"
+    ev = table(spark, sf_dir, "events")
+    create_database(spark, APP_DB)
+    flagged = with_day_partitions(flag_active(ev, ["user_id"], ["ts", "event_id"]), "ts")
+    write_day_partitioned(flagged, f"{root}/events")
+    metrics = with_day_partitions(ev.select("event_id", "ts", F.format_number("value", 2).alias("value")), "ts").drop("ts")
+    write_day_partitioned(metrics, f"{root}/metrics")
+    ev.select("event_id").write.mode("overwrite").parquet(f"{root}/single")
+    create_external_table(spark, f"{APP_DB}.events", f"{root}/events", None)
+    create_external_table(spark, f"{APP_DB}.metrics", f"{root}/metrics", None)
+    create_external_table(spark, f"{APP_DB}.single", f"{root}/single", None, partition_cols=())
+    return root
+
+
+def _publish(spark, sf_dir, mode, loads=1):
+    import datetime as dt
+
+    from .plans.publish import publish, published_table_name, remove_objects
+    from .session import work_path
+
+    _build_app(spark, sf_dir)
+    for t in ("events", "metrics", "single"):
+        remove_objects(spark, published_table_name(WAREHOUSE_DB, APP, t), delete_data=True)
+    day = dt.date.fromisoformat(LOAD_DAY)
+    report = None
+    for _ in range(loads):
+        report = publish(spark, APP_DB, WAREHOUSE_DB, mode=mode, app=APP, day=day,
+                         target_location=work_path(spark, "warehouse.db", unique=False))
+    return report
+
+
+_FLAGGED_EVENTS_SQL = """
+SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS Row_IsActive,
+       strftime(ts, '%Y') AS P_Year, strftime(ts, '%m') AS P_Month, strftime(ts, '%d') AS P_Day
+FROM events e"""
+
+
+@register("day_load", f"SELECT * FROM ({_FLAGGED_EVENTS_SQL}) WHERE P_Year || P_Month || P_Day = '20240103'")
+def day_load(spark, sf_dir):
+    """Internal publish loads one day (2024-01-03) into a new table."""
+    from .plans.publish import published_table_name
+
+    _publish(spark, sf_dir, "internal", loads=1)
+    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events"))
+
+
+@register("day_load_twice", f"SELECT * FROM ({_FLAGGED_EVENTS_SQL}) WHERE P_Year || P_Month || P_Day = '20240103'")
+def day_load_twice(spark, sf_dir):
+    """Loading the same day twice leaves one copy (dynamic partition overwrite)."""
+    from .plans.publish import published_table_name
+
+    _publish(spark, sf_dir, "internal", loads=2)
+    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events"))
+
+
+@register("day_load_metrics", """
+SELECT event_id, format('{:,.2f}', value) AS raw_value,
+       strftime(ts, '%Y') AS P_Year, strftime(ts, '%m') AS P_Month, strftime(ts, '%d') AS P_Day
+FROM events WHERE strftime(ts, '%Y%m%d') = '20240103'
+""")
+def day_load_metrics(spark, sf_dir):
+    """The string column ``value`` is published as ``raw_value``."""
+    from .plans.publish import published_table_name
+
+    _publish(spark, sf_dir, "internal", loads=1)
+    return spark.table(published_table_name(WAREHOUSE_DB, APP, "metrics"))
+
+
+@register("external_table", _FLAGGED_EVENTS_SQL)
+def external_table(spark, sf_dir):
+    """External publish over the application files, partitions repaired."""
+    from .plans.publish import published_table_name
+
+    _publish(spark, sf_dir, "external")
+    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events"))
+
+
+@register("published_view", f"SELECT * FROM ({_FLAGGED_EVENTS_SQL}) WHERE Row_IsActive")
+def published_view(spark, sf_dir):
+    """The published active-rows view over the external table."""
+    from .plans.publish import VIEW_SUFFIX, published_table_name
+
+    _publish(spark, sf_dir, "external")
+    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events") + VIEW_SUFFIX)
+
+
+@register("column_ddl", """
+SELECT * FROM (VALUES
+  ('WAREHOUSE.SHARED.SALES_APP_EVENTS',
+   '(event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string, Row_IsActive boolean)',
+   7, '/internal/sales_app/events/'),
+  ('WAREHOUSE.SHARED.SALES_APP_METRICS', '(event_id bigint, raw_value string)', 2, '/internal/sales_app/metrics/'),
+  ('WAREHOUSE.SHARED.SALES_APP_SINGLE', '(event_id bigint)', 1, '/internal/sales_app/single/')
+) AS t(table_name, column_ddl_text, n_columns, rel_path)
+""")
+def column_ddl(spark, sf_dir):
+    """Catalog walk -> column clauses in order per table, published
+    name, relative path; day columns excluded by name."""
+    from .plans.catalog import DAY_PARTITION_COLUMNS, column_metadata, exclude_columns, gather_columns, \
+        published_name, relative_path
+
+    _build_app(spark, sf_dir)
+    meta = exclude_columns(column_metadata(spark, APP_DB), ["", *DAY_PARTITION_COLUMNS])
+    g = gather_columns(meta)
+    return g.select(published_name("warehouse", "shared", APP).alias("table_name"), "column_ddl_text",
+                    "n_columns", relative_path(F.col("location"), APP).alias("rel_path"))
+
+
+@register("list_files", """
+SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, true AS all_nonempty FROM events
+""")
+def list_files(spark, sf_dir):
+    """Recursive listing of the day-partitioned application files (metadata only)."""
+    from .sources.files import list_files as lf
+
+    root = _build_app(spark, sf_dir)
+    files = lf(spark, f"{root}/events", glob="*.parquet")
+    day = F.regexp_extract("path", r"P_Year=([0-9]{4})/P_Month=([0-9]{2})/P_Day=([0-9]{2})/", 0)
+    day = F.concat_ws("-", F.regexp_extract("path", r"P_Year=([0-9]{4})", 1),
+                      F.regexp_extract("path", r"P_Month=([0-9]{2})", 1),
+                      F.regexp_extract("path", r"P_Day=([0-9]{2})", 1))
+    return files.groupBy(day.alias("day")).agg(F.min(F.col("length") > 0).alias("all_nonempty"))
+
+
+# --------------------------------------------------------------------------- bronze
+
+RUN_TS = "2024-02-01 00:00:00"
+
+
+def _landed(spark, sf_dir, run_id="run-0001", run_ts=RUN_TS, path=None):
+    from .operators.bronze import LOAD_DAY as LD, archive, with_load_metadata
+    from .session import work_path
+
+    path = path or work_path(spark, "bronze/events")
+    archive(with_load_metadata(table(spark, sf_dir, "events"), run_id, run_ts), path, LD)
+    return path
+
+
+@register("land_with_metadata", """
+SELECT *, TIMESTAMP '2024-02-01 00:00:00' AS _load_ts, 'run-0001' AS _run_id,
+       'events.parquet' AS _source_file, '2024-02-01' AS _load_day FROM events
+""")
+def land_with_metadata(spark, sf_dir):
+    """L1, L2, L4: events landed as-is with load time, run id, source file, load day."""
+    return spark.read.parquet(_landed(spark, sf_dir))
+
+
+@register("load_audit", """
+SELECT 'run-0001' AS _run_id, 'events.parquet' AS _source_file, '2024-02-01' AS _load_day,
+       CAST(ts AS DATE) AS event_day, count(*) AS row_count, TIMESTAMP '2024-02-01 00:00:00' AS loaded_at,
+       min(ts) AS min_event_ts, max(ts) AS max_event_ts
+FROM events GROUP BY CAST(ts AS DATE)
+""")
+def load_audit(spark, sf_dir):
+    """Rows, load time and event-time range per run, source file and event day."""
+    from .operators.bronze import load_audit as audit
+
+    landed = spark.read.parquet(_landed(spark, sf_dir))
+    return audit(landed, "ts", by=[F.to_date("ts").alias("event_day")])
+
+
+@register("replay", "SELECT *, 'run-0002' AS _run_id FROM events")
+def replay(spark, sf_dir):
+    """Two runs archived by load day; replay the second day only (partition-pruned)."""
+    from .operators.bronze import replay as rp
+
+    path = _landed(spark, sf_dir, "run-0001", "2024-02-01 00:00:00")
+    _landed(spark, sf_dir, "run-0002", "2024-02-02 06:00:00", path=path)
+    got = rp(spark, path, days=["2024-02-02"])
+    return got.drop("_load_ts", "_source_file", "_load_day")
+
+
+@register("land_incremental", "SELECT *, 'stream-0001' AS _run_id FROM events")
+def land_incremental(spark, sf_dir):
+    """L3: files landed by a stream with availableNow; the second run finds nothing new."""
+    from .session import work_path
+    from .streaming.ingest import land_incremental as li
+
+    base = work_path(spark, "stream")
+    ev = table(spark, sf_dir, "events")
+    ev.write.mode("overwrite").parquet(f"{base}/landing")
+    for run in ("stream-0001", "stream-0002"):
+        li(spark, f"{base}/landing", ev.schema, f"{base}/bronze", f"{base}/_checkpoint", run)
+    return spark.read.parquet(f"{base}/bronze").drop("_load_ts", "_source_file", "_load_day")
