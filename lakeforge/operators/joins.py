@@ -1,18 +1,50 @@
 """Join helpers: broadcast only behind a proven size bound.
 
-``broadcast_if_small`` runs a bounded job (``limit(max_rows + 1).count()``) that
-stops reading once the bound is exceeded; only a side proven to hold at most
-``max_rows`` rows gets the broadcast hint.  Otherwise the join is left to the
-planner: a shuffled sort-merge join, with AQE converting it to a broadcast at
-run time if the real size turns out small, and splitting skewed partitions.
+``broadcast_if_small`` runs one bounded job over at most ``max_rows + 1`` rows
+(``limit`` stops reading once the bound is exceeded) that counts the rows and
+adds up their size (exact lengths of strings and binaries, fixed widths for the
+rest).  Only a side proven to hold at most ``max_rows`` rows and ``max_bytes``
+bytes gets the broadcast hint.  Otherwise the join is left to the planner: a
+shuffled sort-merge join, which AQE may still turn into a broadcast at run time
+from measured sizes, and whose skewed partitions AQE splits.
+
+Use it on scans or filtered scans; on a frame that needs a shuffle to produce,
+rely on AQE instead (the check would compute it twice).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DecimalType, MapType, StringType, StructType
 
 DEFAULT_BROADCAST_ROWS = 100_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: exact for strings and binaries, 16 for decimals, 8 for other
+    atomic values, the JSON text length for nested values."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, DecimalType):
+            parts.append(F.lit(16))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0]) if parts else F.lit(0)
+
+
+def size_at_most(df: DataFrame, max_rows: int, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes of data;
+    reads at most ``max_rows + 1`` rows."""
+    head = df.limit(max_rows + 1)
+    row = head.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(head)).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -20,6 +52,7 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``broadcast(df)`` if it is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    return F.broadcast(df) if size_at_most(df, max_rows, max_bytes) else df

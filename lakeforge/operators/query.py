@@ -86,6 +86,13 @@ def stack(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
 
 
-def filter_distinct_sort(df: DataFrame, conditions: Sequence[Column], order_desc: Sequence[ColumnOrName]) -> DataFrame:
-    """The sample job's shape: filter, group by every column, order descending."""
-    return order_by_desc(distinct_rows(where_all(df, *conditions)), *order_desc)
+def filter_distinct_sort(df: DataFrame, conditions: Sequence[Column], order_desc: Sequence[str]) -> DataFrame:
+    """The sample job's shape: filter, group by every column, order descending.
+
+    Rows are unique after the distinct, so the remaining columns are added as
+    ascending tiebreaks: the order is deterministic and the range partitioning of
+    the global sort can split a heavily repeated sort value over many tasks.
+    """
+    rows = distinct_rows(where_all(df, *conditions))
+    rest = [c for c in rows.columns if c not in order_desc]
+    return rows.orderBy(*[F.col(c).desc_nulls_last() for c in order_desc], *[F.col(c).asc() for c in rest])

@@ -9,8 +9,8 @@ Skew notes (one key may hold a third of all rows):
 * ``flag_active`` joins back on keys *plus* the order columns; that join key is
   near-unique, so hash partitioning spreads a hot key over all tasks.
 * ``cross_reference`` aggregates with map-side partial ``min`` and joins back to
-  a per-group table that is broadcast only when proven small; otherwise AQE
-  splits the skewed partitions of the sort-merge join.
+  the per-group table; AQE broadcasts it when its measured size is small and
+  otherwise splits the skewed partitions of the sort-merge join.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
-
 ACTIVE_FLAG = "Row_IsActive"
 
 
@@ -150,14 +148,18 @@ def match_merge(left: DataFrame, right: DataFrame, on: Sequence[str], prefer: st
 
 # --------------------------------------------------------------------------- L11 cross-reference
 
-def cross_reference(df: DataFrame, match_keys: Sequence[str], key: str, master_col: str = "master_key",
-                    broadcast_rows: int = 100_000) -> DataFrame:
+def cross_reference(df: DataFrame, match_keys: Sequence[str], key: str, master_col: str = "master_key") -> DataFrame:
     """Source key -> master key, the smallest key among rows that match on
     ``match_keys`` (NULL keys match each other).  One row per input row:
-    ``key, *match_keys, master_key``."""
+    ``key, *match_keys, master_key``.
+
+    The per-group minimum is a hash aggregate with map-side partial ``min`` (a hot
+    group is pre-reduced in every task).  The join back is left to AQE: the group
+    table is broadcast at run time when its measured size is small, otherwise the
+    sort-merge join's skewed partitions are split.  (A pre-check would compute the
+    aggregate twice.)"""
     groups = df.groupBy(*match_keys).agg(F.min(key).alias(master_col))
-    groups = broadcast_if_small(groups.select(*[F.col(c).alias(f"_g_{c}") for c in match_keys], master_col),
-                                broadcast_rows)
+    groups = groups.select(*[F.col(c).alias(f"_g_{c}") for c in match_keys], master_col)
     cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(groups[f"_g_{c}"]) for c in match_keys])
     return df.join(groups, cond, "inner").select(key, *match_keys, master_col)
 

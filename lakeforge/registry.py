@@ -422,11 +422,11 @@ def encrypt_length(spark, sf_dir):
 @register("encrypt_roundtrip", "SELECT c_custkey, c_name FROM customer")
 def encrypt_roundtrip(spark, sf_dir):
     """Names encrypted to base64 and decrypted back equal the originals."""
-    from .functions.cipher import decrypt_column, encrypt_column
+    from .functions.cipher import decrypt_columns, encrypt_columns
 
     p = _cipher_params()
-    cust = table(spark, sf_dir, "customer").select("c_custkey", encrypt_column("c_name", p).alias("cipher"))
-    return cust.select("c_custkey", decrypt_column("cipher", p, as_text=True).alias("c_name"))
+    enc = encrypt_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], p)
+    return decrypt_columns(enc, ["c_name"], p)
 
 
 @register("encrypt_joinable", """
@@ -443,11 +443,11 @@ def encrypt_joinable(spark, sf_dir):
 @register("encrypt_documents", "SELECT doc_id, text FROM documents")
 def encrypt_documents(spark, sf_dir):
     """C1-C5 on whole long texts: encrypt, decrypt, compare with the source."""
-    from .functions.cipher import decrypt_column, encrypt_column
+    from .functions.cipher import decrypt_columns, encrypt_columns
 
     p = _cipher_params()
-    docs = table(spark, sf_dir, "documents").select("doc_id", encrypt_column("text", p).alias("cipher"))
-    return docs.select("doc_id", decrypt_column("cipher", p, as_text=True).alias("text"))
+    enc = encrypt_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], p)
+    return decrypt_columns(enc, ["text"], p)
 
 
 # --------------------------------------------------------------------------- publish (S9, S11-S18, M*)
@@ -474,7 +474,7 @@ def _build_app(spark, sf_dir):
 
     root = f"{work_path(spark, 'apps')}/{APP}"
     ev = table(spark, sf_dir, "events")
-    create_database(spark, APP_DB)
+    create_database(spark, APP_DB, work_path(spark, f"{APP_DB}.db", unique=False))
     flagged = with_day_partitions(flag_active(ev, ["user_id"], ["ts", "event_id"]), "ts")
     write_day_partitioned(flagged, f"{root}/events")
     metrics = with_day_partitions(ev.select("event_id", "ts", F.format_number("value", 2).alias("value")), "ts").drop("ts")
