@@ -656,3 +656,46 @@ def land_incremental(spark, sf_dir):
     for run in ("stream-0001", "stream-0002"):
         li(spark, f"{base}/landing", ev.schema, f"{base}/bronze", f"{base}/_checkpoint", run)
     return spark.read.parquet(f"{base}/bronze").drop("_load_ts", "_source_file", "_load_day")
+
+
+# --------------------------------------------------------------------------- more pairs
+
+@register("sample_show", """
+SELECT * FROM (SELECT DISTINCT * FROM orders WHERE o_orderstatus != 'F' AND o_orderdate > '1997-01-01')
+ORDER BY o_totalprice DESC, o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority LIMIT 20
+""")
+def sample_show(spark, sf_dir):
+    """The 20 rows ``show()`` prints for the sample-job query (a top-k report)."""
+    from .sources.tables import preview
+
+    return preview(filter_distinct_sort(spark, sf_dir), 20)
+
+
+@register("conform", """
+SELECT c_custkey, trim(regexp_replace(c_name, '\\s+', ' ', 'g')) AS name, c_nationkey AS nationkey,
+       CAST(c_acctbal AS DECIMAL(12,2)) AS acctbal,
+       array_to_string(list_transform(string_split(lower(c_mktsegment), ' '),
+                                      lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS segment
+FROM customer
+""")
+def conform(spark, sf_dir):
+    """Renames, whitespace cleanup, title case, typed amounts, in one projection."""
+    from .operators.silver import ConformRules, conform as cf
+
+    rules = ConformRules(renames={"c_name": "name", "c_nationkey": "nationkey", "c_acctbal": "acctbal",
+                                  "c_mktsegment": "segment"},
+                         trim=["name"], title=["segment"], casts={"acctbal": "decimal(12,2)"})
+    return cf(table(spark, sf_dir, "customer"), rules)
+
+
+@register("encrypt_options", "SELECT c_custkey, c_name, CAST(8 * (strlen(c_name) // 8 + 1) AS INTEGER) AS cipher_bytes FROM customer")
+def encrypt_options(spark, sf_dir):
+    """ECB mode with PKCS5 padding; 8*(floor(n/8)+1) cipher bytes, and back."""
+    from .functions.cipher import RC2Params, decrypt_column, encrypt_udf, with_min_partitions
+
+    p = _cipher_params()
+    ecb = RC2Params(p.key, None, "ECB", "pkcs5")
+    cust = with_min_partitions(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    enc = cust.select("c_custkey", F.base64(encrypt_udf(ecb)("c_name")).alias("cipher"))
+    return enc.select("c_custkey", decrypt_column("cipher", ecb, as_text=True).alias("c_name"),
+                      F.length(F.unbase64("cipher")).alias("cipher_bytes"))
