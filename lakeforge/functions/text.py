@@ -25,12 +25,13 @@ def title(c) -> Column:
 
 
 def strip_quotes(c) -> Column:
-    """Delete single quotes, then turn back-quotes into single quotes."""
-    return F.translate(F.translate(_c(c), "'", ""), "`", "'")
+    """Delete single quotes, then turn back-quotes into single quotes
+    (literal replacements on the UTF-8 bytes; no regex, no per-character map)."""
+    return F.replace(F.replace(_c(c), F.lit("'"), F.lit("")), F.lit("`"), F.lit("'"))
 
 
 def remove_newlines(c) -> Column:
-    return F.regexp_replace(_c(c), "\n", "")
+    return F.replace(_c(c), F.lit("\n"), F.lit(""))
 
 
 def squeeze_spaces(c) -> Column:

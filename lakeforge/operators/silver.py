@@ -49,7 +49,7 @@ def conform(df: DataFrame, rules: ConformRules) -> DataFrame:
         new = rules.renames.get(name, name)
         c = F.col(name)
         if new in rules.remove_newlines:
-            c = F.regexp_replace(c, "\n", "")
+            c = F.replace(c, F.lit("\n"), F.lit(""))
         if new in rules.trim:
             c = F.trim(F.regexp_replace(c, r"\s+", " "))
         if new in rules.upper:

@@ -65,3 +65,16 @@ def test_text_helpers(spark):
     assert (r.t, r.u, r.l, r.rt) == ("Hello World", "HELLO WORLD", "hello world", "hello wORLD")
     assert bytes(r.b64) == b"hello wORLD"
     assert r.bad is None and r.good == 12
+
+
+def test_file_name_matches_python_regex_on_odd_paths(spark):
+    import re
+
+    odd = ["a/2021/01/01/x\nb/2022/02/02/y", "no/date\n/2020/10/10/z", "2021/01/01/", "x/2021/01/01/2022/02/02/f",
+           "/2021/1/01/f", "\n\n/1999/12/31/end", "12345/2021/04/03/P_00001_n.csv"]
+    df = spark.createDataFrame([(p,) for p in odd], "path string")
+    from lakeforge.functions.paths import file_date, file_name
+
+    got = [tuple(r) for r in df.select(file_name("path"), file_date("path")).collect()]
+    want = [(re.sub(r".*[0-9]{4}/[0-9]{2}/[0-9]{2}/", "", p), re.sub(r"P_[0-9]{5}|[^0-9]", "", p)[:8]) for p in odd]
+    assert got == want
