@@ -91,3 +91,31 @@ def hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 * 1024 * 1024,
+                   max_partitions: int = 200_000) -> int:
+    """Size shuffles for a job reading ``input_bytes`` (for example a whole table at 100 TB).
+
+    Sets the shuffle partition count to about ``input_bytes / partition_bytes`` (never
+    lower than the current setting) so each reduce task holds one split's worth of
+    data and sorts or aggregates in memory; AQE then coalesces partitions that turn
+    out small and splits skewed ones.  Scan splits and AQE's target size use the
+    same ``partition_bytes``.  Returns the partition count set.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(current, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
+    return n
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Total size of the files below ``paths`` (file-system metadata only)."""
+    total = 0
+    for p in paths:
+        fs, path = hadoop_fs(spark, p)
+        total += int(fs.getContentSummary(path).getLength())
+    return total

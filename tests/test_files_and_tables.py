@@ -72,3 +72,19 @@ def test_read_with_source(spark):
     spark.range(3).write.parquet(path)
     rows = FS.read_with_source(spark, path).collect()
     assert all(r._source_path.endswith(".parquet") for r in rows)
+
+
+def test_size_for_input(spark):
+    from lakeforge.session import input_bytes, size_for_input
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        n = size_for_input(spark, 100 * 1024 ** 4)  # 100 TB
+        assert n == 200_000 and spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+        assert size_for_input(spark, 10) == n  # never lowers the current setting
+        assert input_bytes(spark, "/root/testdata/sf0.001/region.parquet") > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 * 1024 * 1024))
