@@ -308,12 +308,14 @@ def _sales_by_nation(spark, sf_dir):
     lineitem -> per order -> per customer -> per nation.  Each step shrinks the
     rows before the next join, and each join reuses the partitioning of the
     aggregate before it."""
-    from .operators.gold import money, mart
+    from .operators.gold import cents, exact_units_sum, mart
     from .operators.joins import broadcast_if_small
 
     li = table(spark, sf_dir, "lineitem")
+    # revenue of a line in 1/10000 units: cents x (100 - discount in cents)
+    line_units = cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
     per_order = mart(li, ["l_orderkey"], {
-        "rev": F.sum(money("l_extendedprice") * (F.lit(1) - money("l_discount"))),
+        "rev": exact_units_sum(line_units, 4),
         "lines": F.count(F.lit(1)),
     })
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
