@@ -98,10 +98,6 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- L9 current-row flag
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def flag_active(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str], flag: str = ACTIVE_FLAG) -> DataFrame:
     """Every row plus a boolean ``flag`` that is true on the latest row per key."""
     cols = list(dict.fromkeys([*keys, *order_desc]))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import date_parts, day_parts_python
 from ..operators.silver import ACTIVE_FLAG
 from ..sources.tables import create_database, drop_table_and_data, quote_ident, table_location
-from .catalog import DAY_PARTITION_COLUMNS, RESERVED_RENAMES, column_metadata, list_tables, rename_reserved
+from .catalog import DAY_PARTITION_COLUMNS, RESERVED_RENAMES, list_tables, rename_reserved
 
 VIEW_SUFFIX = "_v"
 
@@ -184,8 +184,3 @@ def publish(spark: SparkSession, app_db: str, target_db: str, mode: str = "inter
         if has_flag:
             steps.append((t, "create_view", create_active_view(spark, name, flag, rename=(mode == "external"))))
     return spark.createDataFrame(steps, "table string, step string, object string")
-
-
-def app_tables_metadata(spark: SparkSession, app_db: str) -> DataFrame:
-    """Column metadata of every table of an application database (for DDL reports)."""
-    return column_metadata(spark, app_db)
