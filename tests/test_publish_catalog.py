@@ -101,3 +101,9 @@ def test_rename_reserved(spark):
     assert C.rename_reserved(df).columns == ["id", "raw_value", "other"]
     df2 = spark.createDataFrame([(1, 2.0)], "id int, value double")
     assert C.rename_reserved(df2).columns == ["id", "value"]
+
+
+def test_column_clauses_are_native(spark, app):
+    meta = C.column_metadata(spark, "sales_app", ["single"])
+    text = plan_text(C.gather_columns(meta))
+    assert "Python" not in text and "ArrowEvalPython" not in text
