@@ -37,17 +37,27 @@ def with_day_partitions(df: DataFrame, ts_col: str) -> DataFrame:
     return df.withColumns({"P_Year": p["year"], "P_Month": p["month"], "P_Day": p["day"]})
 
 
-def write_day_partitioned(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "overwrite") -> None:
+def write_day_partitioned(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "overwrite",
+                          rebalance: bool = True) -> None:
     """Write under ``P_Year=/P_Month=/P_Day=`` folders.
 
-    The ``rebalance`` hint lets AQE shuffle rows towards their day so each day
+    ``rebalance=True`` (rows of a day spread over all tasks, e.g. after a join):
+    the ``rebalance`` hint lets AQE shuffle rows towards their day so each day
     gets few files, while splitting a hot day over several tasks (no single task
-    holds a day that carries a third of the data).  ``maxRecordsPerFile`` caps
-    file size; dynamic overwrite replaces only the days present.
+    holds a day that carries a third of the data).
+
+    ``rebalance=False`` (input already clustered by day, e.g. landed per day):
+    no shuffle; each task sorts its rows by day and writes one file per day it
+    holds.
+
+    ``maxRecordsPerFile`` caps file size; dynamic overwrite replaces only the
+    days present.
     """
-    (df.hint("rebalance", *DAY_PARTITION_COLUMNS).write.format("parquet").mode(mode)
-       .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
-       .partitionBy(*DAY_PARTITION_COLUMNS).save(path))
+    out = (df.hint("rebalance", *DAY_PARTITION_COLUMNS) if rebalance
+           else df.sortWithinPartitions(*DAY_PARTITION_COLUMNS))
+    (out.write.format("parquet").mode(mode)
+        .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
+        .partitionBy(*DAY_PARTITION_COLUMNS).save(path))
 
 
 def day_filter(day: dt.date):

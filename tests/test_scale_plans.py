@@ -66,3 +66,10 @@ def test_day_write_rebalances(spark):
     back = spark.read.parquet(path)
     assert back.count() == 30_000 and dict(back.dtypes)["P_Day"] == "string"
     assert "RebalancePartitions" in df.hint("rebalance", "P_Year")._jdf.queryExecution().analyzed().toString()
+
+
+def test_day_write_without_shuffle_for_clustered_input(spark):
+    df = with_day_partitions(_hot(spark), "ts")
+    path = scratch() + "/days_sorted"
+    write_day_partitioned(df, path, rebalance=False)
+    assert spark.read.parquet(path).count() == 30_000
