@@ -623,16 +623,16 @@ def land_with_metadata(spark, sf_dir):
 
 @register("load_audit", """
 SELECT 'run-0001' AS _run_id, 'events.parquet' AS _source_file, '2024-02-01' AS _load_day,
-       CAST(ts AS DATE) AS event_day, count(*) AS row_count, TIMESTAMP '2024-02-01 00:00:00' AS loaded_at,
+       strftime(ts, '%Y-%m-%d') AS event_day, count(*) AS row_count, TIMESTAMP '2024-02-01 00:00:00' AS loaded_at,
        min(ts) AS min_event_ts, max(ts) AS max_event_ts
-FROM events GROUP BY CAST(ts AS DATE)
+FROM events GROUP BY strftime(ts, '%Y-%m-%d')
 """)
 def load_audit(spark, sf_dir):
     """Rows, load time and event-time range per run, source file and event day."""
     from .operators.bronze import load_audit as audit
 
     landed = spark.read.parquet(_landed(spark, sf_dir))
-    return audit(landed, "ts", by=[F.to_date("ts").alias("event_day")])
+    return audit(landed, "ts", by=[F.date_format("ts", "yyyy-MM-dd").alias("event_day")])
 
 
 @register("replay", "SELECT *, 'run-0002' AS _run_id FROM events")
@@ -675,7 +675,7 @@ def sample_show(spark, sf_dir):
 
 @register("conform", """
 SELECT c_custkey, trim(regexp_replace(c_name, '\\s+', ' ', 'g')) AS name, c_nationkey AS nationkey,
-       CAST(c_acctbal AS DECIMAL(12,2)) AS acctbal,
+       CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS acctbal,
        array_to_string(list_transform(string_split(lower(c_mktsegment), ' '),
                                       lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS segment
 FROM customer
@@ -687,7 +687,8 @@ def conform(spark, sf_dir):
     rules = ConformRules(renames={"c_name": "name", "c_nationkey": "nationkey", "c_acctbal": "acctbal",
                                   "c_mktsegment": "segment"},
                          trim=["name"], title=["segment"], casts={"acctbal": "decimal(12,2)"})
-    return cf(table(spark, sf_dir, "customer"), rules)
+    out = cf(table(spark, sf_dir, "customer"), rules)
+    return out.withColumn("acctbal", F.col("acctbal").cast("double"))  # reported as double
 
 
 @register("encrypt_options", "SELECT c_custkey, c_name, CAST(8 * (strlen(c_name) // 8 + 1) AS INTEGER) AS cipher_bytes FROM customer")
