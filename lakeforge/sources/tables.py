@@ -40,12 +40,20 @@ def use_database(spark: SparkSession, name: str) -> None:
 
 
 def save_table(df: DataFrame, name: str, replace: bool = False, partition_by: Sequence[str] = (),
-               fmt: str = "parquet") -> None:
+               fmt: str = "parquet", bucket_by: tuple[int, Sequence[str]] | None = None) -> None:
     """Write ``df`` as a managed table. ``replace=False`` fails if it exists
-    (plain ``saveAsTable``); ``replace=True`` drops and re-creates it."""
+    (plain ``saveAsTable``); ``replace=True`` drops and re-creates it.
+
+    ``bucket_by=(n, keys)`` hash-buckets (and sorts) the rows by ``keys`` into ``n``
+    buckets: later joins and aggregations of two tables bucketed the same way on
+    their keys run without a shuffle of either side.
+    """
     writer = df.write.format(fmt).mode("overwrite" if replace else "errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if bucket_by:
+        n, keys = bucket_by
+        writer = writer.bucketBy(n, *keys).sortBy(*keys)
     writer.saveAsTable(name)
 
 

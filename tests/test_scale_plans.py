@@ -73,3 +73,22 @@ def test_day_write_without_shuffle_for_clustered_input(spark):
     path = scratch() + "/days_sorted"
     write_day_partitioned(df, path, rebalance=False)
     assert spark.read.parquet(path).count() == 30_000
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from lakeforge.sources import tables as T
+
+    T.create_database(spark, "bucket_db", scratch() + "/bucket_db")
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    T.save_table(li, "bucket_db.li", replace=True, bucket_by=(8, ["l_orderkey"]))
+    T.save_table(orders, "bucket_db.orders", replace=True, bucket_by=(8, ["o_orderkey"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = spark.table("bucket_db.li"), spark.table("bucket_db.orders")
+        j = a.join(b, a.l_orderkey == b.o_orderkey)
+        text = plan_text(j)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert j.count() == li.join(orders, li.l_orderkey == orders.o_orderkey).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
