@@ -159,38 +159,54 @@ def published_table_name(target_db: str, app: str, table: str) -> str:
     return f"{target_db}.{app}_{table}".lower()
 
 
+def _publish_table(spark: SparkSession, app_db: str, t: str, target_db: str, mode: str, app: str,
+                   day: dt.date, excluded: Sequence[str], provider: str, flag: str) -> list[tuple[str, str, str]]:
+    src_name = f"{app_db}.{t}"
+    if spark.catalog.getTable(src_name).tableType == "VIEW":
+        return []
+    steps = []
+    loc = table_location(spark, src_name)
+    name = published_table_name(target_db, app, t)
+    has_flag = flag in spark.table(src_name).columns
+    if mode == "external":
+        cols, parts = _ddl_columns(spark, src_name, excluded)
+        create_external_table(spark, name, loc, cols, parts, provider)
+        steps.append((t, "create_external_table", name))
+    else:
+        cols, parts = _ddl_columns(spark, src_name, excluded, rename=True)
+        create_internal_table(spark, name, cols, parts)
+        steps.append((t, "create_internal_table", name))
+        if all(p in parts for p in DAY_PARTITION_COLUMNS):
+            load_day(spark, spark.table(src_name), name, day, excluded)
+            steps.append((t, "load_day", f"{name}@{day.isoformat()}"))
+    if has_flag:
+        steps.append((t, "create_view", create_active_view(spark, name, flag, rename=(mode == "external"))))
+    return steps
+
+
 def publish(spark: SparkSession, app_db: str, target_db: str, mode: str = "internal", app: str | None = None,
             day: dt.date | None = None, days_back: int = -1, excluded: Sequence[str] = (),
-            provider: str = "parquet", target_location: str | None = None, flag: str = ACTIVE_FLAG) -> DataFrame:
+            provider: str = "parquet", target_location: str | None = None, flag: str = ACTIVE_FLAG,
+            max_parallel_tables: int = 4) -> DataFrame:
     """Publish every table of ``app_db`` into ``target_db``; returns a report
     with one row per executed step (table, step, object).
 
     ``mode="external"`` points tables at the application files; ``"internal"``
     copies one day (``day``, default today + ``days_back``) into managed tables.
+    Tables are published concurrently (``max_parallel_tables`` driver threads,
+    each submitting its own Spark jobs), so an application with many small
+    tables keeps the cluster busy; within a table the steps keep their order
+    (table before view).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     app = app or app_db
     create_database(spark, target_db, target_location)
     if day is None:
         day = dt.date.today() + dt.timedelta(days=days_back)
-    steps = []
-    for t in list_tables(spark, app_db):
-        src_name = f"{app_db}.{t}"
-        if spark.catalog.getTable(src_name).tableType == "VIEW":
-            continue
-        loc = table_location(spark, src_name)
-        name = published_table_name(target_db, app, t)
-        has_flag = flag in spark.table(src_name).columns
-        if mode == "external":
-            cols, parts = _ddl_columns(spark, src_name, excluded)
-            create_external_table(spark, name, loc, cols, parts, provider)
-            steps.append((t, "create_external_table", name))
-        else:
-            cols, parts = _ddl_columns(spark, src_name, excluded, rename=True)
-            create_internal_table(spark, name, cols, parts)
-            steps.append((t, "create_internal_table", name))
-            if all(p in parts for p in DAY_PARTITION_COLUMNS):
-                load_day(spark, spark.table(src_name), name, day, excluded)
-                steps.append((t, "load_day", f"{name}@{day.isoformat()}"))
-        if has_flag:
-            steps.append((t, "create_view", create_active_view(spark, name, flag, rename=(mode == "external"))))
+    tables = list_tables(spark, app_db)
+    with ThreadPoolExecutor(max_workers=max(1, max_parallel_tables)) as pool:
+        results = list(pool.map(lambda t: _publish_table(spark, app_db, t, target_db, mode, app, day, excluded,
+                                                         provider, flag), tables))
+    steps = [s for r in results for s in r]
     return spark.createDataFrame(steps, "table string, step string, object string")
