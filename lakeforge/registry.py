@@ -1,8 +1,9 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame
 computed over the whole driver tables, with an equivalent DuckDB SQL oracle.
 
-Column names are aliased identically on both sides; floating sums are taken as
-``decimal(18,2)`` and cast to double so the two engines agree bit for bit.
+Column names are aliased identically on both sides.  Money is summed exactly
+(decimal, or split 64-bit integer sums of cents) and cast to double only at the
+end, so the two engines agree bit for bit.
 """
 
 from __future__ import annotations
@@ -591,7 +592,6 @@ def list_files(spark, sf_dir):
 
     root = _build_app(spark, sf_dir)
     files = lf(spark, f"{root}/events", glob="*.parquet")
-    day = F.regexp_extract("path", r"P_Year=([0-9]{4})/P_Month=([0-9]{2})/P_Day=([0-9]{2})/", 0)
     day = F.concat_ws("-", F.regexp_extract("path", r"P_Year=([0-9]{4})", 1),
                       F.regexp_extract("path", r"P_Month=([0-9]{2})", 1),
                       F.regexp_extract("path", r"P_Day=([0-9]{2})", 1))
