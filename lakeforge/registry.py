@@ -702,3 +702,31 @@ def encrypt_options(spark, sf_dir):
     enc = cust.select("c_custkey", F.base64(encrypt_udf(ecb)("c_name")).alias("cipher"))
     return enc.select("c_custkey", decrypt_column("cipher", ecb, as_text=True).alias("c_name"),
                       F.length(F.unbase64("cipher")).alias("cipher_bytes"))
+
+
+@register("base64_text", """
+SELECT doc_id, base64(encode(text)) AS text_b64, octet_length(encode(text)) AS n_bytes FROM documents
+""")
+def base64_text(spark, sf_dir):
+    """Whole texts as UTF-8 bytes and one-line base64 (no line breaks)."""
+    from .functions import text as T
+
+    docs = table(spark, sf_dir, "documents")
+    raw = T.to_utf8("text")
+    return docs.select("doc_id", T.b64encode(raw).alias("text_b64"), F.octet_length(raw).alias("n_bytes"))
+
+
+@register("publish_report", """
+SELECT * FROM (VALUES
+  ('events', 'create_internal_table', 'warehouse.sales_app_events'),
+  ('events', 'load_day', 'warehouse.sales_app_events@2024-01-03'),
+  ('events', 'create_view', 'warehouse.sales_app_events_v'),
+  ('metrics', 'create_internal_table', 'warehouse.sales_app_metrics'),
+  ('metrics', 'load_day', 'warehouse.sales_app_metrics@2024-01-03'),
+  ('single', 'create_internal_table', 'warehouse.sales_app_single')
+) AS t("table", step, object)
+""")
+def publish_report(spark, sf_dir):
+    """The steps an internal publish executed for each application table
+    (views only where an active flag exists, day loads only for day-partitioned tables)."""
+    return _publish(spark, sf_dir, "internal")
