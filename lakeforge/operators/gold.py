@@ -74,9 +74,13 @@ def star_join(fact: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
     broadcast at run time.  Put the dimensions that shrink or widen the fact
     least last.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
+    # the size checks are independent small jobs: run them side by side
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(dims)))) as pool:
+        frames = list(pool.map(lambda d: broadcast_if_small(d.frame, d.broadcast_rows), dims))
     out = fact
-    for d in dims:
-        dim = broadcast_if_small(d.frame, d.broadcast_rows)
+    for d, dim in zip(dims, frames):
         cond = reduce(lambda a, b: a & b, [out[f] == dim[k] for f, k in d.on])
         out = out.join(dim, cond, d.how)
     return out
