@@ -477,7 +477,8 @@ def _build_app(spark, sf_dir):
 
     root = f"{work_path(spark, 'apps')}/{APP}"
     ev = table(spark, sf_dir, "events")
-    create_database(spark, APP_DB, work_path(spark, f"{APP_DB}.db", unique=False))
+    # a fresh location per session: the catalog is per session, files are not
+    create_database(spark, APP_DB, work_path(spark, f"{APP_DB}.db"))
     flagged = with_day_partitions(flag_active(ev, ["user_id"], ["ts", "event_id"]), "ts")
     write_day_partitioned(flagged, f"{root}/events")
     metrics = with_day_partitions(ev.select("event_id", "ts", F.format_number("value", 2).alias("value")), "ts").drop("ts")
@@ -501,8 +502,9 @@ def _publish(spark, sf_dir, mode, loads=1):
     day = dt.date.fromisoformat(LOAD_DAY)
     report = None
     for _ in range(loads):
+        # only the first call of a session creates the database (at a fresh location)
         report = publish(spark, APP_DB, WAREHOUSE_DB, mode=mode, app=APP, day=day,
-                         target_location=work_path(spark, "warehouse.db", unique=False))
+                         target_location=work_path(spark, "warehouse.db"))
     return report
 
 

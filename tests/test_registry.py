@@ -37,3 +37,30 @@ def test_query_matches_oracle(spark, con, name):
     res = con.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(res.columns)
     assert rows_of(df.columns, srows, 9) == rows_of(res.columns, res.fetchall(), 9)
+
+
+def test_publish_queries_survive_a_new_session_on_the_same_shared_folder():
+    """The catalog lives per session, the shared folder does not: a second
+    process must publish again without tripping over the first one's files."""
+    import os
+    import subprocess
+    import sys
+
+    from .helpers import scratch
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shared = scratch() + "/shared"
+    script = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = (SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.checkpoint.dir', %r).getOrCreate())\n"
+        "import __spark_entry__ as E\n"
+        "print(E.queries()['day_load'](spark, %r).count())\n" % (root, shared, SF_SMALL)
+    )
+    counts = []
+    for _ in range(2):
+        out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=600)
+        assert out.returncode == 0, out.stderr[-2000:]
+        counts.append(int(out.stdout.strip().splitlines()[-1]))
+    assert counts[0] == counts[1] > 0
