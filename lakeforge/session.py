@@ -119,3 +119,31 @@ def input_bytes(spark: SparkSession, *paths: str) -> int:
         fs, path = hadoop_fs(spark, p)
         total += int(fs.getContentSummary(path).getLength())
     return total
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Make this package importable by Python workers on every executor.
+
+    Cluster images usually install it, or it is passed with ``--py-files``; for an
+    ad-hoc session this zips the package into the shared folder and adds it with
+    ``SparkContext.addPyFile`` (Arrow UDFs such as the cipher import it on the
+    executors).  Returns the zip path.
+    """
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = work_path(spark, "pyfiles")
+    fs, path = hadoop_fs(spark, base)
+    fs.mkdirs(path)
+    local_zip = os.path.join(tempfile.mkdtemp(prefix="lakeforge-zip-"), "lakeforge.zip")
+    with zipfile.ZipFile(local_zip, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("lakeforge", os.path.relpath(full, pkg_dir)))
+    jvm = spark.sparkContext._jvm
+    target = f"{base}/lakeforge.zip"
+    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(local_zip), jvm.org.apache.hadoop.fs.Path(target))
+    spark.sparkContext.addPyFile(target)
+    return target

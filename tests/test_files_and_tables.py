@@ -88,3 +88,14 @@ def test_size_for_input(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 * 1024 * 1024))
+
+
+def test_ship_package(spark):
+    from lakeforge.session import ship_package
+
+    path = ship_package(spark)
+    assert path.endswith("lakeforge.zip")
+    import zipfile
+    local = path.replace("file:", "")
+    names = zipfile.ZipFile(local).namelist()
+    assert "lakeforge/functions/cipher.py" in names and "lakeforge/__init__.py" in names
