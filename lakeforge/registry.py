@@ -470,6 +470,8 @@ def _build_app(spark, sf_dir):
 
     Returns the root folder of the application files.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from .operators.silver import flag_active
     from .plans.publish import create_external_table, with_day_partitions, write_day_partitioned
     from .session import work_path
@@ -480,13 +482,20 @@ def _build_app(spark, sf_dir):
     # a fresh location per session: the catalog is per session, files are not
     create_database(spark, APP_DB, work_path(spark, f"{APP_DB}.db"))
     flagged = with_day_partitions(flag_active(ev, ["user_id"], ["ts", "event_id"]), "ts")
-    write_day_partitioned(flagged, f"{root}/events")
     metrics = with_day_partitions(ev.select("event_id", "ts", F.format_number("value", 2).alias("value")), "ts").drop("ts")
-    write_day_partitioned(metrics, f"{root}/metrics")
-    ev.select("event_id").write.mode("overwrite").parquet(f"{root}/single")
-    create_external_table(spark, f"{APP_DB}.events", f"{root}/events", None)
-    create_external_table(spark, f"{APP_DB}.metrics", f"{root}/metrics", None)
-    create_external_table(spark, f"{APP_DB}.single", f"{root}/single", None, partition_cols=())
+    writes = [
+        lambda: write_day_partitioned(flagged, f"{root}/events"),
+        lambda: write_day_partitioned(metrics, f"{root}/metrics"),
+        lambda: ev.select("event_id").write.mode("overwrite").parquet(f"{root}/single"),
+    ]
+    tables = [
+        lambda: create_external_table(spark, f"{APP_DB}.events", f"{root}/events", None),
+        lambda: create_external_table(spark, f"{APP_DB}.metrics", f"{root}/metrics", None),
+        lambda: create_external_table(spark, f"{APP_DB}.single", f"{root}/single", None, partition_cols=()),
+    ]
+    with ThreadPoolExecutor(max_workers=3) as pool:  # independent jobs run side by side
+        for step in (writes, tables):
+            list(pool.map(lambda f: f(), step))
     return root
 
 
