@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-from ..session import hadoop_fs
+from ..session import hadoop_fs, work_path
 
 LISTING_SCHEMA = StructType([
     StructField("path", StringType(), False),
@@ -26,25 +26,44 @@ LISTING_SCHEMA = StructType([
 ])
 
 
-def list_files(spark: SparkSession, root: str, include_hidden: bool = False, glob: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, include_hidden: bool = False, glob: str | None = None,
+               batch_rows: int = 200_000) -> DataFrame:
     """Every file (not folder) below ``root``, in no particular order."""
     if include_hidden:
-        return _list_all(spark, root)
+        return _list_all(spark, root, batch_rows)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(root).select("path", "length", "modificationTime")
 
 
-def _list_all(spark: SparkSession, root: str) -> DataFrame:
+def _list_all(spark: SparkSession, root: str, batch_rows: int = 200_000) -> DataFrame:
+    """Every file below ``root`` through the Hadoop file-system listing (hidden and
+    empty files included).  The listing is an iterator on the driver; rows are
+    written out in batches of ``batch_rows`` to a table in the shared folder, so a
+    large tree never sits in driver memory at once."""
     fs, path = hadoop_fs(spark, root)
     it = fs.listFiles(path, True)
-    rows = []
+    rows, out = [], None
+
+    def flush():
+        nonlocal rows, out
+        if out is None:
+            out = work_path(spark, "listing")
+        spark.createDataFrame(rows, LISTING_SCHEMA).write.mode("append").parquet(out)
+        rows = []
+
     while it.hasNext():
         st = it.next()
         rows.append((st.getPath().toString(), int(st.getLen()),
-                     dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc).replace(tzinfo=None)))
-    return spark.createDataFrame(rows, LISTING_SCHEMA)
+                     dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc)))
+        if len(rows) >= batch_rows:
+            flush()
+    if out is None:
+        return spark.createDataFrame(rows, LISTING_SCHEMA)
+    if rows:
+        flush()
+    return spark.read.schema(LISTING_SCHEMA).parquet(out)
 
 
 def read_with_source(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:

@@ -99,3 +99,8 @@ def test_ship_package(spark):
     local = path.replace("file:", "")
     names = zipfile.ZipFile(local).namelist()
     assert "lakeforge/functions/cipher.py" in names and "lakeforge/__init__.py" in names
+
+
+def test_list_files_hidden_in_batches(spark, tree):
+    small = FS.list_files(spark, tree, include_hidden=True, batch_rows=2)
+    assert _names(small, tree) == [".hid", "a/b/_delta_log/0.json", "a/b/z.csv", "a/empty", "a/y.csv", "x.csv"]
