@@ -4,9 +4,10 @@
 every file below a folder.  The default uses Spark's ``binaryFile`` source with
 the ``content`` column pruned, so only file-system metadata is read and large
 trees are listed in parallel by the cluster.  Like every Spark file source it
-skips names starting with ``_`` or ``.`` and empty files; ``include_hidden=True``
-lists everything through the Hadoop file system API instead (driver-side
-iteration, meant for small trees such as table folders).
+skips names starting with ``_`` or ``.`` and empty files.  ``include_hidden=True``
+lists everything through the Hadoop file system's recursive listing instead
+(one paged listing per prefix on object stores); it is iterated on the driver
+and written out in bounded batches, so driver memory does not grow with the tree.
 """
 
 from __future__ import annotations
