@@ -741,3 +741,12 @@ def publish_report(spark, sf_dir):
     """The steps an internal publish executed for each application table
     (views only where an active flag exists, day loads only for day-partitioned tables)."""
     return _publish(spark, sf_dir, "internal")
+
+
+@register("quality_passed", "SELECT * FROM events WHERE " + " AND ".join(
+    f"coalesce({r}, false)" for r in _QUALITY_RULES_SQL.values()))
+def quality_passed(spark, sf_dir):
+    """The rows that meet every rule (a plain conjunction, pushed to the scan)."""
+    from .operators.gold import apply_quality
+
+    return apply_quality(table(spark, sf_dir, "events"), _quality_rules())[0]
