@@ -304,13 +304,18 @@ def star_join(spark, sf_dir):
         "l_orderkey", "l_linenumber", "o_orderdate", "c_name", "n_name", "l_extendedprice")
 
 
-def _sales_by_nation(spark, sf_dir):
+def _nation(spark, sf_dir):
+    from .operators.joins import broadcast_if_small
+
+    return broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+
+
+def _sales_by_nation(spark, sf_dir, nation=None):
     """Revenue per nation, aggregated as early as possible:
     lineitem -> per order -> per customer -> per nation.  Each step shrinks the
     rows before the next join, and each join reuses the partitioning of the
     aggregate before it."""
     from .operators.gold import cents, exact_units_sum, mart
-    from .operators.joins import broadcast_if_small
 
     li = table(spark, sf_dir, "lineitem")
     # revenue of a line in 1/10000 units: cents x (100 - discount in cents)
@@ -323,7 +328,7 @@ def _sales_by_nation(spark, sf_dir):
     per_cust = mart(per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"]), ["o_custkey"],
                     {"rev": F.sum("rev"), "lines": F.sum("lines")})
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+    nation = _nation(spark, sf_dir) if nation is None else nation
     joined = (per_cust.join(customer, per_cust["o_custkey"] == customer["c_custkey"])
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     return mart(joined, ["n_name"], {"revenue": F.sum("rev").cast("double"),
@@ -347,15 +352,14 @@ FROM s FULL OUTER JOIN p ON s.n_name = p.n_name
 def cross_mart(spark, sf_dir):
     """Sales mart joined with the supplier mart on the conformed nation name."""
     from .operators.gold import cross_mart as cm, mart, money
-    from .operators.joins import broadcast_if_small
 
     supplier = table(spark, sf_dir, "supplier")
-    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+    nation = _nation(spark, sf_dir)  # checked once, used by both marts
     supp = mart(supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]), ["n_name"], {
         "supplier_count": F.count(F.lit(1)),
         "supplier_acctbal": F.sum(money("s_acctbal")).cast("double"),
     })
-    return cm([_sales_by_nation(spark, sf_dir), supp], ["n_name"])
+    return cm([_sales_by_nation(spark, sf_dir, nation), supp], ["n_name"])
 
 
 _QUALITY_RULES_SQL = {
