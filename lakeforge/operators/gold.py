@@ -100,8 +100,9 @@ def apply_quality(df: DataFrame, rules: Mapping[str, Column], failed_col: str =
     names = list(rules)
     ok = {n: F.coalesce(rules[n], F.lit(False)) for n in names}
     all_ok = reduce(lambda a, b: a & b, ok.values())
-    # passed: a plain conjunction (code-generated, and pushed to the scan where it can be)
-    passed = df.where(all_ok)
+    # passed: the raw conjunction.  WHERE already drops rows where it is NULL, so
+    # no coalesce is needed here, and simple comparisons reach the parquet scan.
+    passed = df.where(reduce(lambda a, b: a & b, [rules[n] for n in names]))
     failed = F.filter(F.array(*[F.when(~ok[n], F.lit(n)) for n in names]), lambda x: x.isNotNull())
     rejected = df.where(~all_ok).withColumn(failed_col, failed)
     counts = df.agg(F.count(F.lit(1)).alias("_total"),
