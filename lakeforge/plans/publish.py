@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,15 @@ def write_day_partitioned(df: DataFrame, path: str, rows_per_file: int = 1_000_0
         .partitionBy(*DAY_PARTITION_COLUMNS).save(path))
 
 
-def day_filter(day: dt.date):
-    """Partition filter on the three day columns, compared as text (prunes folders)."""
-    y, m, d = day_parts_python(day)
-    return (F.col("P_Year") == y) & (F.col("P_Month") == m) & (F.col("P_Day") == d)
+def day_filter(day):
+    """Partition filter on the three day columns, compared as text (prunes folders).
+    ``day`` is a date or a list of dates (a backfill)."""
+    days = [day] if isinstance(day, dt.date) else list(day)
+    conds = []
+    for one in days:
+        y, m, d = day_parts_python(one)
+        conds.append((F.col("P_Year") == y) & (F.col("P_Month") == m) & (F.col("P_Day") == d))
+    return reduce(lambda a, b: a | b, conds)
 
 
 # --------------------------------------------------------------------------- DDL pieces
@@ -118,13 +124,15 @@ def create_internal_table(spark: SparkSession, name: str, columns: Sequence[str]
     spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_ident(name)} ({', '.join(defs)}) USING parquet{part}")
 
 
-def load_day(spark: SparkSession, source: DataFrame, target: str, day: dt.date,
+def load_day(spark: SparkSession, source: DataFrame, target: str, day,
              excluded: Sequence[str] = ()) -> None:
     """Copy one day's partition of ``source`` into ``target``.
 
     The day filter is on the partition columns, so only that day's folders are
     read.  The write is an ``INSERT OVERWRITE`` of the touched partition only
-    (dynamic mode): loading the same day twice leaves one copy.
+    (dynamic mode): loading the same day twice leaves one copy.  ``day`` may be a
+    list of dates: a backfill is then one pruned job that replaces exactly those
+    days.
     """
     src = rename_reserved(source.where(day_filter(day)).drop(*[c for c in excluded if c not in DAY_PARTITION_COLUMNS]))
     target_cols = spark.table(target).columns

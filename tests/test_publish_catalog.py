@@ -107,3 +107,20 @@ def test_column_clauses_are_native(spark, app):
     meta = C.column_metadata(spark, "sales_app", ["single"])
     text = plan_text(C.gather_columns(meta))
     assert "Python" not in text and "ArrowEvalPython" not in text
+
+
+def test_load_days_backfill_in_one_job(spark, app):
+    days = [dt.date(2024, 1, 3), dt.date(2024, 1, 4), dt.date(2024, 1, 5)]
+    src = spark.table("sales_app.events")
+    text = plan_text(src.where(P.day_filter(days)))
+    assert "PartitionFilters: [" in text
+    cols = ["event_id bigint", "ts timestamp_ntz", "user_id bigint", "event_type string", "value double",
+            "props string", "Row_IsActive boolean"]
+    spark.sql("DROP TABLE IF EXISTS sales_app.backfill")
+    P.create_internal_table(spark, "sales_app.backfill", cols)
+    P.load_day(spark, src, "sales_app.backfill", days)
+    P.load_day(spark, src, "sales_app.backfill", days[1:])  # re-run of two days replaces them
+    want = src.where(P.day_filter(days)).count()
+    assert spark.table("sales_app.backfill").count() == want
+    assert spark.table("sales_app.backfill").select("P_Day").distinct().count() == 3
+    spark.sql("DROP TABLE sales_app.backfill")
