@@ -92,3 +92,34 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == li.join(orders, li.l_orderkey == orders.o_orderkey).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_aqe_splits_the_hot_group_in_cross_reference(spark):
+    """The join back of ``cross_reference`` is left to AQE; with a group holding a
+    third of the rows, the executed plan marks the sort-merge join as skewed
+    (its hot partition is split over several tasks) and the result stays exact."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = _hot(spark, 60_000).select("event_id", "user_id")
+        out = S.cross_reference(df, ["user_id"], "event_id")
+        rows = out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "isSkew=true" in final or "skew=true" in final
+        assert len(rows) == 60_000
+        assert {r.master_key for r in rows if r.user_id == 0} == {0}
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
