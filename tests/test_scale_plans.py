@@ -123,3 +123,36 @@ def test_aqe_splits_the_hot_group_in_cross_reference(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_aqe_splits_a_hot_order_in_the_star_join(spark):
+    """A fact key holding a third of the rows: the fact-to-dimension sort-merge
+    join of ``star_join`` (dimension too big to broadcast) gets its hot partition
+    split by AQE."""
+    from lakeforge.operators.gold import Dimension, star_join
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(60_000).select(F.col("id").alias("line"),
+                                          F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("orderkey"))
+        orders = spark.range(5000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 10).alias("o_total"))
+        out = star_join(fact, [Dimension(orders, [("orderkey", "o_orderkey")], broadcast_rows=10)])
+        assert len(out.collect()) == 60_000  # executes this plan (count() would plan a new one)
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
