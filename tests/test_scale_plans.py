@@ -156,3 +156,31 @@ def test_aqe_splits_a_hot_order_in_the_star_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_flag_join_is_balanced_under_a_hot_key(spark):
+    """``flag_active`` joins on keys plus order columns: even with one user holding
+    a third of the rows, AQE finds no skewed partition to split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = S.flag_active(_hot(spark, 60_000), ["user_id"], ["ts", "event_id"])
+        rows = out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in final and "skew=true" not in final
+        assert sum(r.Row_IsActive for r in rows) == 1000 and len(rows) == 60_000
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
