@@ -184,3 +184,23 @@ def test_flag_join_is_balanced_under_a_hot_key(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_day_is_written_by_several_tasks(spark):
+    """A day holding most of the rows: the rebalanced write splits that day's rows
+    over several tasks (several files) instead of one task holding the day."""
+    import os
+
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = with_day_partitions(_hot(spark, 60_000), "ts")
+        top = df.groupBy("P_Year", "P_Month", "P_Day").count().orderBy(F.desc("count")).first()
+        path = scratch() + "/hot_day"
+        write_day_partitioned(df, path)
+        day_dir = f"{path}/P_Year={top.P_Year}/P_Month={top.P_Month}/P_Day={top.P_Day}"
+        files = [f for f in os.listdir(day_dir) if f.endswith(".parquet")]
+        assert top["count"] > 20_000 and len(files) > 1
+        assert spark.read.parquet(path).count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
