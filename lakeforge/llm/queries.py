@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, quality_ledger, token_counts, url_rules, warc
+from . import bag_minhash, bpe_tree, decontaminate, quality_ledger, suffix_dedup, token_counts, url_rules, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,19 @@ def op6_quality_ledger(spark, table):
                            f"failed_bits & {quality_ledger.mask('base')}L != 0 AS base_failed", "kept")
 
 
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark, table):
+    """Bytes of every document that a 400-byte string repeated elsewhere covers."""
+    return suffix_dedup.report(table("documents"))
+
+
 @register("op9_warc_round_trip", warc.ORACLE)
 def op9_warc_round_trip(spark, table):
     """Every page written as a WARC record and read back from the archives."""
     return warc.round_trip(table("pages"))
+
+
+@register("op10_bag_minhash")
+def op10_bag_minhash(spark, table):
+    """Near-duplicate class, its size and the number of verified links of every document."""
+    return bag_minhash.classes(table("documents"))
