@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, bpe_tree, decontaminate, quality_ledger, suffix_dedup, token_counts, url_rules, warc
+from . import bag_minhash, bpe_tree, chat_repair, decontaminate, html_graph, quality_ledger, suffix_dedup, token_counts, url_rules, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op3_url_rules(spark, table):
     return url_rules.judge(table("pages"), rules)
 
 
+@register("op4_chat_repair")
+def op4_chat_repair(spark, table):
+    """Every conversation with its roles repaired at least cost, a rendered row per turn."""
+    return chat_repair.repair(table("conversations"))
+
+
 @register("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark, table):
     """Ids of every document by tree reduction, and the bytes decoded from them."""
@@ -67,6 +73,12 @@ def op7_suffix_dedup(spark, table):
     return suffix_dedup.report(table("documents"))
 
 
+@register("op8_html_graph")
+def op8_html_graph(spark, table):
+    """Main text of every page by the marginals of its DOM."""
+    return html_graph.extract_pages(table("pages"))
+
+
 @register("op9_warc_round_trip", warc.ORACLE)
 def op9_warc_round_trip(spark, table):
     """Every page written as a WARC record and read back from the archives."""
