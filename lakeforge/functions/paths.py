@@ -70,8 +70,3 @@ def with_path_parts(df: DataFrame, path_col: str = "path", prefix: str = "file_"
         file_month(date).alias(f"{prefix}month"),
         file_day(date).alias(f"{prefix}day"),
     )
-
-
-def source_path() -> Column:
-    """Full path of the file a row was read from (file sources only)."""
-    return F.col("_metadata.file_path")

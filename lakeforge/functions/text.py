@@ -34,20 +34,11 @@ def remove_newlines(c) -> Column:
     return F.replace(_c(c), F.lit("\n"), F.lit(""))
 
 
-def squeeze_spaces(c) -> Column:
-    """Trim and collapse runs of whitespace to one space."""
-    return F.trim(F.regexp_replace(_c(c), r"\s+", " "))
-
-
 def to_utf8(c) -> Column:
     """Text to its UTF-8 bytes."""
     return F.encode(_c(c), "UTF-8")
 
 
-def from_utf8(c) -> Column:
-    return F.decode(_c(c), "UTF-8")
-
-
 def b64encode(c) -> Column:
     """Base64 text of a binary column (one line when ``spark.sql.chunkBase64String.enabled`` is false)."""
     return F.base64(_c(c))
@@ -56,8 +47,3 @@ def b64encode(c) -> Column:
 def b64decode(c, strict: bool = True) -> Column:
     """Bytes of base64 text; ``strict=False`` gives NULL for malformed input."""
     return F.unbase64(_c(c)) if strict else F.try_to_binary(_c(c), F.lit("base64"))
-
-
-def cast_to(c, type_name: str, strict: bool = False) -> Column:
-    """``c::type``; by default dirty values become NULL instead of failing."""
-    return _c(c).cast(type_name) if strict else _c(c).try_cast(type_name)

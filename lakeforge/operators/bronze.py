@@ -2,7 +2,7 @@
 archive that can be audited and replayed.
 
 Landing is a map-only job (scan -> add literal columns -> write); the archive is
-partitioned by load day, so a replay of some days reads only those folders.
+partitioned by load day and run, so a replay of some days or runs reads only those folders.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ LOAD_TS = "_load_ts"
 RUN_ID = "_run_id"
 SOURCE_FILE = "_source_file"
 LOAD_DAY = "_load_day"
-METADATA_COLUMNS = (LOAD_TS, RUN_ID, SOURCE_FILE, LOAD_DAY)
 
 
 def _ts_col(run_ts) -> Column:
@@ -53,19 +52,14 @@ def land(df: DataFrame, path: str, mode: str = "append", partition_by: Sequence[
     writer.save(path)
 
 
-def archive(df: DataFrame, path: str, day_col: str = LOAD_DAY, fmt: str = "parquet") -> None:
-    """L4: append to the history archive partitioned by load day.
+def archive(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """L4: write a run to the history archive, partitioned by load day and run.
 
-    With ``partitionOverwriteMode=dynamic`` a re-run of the same load should use
-    ``rearchive`` which replaces only the days present in ``df``.
+    Only the (load day, run) folders present in ``df`` are replaced: other runs of
+    the same day stay, and a run that is retried is there once.
     """
-    df.write.format(fmt).mode("append").partitionBy(day_col).save(path)
-
-
-def rearchive(df: DataFrame, path: str, day_col: str = LOAD_DAY, fmt: str = "parquet") -> None:
-    """Idempotent archive write: overwrite only the load days present in ``df``."""
     (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(day_col).save(path))
+       .partitionBy(LOAD_DAY, RUN_ID).save(path))
 
 
 def load_audit(landed: DataFrame, event_ts: str | None = None, by: Sequence[Column] = ()) -> DataFrame:
@@ -84,15 +78,10 @@ def load_audit(landed: DataFrame, event_ts: str | None = None, by: Sequence[Colu
 def replay(spark: SparkSession, path: str, days: Iterable[str] | None = None,
            run_ids: Iterable[str] | None = None, fmt: str = "parquet") -> DataFrame:
     """Re-read archived rows for some load days and/or runs, without going back
-    to the source.  The day filter prunes partitions (folders are never opened)."""
+    to the source.  Both filters prune partitions (other folders are never opened)."""
     df = spark.read.format(fmt).load(path)
     if days is not None:
         df = df.where(F.col(LOAD_DAY).isin([str(d) for d in days]))
     if run_ids is not None:
         df = df.where(F.col(RUN_ID).isin(list(run_ids)))
     return df
-
-
-def business_columns(df: DataFrame) -> DataFrame:
-    """The landed rows without the load metadata columns."""
-    return df.drop(*METADATA_COLUMNS)

@@ -16,24 +16,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
-
 MONEY = "decimal(18,2)"
 
 
-def money(c) -> Column:
-    """A two-decimal amount as an exact decimal."""
-    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
-
-
-def money_sum(c) -> Column:
-    """Exact sum of a decimal expression, as double."""
-    return F.sum(c).cast("double")
+def cents(c) -> Column:
+    """A two-decimal amount as an integer number of cents; an amount with more decimals raises."""
+    scaled = (F.col(c) if isinstance(c, str) else c) * 100
+    whole = F.round(scaled)
+    # a double holds a two-decimal amount to a relative error below 1e-15
+    more = F.abs(scaled - whole) > 1e-6 + F.abs(scaled) * 1e-14
+    return F.when(more, F.raise_error(F.lit("amount has more than two decimals"))).otherwise(whole.cast("long"))
 
 
-def cents(c) -> Column:
-    """A two-decimal amount as an integer number of cents."""
-    return F.round((F.col(c) if isinstance(c, str) else c) * 100).cast("long")
+def money(c) -> Column:
+    """A two-decimal amount as an exact decimal; an amount with more decimals raises."""
+    return (cents(c).cast("decimal(20,0)") / F.lit(100)).cast(MONEY)
 
 
 SPLIT_BITS = 24
@@ -58,32 +55,26 @@ def exact_units_sum(units: Column, scale: int) -> Column:
 
 @dataclass
 class Dimension:
-    """A dimension to attach: its frame, the join columns (fact column, dim column)
-    and the largest row count for which it may be broadcast."""
+    """A dimension to attach: its frame and the join columns (fact column, dim column)."""
 
     frame: DataFrame
     on: Sequence[tuple[str, str]]
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     how: str = "inner"
 
 
 def star_join(fact: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
     """Denormalise a fact with its dimensions, in the order given.
 
-    Each dimension proven small is broadcast (no shuffle of the fact); a large
-    one is joined by a shuffle on the key, which AQE may still turn into a
-    broadcast at run time.  Put the dimensions that shrink or widen the fact
-    least last.
+    The strategy is Spark's: a dimension whose files are below the broadcast
+    threshold is broadcast, another one is joined by a shuffle on the key, which
+    AQE may turn into a broadcast from the measured size and whose skewed
+    partitions it splits.  No job runs while the join is declared.  Put the
+    dimensions that shrink or widen the fact least last.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    # the size checks are independent small jobs: run them side by side
-    with ThreadPoolExecutor(max_workers=max(1, min(8, len(dims)))) as pool:
-        frames = list(pool.map(lambda d: broadcast_if_small(d.frame, d.broadcast_rows), dims))
     out = fact
-    for d, dim in zip(dims, frames):
-        cond = reduce(lambda a, b: a & b, [out[f] == dim[k] for f, k in d.on])
-        out = out.join(dim, cond, d.how)
+    for d in dims:
+        cond = reduce(lambda a, b: a & b, [out[f] == d.frame[k] for f, k in d.on])
+        out = out.join(d.frame, cond, d.how)
     return out
 
 
@@ -127,5 +118,8 @@ def mart(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) ->
 # --------------------------------------------------------------------------- L16 cross mart
 
 def cross_mart(marts: Sequence[DataFrame], on: Sequence[str], how: str = "full_outer") -> DataFrame:
-    """Join marts that share conformed keys (``on``)."""
+    """Join marts that share conformed keys (``on``).
+
+    A mart has one row per key, so no key is frequent here.
+    """
     return reduce(lambda a, b: a.join(b, list(on), how), marts)

@@ -49,21 +49,11 @@ def not_in(column: ColumnOrName, values: Iterable) -> Column:
     return ~_col(column).isin(list(values))
 
 
-def is_true(column: ColumnOrName) -> Column:
-    """Boolean column test (``where flag = true``)."""
-    return _col(column) == F.lit(True)
-
-
 def distinct_rows(df: DataFrame) -> DataFrame:
     """GROUP BY every output column with no aggregate, i.e. distinct rows."""
     return df.distinct()
 
 
-def order_by_desc(df: DataFrame, *columns: ColumnOrName) -> DataFrame:
-    """ORDER BY ... DESC (NULLs last)."""
-    return df.orderBy(*[_col(c).desc_nulls_last() for c in columns])
-
-
 def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     """First ``k`` rows by ``order``. Planned as a per-partition top-k followed by
     a merge of at most ``k`` rows per partition (``TakeOrderedAndProject``); give a

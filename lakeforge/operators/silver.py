@@ -3,14 +3,18 @@ merge sources into a master, cross-reference keys, normalise.
 
 Skew notes (one key may hold a third of all rows):
 
-* ``dedupe_latest`` / ``dedupe_exact`` use ``row_number() = 1``; Spark plans a
-  partial group limit before the shuffle, so each map task sends at most one row
-  per key; a hot key never reaches one task whole.
+* ``dedupe_latest`` uses ``row_number() = 1``; Spark plans a partial group limit
+  before the shuffle, so each map task sends at most one row per key; a hot key
+  never reaches one task whole.
+* ``dedupe_exact`` aggregates digests (partial ``min``) and touches whole rows
+  only where a digest repeats.
 * ``flag_active`` joins back on keys *plus* the order columns; that join key is
   near-unique, so hash partitioning spreads a hot key over all tasks.
-* ``cross_reference`` aggregates with map-side partial ``min`` and joins back to
-  the per-group table; AQE broadcasts it when its measured size is small and
-  otherwise splits the skewed partitions of the sort-merge join.
+* ``match_merge`` is one aggregation per key; each task reduces its rows of a hot
+  key before the shuffle.
+* ``cross_reference`` writes the per-group table (partial ``min``) and joins the
+  re-read table, so a small one is broadcast before any row moves; otherwise AQE
+  splits the skewed partitions of the sort-merge join.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
+
 ACTIVE_FLAG = "Row_IsActive"
 
 
@@ -30,7 +36,8 @@ ACTIVE_FLAG = "Row_IsActive"
 @dataclass
 class ConformRules:
     """Column rules applied in one projection (in this order per column):
-    rename, trim + collapse spaces, case, cast (dirty values to NULL), default."""
+    rename, trim + collapse spaces, case, cast, default.  A value that can't be
+    cast fails the job if ``strict``, else becomes NULL."""
 
     renames: Mapping[str, str] = field(default_factory=dict)
     trim: Sequence[str] = ()
@@ -40,6 +47,7 @@ class ConformRules:
     casts: Mapping[str, str] = field(default_factory=dict)
     defaults: Mapping[str, object] = field(default_factory=dict)
     remove_newlines: Sequence[str] = ()
+    strict: bool = False
 
 
 def conform(df: DataFrame, rules: ConformRules) -> DataFrame:
@@ -59,7 +67,7 @@ def conform(df: DataFrame, rules: ConformRules) -> DataFrame:
         if new in rules.title:
             c = F.initcap(c)
         if new in rules.casts:
-            c = c.try_cast(rules.casts[new])
+            c = c.cast(rules.casts[new]) if rules.strict else c.try_cast(rules.casts[new])
         if new in rules.defaults:
             c = F.coalesce(c, F.lit(rules.defaults[new]))
         out.append(c.alias(new))
@@ -81,31 +89,42 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str])
 
 
 def dedupe_exact(df: DataFrame, subset: Sequence[str], keep_min: str) -> DataFrame:
-    """Among rows equal on ``subset`` keep the one with the smallest ``keep_min``.
+    """Among rows equal on ``subset`` keep the one with the smallest ``keep_min`` (NULL last).
 
-    Rows are grouped by a 64-bit hash of the subset *and* the subset itself: the
-    hash makes the sort cheap (long texts are compared only on equal hash), the
-    values keep the result exact.
+    Rows are equal if the SHA-256 of their ``subset`` is.  First only digests are
+    aggregated, some 40 bytes a row; those that repeat are written down.  Rows
+    whose digest doesn't repeat pass untouched, the others meet their digest's
+    least ``keep_min``; only rows that tie there are compared by a window.
     """
-    w = Window.partitionBy(F.xxhash64(*subset), *subset).orderBy(F.col(keep_min).asc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
-def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    """Whole-row duplicates out (partial + final hash aggregate)."""
-    return df.dropDuplicates()
+    digest = F.unhex(key_text(*subset, digest=True))
+    again = (df.select(digest.alias("_d"), F.col(keep_min).alias("_k")).groupBy("_d")
+             .agg(F.min("_k").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    again = measured(again, "dedupe")
+    rows = df.withColumn("_d", digest)
+    alone = rows.join(again, "_d", "left_anti").drop("_d")
+    least = rows.join(again, "_d").where(F.col(keep_min).eqNullSafe(F.col("_least"))).drop("_least")
+    one = least.withColumn("_rn", F.row_number().over(Window.partitionBy("_d").orderBy(F.lit(1)))).where("_rn = 1")
+    return alone.unionByName(one.drop("_d", "_rn"))
 
 
 # --------------------------------------------------------------------------- L9 current-row flag
 
 def flag_active(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str], flag: str = ACTIVE_FLAG) -> DataFrame:
-    """Every row plus a boolean ``flag`` that is true on the latest row per key."""
+    """Every row plus a boolean ``flag`` that is true on the latest row per key.
+
+    Exactly one row of a key is active: rows that tie on keys and order columns,
+    repeated rows included, are numbered (by their other columns), and the first
+    one counts.
+    """
     cols = list(dict.fromkeys([*keys, *order_desc]))
+    rest = [c for c, kind in df.dtypes if c not in cols and not kind.startswith(("map", "variant"))]
+    tied = Window.partitionBy(*cols).orderBy(*[F.col(c).asc_nulls_first() for c in rest] or [F.lit(1)])
+    rows = df.withColumn("_tie", F.row_number().over(tied))
     latest = dedupe_latest(df.select(*cols), keys, order_desc).withColumn(flag, F.lit(True))
     latest = latest.select(*[F.col(c).alias(f"_l_{c}") for c in cols], flag)
-    cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(latest[f"_l_{c}"]) for c in cols])
-    joined = df.join(latest, cond, "left")
-    return joined.select(*[df[c] for c in df.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+    cond = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(latest[f"_l_{c}"]) for c in cols])
+    active = F.coalesce(F.col(flag), F.lit(False)) & (F.col("_tie") == 1)
+    return rows.join(latest, cond, "left").select(*[rows[c] for c in df.columns], active.alias(flag))
 
 
 def active_rows(df: DataFrame, flag: str = ACTIVE_FLAG) -> DataFrame:
@@ -117,29 +136,34 @@ def active_rows(df: DataFrame, flag: str = ACTIVE_FLAG) -> DataFrame:
 
 def match_merge(left: DataFrame, right: DataFrame, on: Sequence[str], prefer: str = "left",
                 source_col: str = "_matched") -> DataFrame:
-    """Merge two conformed sources into one master.
+    """Merge two conformed sources into one master with one row per key.
 
-    Full outer join on ``on``; each attribute present in both takes the
-    preferred source's value when not NULL, else the other's.  ``source_col`` says
-    where the row came from: ``both``, ``left`` or ``right``.
+    Each attribute present in both takes the preferred source's value when not
+    NULL, else the other's.  ``source_col`` says where the row came from:
+    ``both``, ``left`` or ``right``.  A key that a source repeats is first reduced
+    to that source's least row.  Rows with a NULL in the key match nothing and
+    pass through.
+
+    The sources are stacked and aggregated once by key, each task's rows first,
+    so a hot key costs no task more than its own rows.
     """
-    lcols = [c for c in left.columns if c not in on]
-    rcols = [c for c in right.columns if c not in on]
-    lt = left.select(*on, *[F.col(c).alias(f"_l_{c}") for c in lcols], F.lit(True).alias("_in_l"))
-    rt = right.select(*on, *[F.col(c).alias(f"_r_{c}") for c in rcols], F.lit(True).alias("_in_r"))
-    j = lt.join(rt, list(on), "full_outer")
-    out = [F.col(k) for k in on]
-    for c in dict.fromkeys([*lcols, *rcols]):
-        if c in lcols and c in rcols:
-            a, b = (F.col(f"_l_{c}"), F.col(f"_r_{c}")) if prefer == "left" else (F.col(f"_r_{c}"), F.col(f"_l_{c}"))
-            out.append(F.coalesce(a, b).alias(c))
-        elif c in lcols:
-            out.append(F.col(f"_l_{c}").alias(c))
-        else:
-            out.append(F.col(f"_r_{c}").alias(c))
-    src = (F.when(F.col("_in_l") & F.col("_in_r"), "both")
-           .when(F.col("_in_l"), "left").otherwise("right"))
-    return j.select(*out, src.alias(source_col))
+    sides = {"left": left, "right": right}
+    attrs = list(dict.fromkeys(c for df in sides.values() for c in df.columns if c not in on))
+    kinds = {c: next(df.schema[c].dataType for df in sides.values() if c in df.columns) for c in attrs}
+
+    def shaped(side: str) -> DataFrame:
+        df = sides[side]
+        return df.select(*on, F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in attrs] or [F.lit(1).alias("_")]).alias("_row"),
+                         F.lit(side).alias("_side"))
+
+    rows = shaped("left").unionByName(shaped("right"))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
+    least = {side: F.min(F.when(F.col("_side") == side, F.col("_row"))).alias(f"_{side}") for side in sides}
+    matched = rows.where(keyed).groupBy(*on).agg(*least.values())
+    lone = rows.where(~keyed).select(*on, *[F.when(F.col("_side") == side, F.col("_row")).alias(f"_{side}") for side in sides])
+    order = ("_left", "_right") if prefer == "left" else ("_right", "_left")
+    source = F.when(F.col("_left").isNull(), "right").when(F.col("_right").isNull(), "left").otherwise("both")
+    return matched.unionByName(lone).select(*on, *[F.coalesce(*[F.col(s)[c] for s in order]).alias(c) for c in attrs], source.alias(source_col))
 
 
 # --------------------------------------------------------------------------- L11 cross-reference
@@ -149,22 +173,31 @@ def cross_reference(df: DataFrame, match_keys: Sequence[str], key: str, master_c
     ``match_keys`` (NULL keys match each other).  One row per input row:
     ``key, *match_keys, master_key``.
 
-    The per-group minimum is a hash aggregate with map-side partial ``min`` (a hot
-    group is pre-reduced in every task).  The join back is left to AQE: the group
-    table is broadcast at run time when its measured size is small, otherwise the
-    sort-merge join's skewed partitions are split.  (A pre-check would compute the
-    aggregate twice.)"""
-    groups = df.groupBy(*match_keys).agg(F.min(key).alias(master_col))
-    groups = groups.select(*[F.col(c).alias(f"_g_{c}") for c in match_keys], master_col)
-    cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(groups[f"_g_{c}"]) for c in match_keys])
-    return df.join(groups, cond, "inner").select(key, *match_keys, master_col)
+    The per-group minimum (partial ``min`` in every task) is written down and
+    joined as a table of known size, on one text that encodes the match keys
+    without ambiguity and is never NULL.
+    """
+    rows = df.select(key, *match_keys, key_text(*match_keys).alias("_g"))
+    groups = measured(rows.groupBy("_g").agg(F.min(key).alias(master_col)), "xref")
+    return rows.join(groups, "_g").select(key, *match_keys, master_col)
 
 
 # --------------------------------------------------------------------------- L12 normalise
 
-def hash_key(*cols: str, sep: str = "||") -> Column:
-    """Hub / link key: SHA-256 of the business key columns joined as text."""
-    return F.sha2(F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]), 256)
+def key_text(*cols: str, digest: bool = False) -> Column:
+    """The columns as one text that differs whenever a column does: each value with
+    its length in bytes before it, NULL as ``-``.  ``digest`` takes its SHA-256."""
+    parts = []
+    for c in cols:
+        text = F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    whole = F.concat_ws(";", *parts)
+    return F.sha2(whole, 256) if digest else whole
+
+
+def hash_key(*cols: str) -> Column:
+    """Hub / link key: SHA-256 of the business key columns."""
+    return key_text(*cols, digest=True)
 
 
 def normalise(df: DataFrame, entities: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> dict[str, DataFrame]:

@@ -108,14 +108,10 @@ def rename_reserved(df: DataFrame) -> DataFrame:
 
 
 def schema_on_read(df: DataFrame, value_col: str, columns: Sequence[tuple[str, str]],
-                   keep: Sequence[str] = ()) -> DataFrame:
+                   keep: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """M7, F18 on data: typed columns pulled out of a JSON text column
-    (``Value:name::type``) through a variant; values that do not fit the type
-    become NULL."""
-    v = F.try_parse_json(F.col(value_col))
-    return df.select(*keep, *[F.try_variant_get(v, f"$.{name}", typ).alias(name) for name, typ in columns])
-
-
-def describe_table(spark: SparkSession, name: str) -> DataFrame:
-    """``DESCRIBE name`` as a DataFrame (col_name, data_type, comment)."""
-    return spark.sql(f"DESCRIBE {quote_ident(name)}")
+    (``Value:name::type``) through a variant.  Text that is no JSON and values that
+    do not fit the type fail the job if ``strict``, else become NULL."""
+    parse, get = (F.parse_json, F.variant_get) if strict else (F.try_parse_json, F.try_variant_get)
+    v = parse(F.col(value_col))
+    return df.select(*keep, *[get(v, f"$.{name}", typ).alias(name) for name, typ in columns])

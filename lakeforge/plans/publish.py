@@ -4,10 +4,12 @@ For every table of an application database this builds the published objects
 and *executes* them on Spark (the legacy tool only printed statement text):
 
 * external mode: a table over the application table's files (``LOCATION``),
-  its partitions discovered (``MSCK REPAIR``), and an active-rows view;
+  its partitions discovered (``MSCK REPAIR``), and an active-rows view; columns
+  with reserved names, or typed columns read out of a semi-structured one, are
+  published through a view over that table;
 * internal mode: a table created if absent, one day's partition loaded into it
-  (partition-pruned read, dynamic partition overwrite, so a re-run replaces the
-  day instead of duplicating it), and an active-rows view.
+  (partition-pruned read, the day is replaced, so a re-run never duplicates it)
+  or, without day columns, the whole table replaced, and an active-rows view.
 
 Only catalog-sized metadata (table and column lists) is handled on the driver;
 the data moves in Spark jobs.
@@ -16,7 +18,8 @@ the data moves in Spark jobs.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import date_parts, day_parts_python
 from ..operators.silver import ACTIVE_FLAG
-from ..sources.tables import create_database, drop_table_and_data, quote_ident, table_location
+from ..sources.tables import create_database, drop_table_and_data, quote_ident, quote_text, table_location
 from .catalog import DAY_PARTITION_COLUMNS, RESERVED_RENAMES, list_tables, rename_reserved
 
 VIEW_SUFFIX = "_v"
+FILES_SUFFIX = "_files"  # the table over the files where the published object is a view
 
 
 # --------------------------------------------------------------------------- day-partitioned layout
@@ -105,7 +109,7 @@ def create_external_table(spark: SparkSession, name: str, location: str, columns
     cols = f" ({', '.join(defs)})" if defs else ""
     # without a column list Spark infers columns and partitioning from the folder layout
     part = f" PARTITIONED BY ({', '.join(quote_ident(p) for p in partition_cols)})" if partition_cols and defs else ""
-    spark.sql(f"CREATE TABLE {quote_ident(name)}{cols} USING {provider}{part} LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE {quote_ident(name)}{cols} USING {provider}{part} LOCATION {quote_text(location)}")
     if partition_cols and provider in ("parquet", "orc", "csv", "json"):
         refresh_external_table(spark, name)
 
@@ -126,39 +130,79 @@ def create_internal_table(spark: SparkSession, name: str, columns: Sequence[str]
 
 def load_day(spark: SparkSession, source: DataFrame, target: str, day,
              excluded: Sequence[str] = ()) -> None:
-    """Copy one day's partition of ``source`` into ``target``.
+    """Replace one day of ``target`` by that day of ``source``.
 
     The day filter is on the partition columns, so only that day's folders are
-    read.  The write is an ``INSERT OVERWRITE`` of the touched partition only
-    (dynamic mode): loading the same day twice leaves one copy.  ``day`` may be a
-    list of dates: a backfill is then one pruned job that replaces exactly those
-    days.
+    read.  A date is written as a static ``INSERT OVERWRITE`` of its partition: a
+    day loaded twice is there once, a day whose source is now empty becomes
+    empty.  ``day`` may be a list of dates: one pruned job replaces the days that
+    have rows, then the named days without any are dropped.
     """
-    src = rename_reserved(source.where(day_filter(day)).drop(*[c for c in excluded if c not in DAY_PARTITION_COLUMNS]))
-    target_cols = spark.table(target).columns
-    (src.select(*target_cols).write.option("partitionOverwriteMode", "dynamic")
-        .insertInto(target, overwrite=True))
+    days = [day] if isinstance(day, dt.date) else list(day)
+    src = rename_reserved(source.where(day_filter(days)).drop(*[c for c in excluded if c not in DAY_PARTITION_COLUMNS]))
+    rows = src.select(*spark.table(target).columns)
+    spec = lambda parts: ", ".join(f"{quote_ident(c)} = {quote_text(v)}" for c, v in zip(DAY_PARTITION_COLUMNS, parts))
+    if len(days) == 1:
+        view = f"load_{uuid.uuid4().hex}"
+        rows.drop(*DAY_PARTITION_COLUMNS).createTempView(view)
+        try:
+            spark.sql(f"INSERT OVERWRITE TABLE {quote_ident(target)} PARTITION ({spec(day_parts_python(days[0]))}) SELECT * FROM {view}")
+        finally:
+            spark.catalog.dropTempView(view)
+        return
+    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(target, overwrite=True)
+    loaded = {tuple(r) for r in rows.select(*DAY_PARTITION_COLUMNS).distinct().collect()}  # at most the named days
+    for parts in {day_parts_python(d) for d in days} - loaded:
+        spark.sql(f"ALTER TABLE {quote_ident(target)} DROP IF EXISTS PARTITION ({spec(parts)})")
+
+
+def load_whole(spark: SparkSession, source: DataFrame, target: str, excluded: Sequence[str] = ()) -> None:
+    """S15 for a table without day columns: replace all its rows by those of ``source``."""
+    src = rename_reserved(source.drop(*excluded))
+    src.select(*spark.table(target).columns).write.option("partitionOverwriteMode", "static").insertInto(target, overwrite=True)
+
+
+def create_renaming_view(spark: SparkSession, view: str, table: str, columns: Sequence[tuple[str, str]] | None = None,
+                         value_col: str | None = None) -> None:
+    """Publish ``table`` as a view with reserved names renamed, and, given
+    ``columns`` (name, type), with these read out of the JSON text in ``value_col``."""
+    out = []
+    for f in spark.table(table).schema.fields:
+        if f.name == value_col:
+            out += [f"try_variant_get(try_parse_json({quote_ident(value_col)}), {quote_text('$.' + name)}, {quote_text(kind)}) AS {quote_ident(name)}"
+                    for name, kind in columns or ()]
+            continue
+        new = RESERVED_RENAMES.get(f.name) if f.dataType.simpleString() == "string" else None
+        out.append(f"{quote_ident(f.name)} AS {quote_ident(new)}" if new else quote_ident(f.name))
+    spark.sql(f"CREATE OR REPLACE VIEW {quote_ident(view)} AS SELECT {', '.join(out)} FROM {quote_ident(table)}")
 
 
-def create_active_view(spark: SparkSession, name: str, flag: str = ACTIVE_FLAG, rename: bool = True) -> str:
+def create_active_view(spark: SparkSession, name: str, flag: str = ACTIVE_FLAG) -> str:
     """``<name>_v`` = the rows of ``name`` with the active flag set."""
     view = f"{name}{VIEW_SUFFIX}"
-    cols = []
-    for f in spark.table(name).schema.fields:
-        new = RESERVED_RENAMES.get(f.name) if rename and f.dataType.simpleString() == "string" else None
-        cols.append(f"{quote_ident(f.name)} AS {quote_ident(new)}" if new else quote_ident(f.name))
-    spark.sql(f"CREATE OR REPLACE VIEW {quote_ident(view)} AS SELECT {', '.join(cols)} "
-              f"FROM {quote_ident(name)} WHERE {quote_ident(flag)} = true")
+    spark.sql(f"CREATE OR REPLACE VIEW {quote_ident(view)} AS SELECT * FROM {quote_ident(name)} WHERE {quote_ident(flag)} = true")
     return view
 
 
 def remove_objects(spark: SparkSession, name: str, delete_data: bool = False) -> None:
-    """S17 (+S9): drop the view, then the table (and, optionally, its files)."""
+    """S17 (+S9): drop the published views, then the table.
+
+    ``delete_data`` also deletes the table's files.  An external table's files
+    belong to whoever wrote them, so for one that is refused.
+    """
     spark.sql(f"DROP VIEW IF EXISTS {quote_ident(name + VIEW_SUFFIX)}")
-    if delete_data:
-        drop_table_and_data(spark, name)
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS {quote_ident(name)}")
+    for table in (name, name + FILES_SUFFIX):
+        if not spark.catalog.tableExists(table):
+            continue
+        kind = spark.catalog.getTable(table).tableType
+        if kind == "VIEW":
+            spark.sql(f"DROP VIEW {quote_ident(table)}")
+        elif delete_data and kind != "MANAGED":
+            raise ValueError(f"{table} is external: its files are not deleted")
+        elif delete_data:
+            drop_table_and_data(spark, table)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {quote_ident(table)}")
 
 
 # --------------------------------------------------------------------------- S18
@@ -168,39 +212,54 @@ def published_table_name(target_db: str, app: str, table: str) -> str:
 
 
 def _publish_table(spark: SparkSession, app_db: str, t: str, target_db: str, mode: str, app: str,
-                   day: dt.date, excluded: Sequence[str], provider: str, flag: str) -> list[tuple[str, str, str]]:
+                   day, excluded: Sequence[str], provider: str, flag: str,
+                   on_read: Mapping[str, tuple[str, Sequence[tuple[str, str]]]]) -> list[tuple[str, str, str]]:
     src_name = f"{app_db}.{t}"
     if spark.catalog.getTable(src_name).tableType == "VIEW":
-        return []
+        return [(t, "skip_view", src_name)]
     steps = []
-    loc = table_location(spark, src_name)
+    source = spark.table(src_name)
     name = published_table_name(target_db, app, t)
-    has_flag = flag in spark.table(src_name).columns
     if mode == "external":
         cols, parts = _ddl_columns(spark, src_name, excluded)
-        create_external_table(spark, name, loc, cols, parts, provider)
-        steps.append((t, "create_external_table", name))
+        reserved = any(f.name in RESERVED_RENAMES and f.dataType.simpleString() == "string" for f in source.schema.fields)
+        files = name + FILES_SUFFIX if reserved or t in on_read else name
+        create_external_table(spark, files, table_location(spark, src_name), cols, parts, provider)
+        steps.append((t, "create_external_table", files))
+        if files != name:
+            value_col, columns = on_read.get(t, (None, None))
+            create_renaming_view(spark, name, files, columns, value_col)
+            steps.append((t, "create_view", name))
     else:
         cols, parts = _ddl_columns(spark, src_name, excluded, rename=True)
         create_internal_table(spark, name, cols, parts)
         steps.append((t, "create_internal_table", name))
         if all(p in parts for p in DAY_PARTITION_COLUMNS):
-            load_day(spark, spark.table(src_name), name, day, excluded)
-            steps.append((t, "load_day", f"{name}@{day.isoformat()}"))
-    if has_flag:
-        steps.append((t, "create_view", create_active_view(spark, name, flag, rename=(mode == "external"))))
+            load_day(spark, source, name, day, excluded)
+            days = [day] if isinstance(day, dt.date) else day
+            steps.append((t, "load_day", f"{name}@{','.join(d.isoformat() for d in days)}"))
+        else:
+            load_whole(spark, source, name, excluded)
+            steps.append((t, "load_whole", name))
+    if flag in source.columns:
+        steps.append((t, "create_view", create_active_view(spark, name, flag)))
     return steps
 
 
 def publish(spark: SparkSession, app_db: str, target_db: str, mode: str = "internal", app: str | None = None,
             day: dt.date | None = None, days_back: int = -1, excluded: Sequence[str] = (),
             provider: str = "parquet", target_location: str | None = None, flag: str = ACTIVE_FLAG,
-            max_parallel_tables: int = 4) -> DataFrame:
-    """Publish every table of ``app_db`` into ``target_db``; returns a report
-    with one row per executed step (table, step, object).
+            max_parallel_tables: int = 4, tables: Sequence[str] | None = None,
+            on_read: Mapping[str, tuple[str, Sequence[tuple[str, str]]]] | None = None) -> DataFrame:
+    """Publish every table of ``app_db`` (or ``tables``) into ``target_db``;
+    returns a report with one row per step (table, step, object).  A view of the
+    application is not published and has a ``skip_view`` row.
 
     ``mode="external"`` points tables at the application files; ``"internal"``
-    copies one day (``day``, default today + ``days_back``) into managed tables.
+    copies one day (``day``, default today + ``days_back``) of the day-partitioned
+    tables, and the others whole, into managed tables.  ``on_read`` names, for
+    external tables that hold JSON text, its column and the typed columns to read.
+
     Tables are published concurrently (``max_parallel_tables`` driver threads,
     each submitting its own Spark jobs), so an application with many small
     tables keeps the cluster busy; within a table the steps keep their order
@@ -208,13 +267,15 @@ def publish(spark: SparkSession, app_db: str, target_db: str, mode: str = "inter
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    from pyspark import inheritable_thread_target
+
     app = app or app_db
     create_database(spark, target_db, target_location)
     if day is None:
         day = dt.date.today() + dt.timedelta(days=days_back)
-    tables = list_tables(spark, app_db)
+    tables = list_tables(spark, app_db) if tables is None else tables
+    one = inheritable_thread_target(spark)(lambda t: _publish_table(spark, app_db, t, target_db, mode, app, day, excluded, provider, flag, on_read or {}))
     with ThreadPoolExecutor(max_workers=max(1, max_parallel_tables)) as pool:
-        results = list(pool.map(lambda t: _publish_table(spark, app_db, t, target_db, mode, app, day, excluded,
-                                                         provider, flag), tables))
+        results = list(pool.map(one, tables))
     steps = [s for r in results for s in r]
     return spark.createDataFrame(steps, "table string, step string, object string")

@@ -242,7 +242,7 @@ def match_merge(spark, sf_dir):
 
 
 @register("normalise", """
-SELECT DISTINCT sha256(concat_ws('||', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS link_key,
+SELECT DISTINCT sha256(concat(strlen(CAST(l_partkey AS VARCHAR)), ':', l_partkey, ';', strlen(CAST(l_suppkey AS VARCHAR)), ':', l_suppkey)) AS link_key,
        l_partkey, l_suppkey
 FROM lineitem
 """)
@@ -304,13 +304,7 @@ def star_join(spark, sf_dir):
         "l_orderkey", "l_linenumber", "o_orderdate", "c_name", "n_name", "l_extendedprice")
 
 
-def _nation(spark, sf_dir):
-    from .operators.joins import broadcast_if_small
-
-    return broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
-
-
-def _sales_by_nation(spark, sf_dir, nation=None):
+def _sales_by_nation(spark, sf_dir):
     """Revenue per nation, aggregated as early as possible:
     lineitem -> per order -> per customer -> per nation.  Each step shrinks the
     rows before the next join, and each join reuses the partitioning of the
@@ -328,7 +322,7 @@ def _sales_by_nation(spark, sf_dir, nation=None):
     per_cust = mart(per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"]), ["o_custkey"],
                     {"rev": F.sum("rev"), "lines": F.sum("lines")})
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = _nation(spark, sf_dir) if nation is None else nation
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = (per_cust.join(customer, per_cust["o_custkey"] == customer["c_custkey"])
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     return mart(joined, ["n_name"], {"revenue": F.sum("rev").cast("double"),
@@ -354,12 +348,12 @@ def cross_mart(spark, sf_dir):
     from .operators.gold import cross_mart as cm, mart, money
 
     supplier = table(spark, sf_dir, "supplier")
-    nation = _nation(spark, sf_dir)  # checked once, used by both marts
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supp = mart(supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]), ["n_name"], {
         "supplier_count": F.count(F.lit(1)),
         "supplier_acctbal": F.sum(money("s_acctbal")).cast("double"),
     })
-    return cm([_sales_by_nation(spark, sf_dir, nation), supp], ["n_name"])
+    return cm([_sales_by_nation(spark, sf_dir), supp], ["n_name"])
 
 
 _QUALITY_RULES_SQL = {
@@ -432,7 +426,8 @@ def encrypt_roundtrip(spark, sf_dir):
     from .functions.cipher import decrypt_columns, encrypt_columns
 
     p = _cipher_params()
-    enc = encrypt_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], p)
+    enc = encrypt_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], p,
+                          partitions=spark.sparkContext.defaultParallelism)
     return decrypt_columns(enc, ["c_name"], p)
 
 
@@ -453,72 +448,91 @@ def encrypt_documents(spark, sf_dir):
     from .functions.cipher import decrypt_columns, encrypt_columns
 
     p = _cipher_params()
-    enc = encrypt_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], p)
+    enc = encrypt_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], p,
+                          partitions=spark.sparkContext.defaultParallelism)
     return decrypt_columns(enc, ["text"], p)
 
 
 # --------------------------------------------------------------------------- publish (S9, S11-S18, M*)
 
 APP = "sales_app"
-APP_DB = "sales_app"
-WAREHOUSE_DB = "warehouse"
 LOAD_DAY = "2024-01-03"
 
 
-def _build_app(spark, sf_dir):
-    """An application database made from ``events`` (fresh files each call):
+def _app_frames(spark, sf_dir):
+    """The tables of the application, made from ``events``:
 
     * ``events``: events + Row_IsActive (latest per user) + P_Year/P_Month/P_Day
     * ``metrics``: event_id and a *string* column named ``value``, day-partitioned
-    * ``single``: one column
+    * ``raw``: event_id and a JSON text column, day-partitioned
+    * ``single``: one column, no day
+    """
+    from .operators.silver import flag_active
+    from .plans.publish import with_day_partitions
+
+    ev = table(spark, sf_dir, "events")
+    return {
+        "events": lambda: with_day_partitions(flag_active(ev, ["user_id"], ["ts", "event_id"]), "ts"),
+        "metrics": lambda: with_day_partitions(ev.select("event_id", "ts", F.format_number("value", 2).alias("value")), "ts").drop("ts"),
+        "raw": lambda: with_day_partitions(ev.select("event_id", "ts", F.col("props").alias("payload")), "ts").drop("ts"),
+        "single": lambda: ev.select("event_id"),
+    }
+
 
-    Returns the root folder of the application files.
+def _build_app(spark, sf_dir, tables=("events", "metrics", "single")):
+    """An application database of its own, with only the tables that are asked for.
+
+    Names and folders are new with every call, so what an earlier call returned
+    stays as it is.  Returns (database, folder of the application's files).
     """
+    import uuid
     from concurrent.futures import ThreadPoolExecutor
 
-    from .operators.silver import flag_active
-    from .plans.publish import create_external_table, with_day_partitions, write_day_partitioned
+    from pyspark import inheritable_thread_target
+
+    from .plans.publish import create_external_table, write_day_partitioned
     from .session import work_path
     from .sources.tables import create_database
 
     root = f"{work_path(spark, 'apps')}/{APP}"
-    ev = table(spark, sf_dir, "events")
-    # a fresh location per session: the catalog is per session, files are not
-    create_database(spark, APP_DB, work_path(spark, f"{APP_DB}.db"))
-    flagged = with_day_partitions(flag_active(ev, ["user_id"], ["ts", "event_id"]), "ts")
-    metrics = with_day_partitions(ev.select("event_id", "ts", F.format_number("value", 2).alias("value")), "ts").drop("ts")
-    writes = [
-        lambda: write_day_partitioned(flagged, f"{root}/events"),
-        lambda: write_day_partitioned(metrics, f"{root}/metrics"),
-        lambda: ev.select("event_id").write.mode("overwrite").parquet(f"{root}/single"),
-    ]
-    tables = [
-        lambda: create_external_table(spark, f"{APP_DB}.events", f"{root}/events", None),
-        lambda: create_external_table(spark, f"{APP_DB}.metrics", f"{root}/metrics", None),
-        lambda: create_external_table(spark, f"{APP_DB}.single", f"{root}/single", None, partition_cols=()),
-    ]
-    with ThreadPoolExecutor(max_workers=3) as pool:  # independent jobs run side by side
-        for step in (writes, tables):
-            list(pool.map(lambda f: f(), step))
-    return root
-
-
-def _publish(spark, sf_dir, mode, loads=1):
+    db = f"{APP}_{uuid.uuid4().hex[:12]}"
+    create_database(spark, db, f"{root}.db")
+    frames = _app_frames(spark, sf_dir)
+
+    def build(t):
+        if t == "single":
+            frames[t]().write.parquet(f"{root}/{t}")
+        else:
+            write_day_partitioned(frames[t](), f"{root}/{t}")
+        create_external_table(spark, f"{db}.{t}", f"{root}/{t}", None, **({"partition_cols": ()} if t == "single" else {}))
+
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:  # independent jobs run side by side
+        list(pool.map(inheritable_thread_target(spark)(build), tables))
+    return db, root
+
+
+def _publish(spark, sf_dir, mode, tables, loads=1, **how):
+    """(warehouse database, report) of publishing an application of ``tables``."""
     import datetime as dt
+    import uuid
 
-    from .plans.publish import publish, published_table_name, remove_objects
+    from .plans.publish import publish
     from .session import work_path
 
-    _build_app(spark, sf_dir)
-    for t in ("events", "metrics", "single"):
-        remove_objects(spark, published_table_name(WAREHOUSE_DB, APP, t), delete_data=True)
-    day = dt.date.fromisoformat(LOAD_DAY)
+    app_db, _ = _build_app(spark, sf_dir, tables)
+    warehouse = f"warehouse_{uuid.uuid4().hex[:12]}"
     report = None
     for _ in range(loads):
-        # only the first call of a session creates the database (at a fresh location)
-        report = publish(spark, APP_DB, WAREHOUSE_DB, mode=mode, app=APP, day=day,
-                         target_location=work_path(spark, "warehouse.db"))
-    return report
+        report = publish(spark, app_db, warehouse, mode=mode, app=APP, day=dt.date.fromisoformat(LOAD_DAY),
+                         target_location=work_path(spark, "warehouse.db"), **how)
+    return warehouse, report
+
+
+def _published(spark, sf_dir, mode, t, loads=1, **how):
+    """The name of a published table."""
+    from .plans.publish import published_table_name
+
+    return published_table_name(_publish(spark, sf_dir, mode, (t,), loads, **how)[0], APP, t)
 
 
 _FLAGGED_EVENTS_SQL = """
@@ -530,19 +544,13 @@ FROM events e"""
 @register("day_load", f"SELECT * FROM ({_FLAGGED_EVENTS_SQL}) WHERE P_Year || P_Month || P_Day = '20240103'")
 def day_load(spark, sf_dir):
     """Internal publish loads one day (2024-01-03) into a new table."""
-    from .plans.publish import published_table_name
-
-    _publish(spark, sf_dir, "internal", loads=1)
-    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events"))
+    return spark.table(_published(spark, sf_dir, "internal", "events"))
 
 
 @register("day_load_twice", f"SELECT * FROM ({_FLAGGED_EVENTS_SQL}) WHERE P_Year || P_Month || P_Day = '20240103'")
 def day_load_twice(spark, sf_dir):
-    """Loading the same day twice leaves one copy (dynamic partition overwrite)."""
-    from .plans.publish import published_table_name
-
-    _publish(spark, sf_dir, "internal", loads=2)
-    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events"))
+    """Loading the same day twice leaves one copy (the partition is overwritten)."""
+    return spark.table(_published(spark, sf_dir, "internal", "events", loads=2))
 
 
 @register("day_load_metrics", """
@@ -552,65 +560,198 @@ FROM events WHERE strftime(ts, '%Y%m%d') = '20240103'
 """)
 def day_load_metrics(spark, sf_dir):
     """The string column ``value`` is published as ``raw_value``."""
-    from .plans.publish import published_table_name
+    return spark.table(_published(spark, sf_dir, "internal", "metrics"))
+
+
+@register("day_reload_empty", """
+SELECT event_id, format('{:,.2f}', value) AS raw_value,
+       strftime(ts, '%Y') AS P_Year, strftime(ts, '%m') AS P_Month, strftime(ts, '%d') AS P_Day
+FROM events WHERE strftime(ts, '%Y%m%d') IN ('20240104', '20240106')
+""")
+def day_reload_empty(spark, sf_dir):
+    """Days 3 to 6 are loaded; day 3, then days 5 and 6, are loaded again from a source
+    that has lost days 3 and 5, and are empty."""
+    import datetime as dt
+
+    from .plans.publish import load_day
+
+    name = _published(spark, sf_dir, "internal", "metrics")
+    source = _app_frames(spark, sf_dir)["metrics"]()
+    days = [dt.date(2024, 1, d) for d in (3, 4, 5, 6)]
+    load_day(spark, source, name, days)
+    left = source.where(~F.col("P_Day").isin("03", "05"))
+    load_day(spark, left, name, days[0])
+    load_day(spark, left, name, days[2:])
+    return spark.table(name)
 
-    _publish(spark, sf_dir, "internal", loads=1)
-    return spark.table(published_table_name(WAREHOUSE_DB, APP, "metrics"))
+
+@register("publish_undated", "SELECT event_id FROM events")
+def publish_undated(spark, sf_dir):
+    """A table without day columns is published whole, and again, once."""
+    return spark.table(_published(spark, sf_dir, "internal", "single", loads=2))
 
 
 @register("external_table", _FLAGGED_EVENTS_SQL)
 def external_table(spark, sf_dir):
     """External publish over the application files, partitions repaired."""
-    from .plans.publish import published_table_name
+    return spark.table(_published(spark, sf_dir, "external", "events"))
 
-    _publish(spark, sf_dir, "external")
-    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events"))
+
+@register("external_metrics", """
+SELECT event_id, format('{:,.2f}', value) AS raw_value,
+       strftime(ts, '%Y') AS P_Year, strftime(ts, '%m') AS P_Month, strftime(ts, '%d') AS P_Day
+FROM events
+""")
+def external_metrics(spark, sf_dir):
+    """An external table without a flag publishes ``value`` as ``raw_value`` too."""
+    return spark.table(_published(spark, sf_dir, "external", "metrics"))
+
+
+@register("publish_on_read", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+       strftime(ts, '%Y') AS P_Year, strftime(ts, '%m') AS P_Month, strftime(ts, '%d') AS P_Day
+FROM events
+""")
+def publish_on_read(spark, sf_dir):
+    """An external table of JSON text published with typed columns read out of it."""
+    return spark.table(_published(spark, sf_dir, "external", "raw", on_read={"raw": ("payload", [("k", "int")])}))
 
 
 @register("published_view", f"SELECT * FROM ({_FLAGGED_EVENTS_SQL}) WHERE Row_IsActive")
 def published_view(spark, sf_dir):
     """The published active-rows view over the external table."""
-    from .plans.publish import VIEW_SUFFIX, published_table_name
+    from .plans.publish import VIEW_SUFFIX
 
-    _publish(spark, sf_dir, "external")
-    return spark.table(published_table_name(WAREHOUSE_DB, APP, "events") + VIEW_SUFFIX)
+    return spark.table(_published(spark, sf_dir, "external", "events") + VIEW_SUFFIX)
 
 
-@register("column_ddl", """
-SELECT * FROM (VALUES
-  ('WAREHOUSE.SHARED.SALES_APP_EVENTS',
-   '(event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string, Row_IsActive boolean)',
-   7, '/internal/sales_app/events/'),
-  ('WAREHOUSE.SHARED.SALES_APP_METRICS', '(event_id bigint, raw_value string)', 2, '/internal/sales_app/metrics/'),
-  ('WAREHOUSE.SHARED.SALES_APP_SINGLE', '(event_id bigint)', 1, '/internal/sales_app/single/')
-) AS t(table_name, column_ddl_text, n_columns, rel_path)
+@register("remove_published", """
+SELECT count(*) AS published_rows, count(*) FILTER (WHERE strftime(ts, '%Y%m%d') = '20240103') AS loaded_rows,
+       0 AS tables_left, 0 AS files_left, true AS source_kept FROM events
+""")
+def remove_published(spark, sf_dir):
+    """An external publish is removed and its source files stay; an internal one is removed with its data."""
+    from .plans.publish import published_table_name, remove_objects
+    from .session import hadoop_fs
+    from .sources.tables import table_location
+
+    outside, _ = _publish(spark, sf_dir, "external", ("events",))
+    inside, _ = _publish(spark, sf_dir, "internal", ("events",))
+    names = [published_table_name(db, APP, "events") for db in (outside, inside)]
+    rows = [spark.table(n).count() for n in names]
+    places = [table_location(spark, n) for n in names]
+    remove_objects(spark, names[0])
+    remove_objects(spark, names[1], delete_data=True)
+    left = sum(t.name.startswith(APP) for db in (outside, inside) for t in spark.catalog.listTables(db))
+    fs, path = hadoop_fs(spark, places[1])
+    kept = spark.read.parquet(places[0])
+    return kept.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(rows[0]).cast("long").alias("published_rows"), F.lit(rows[1]).cast("long").alias("loaded_rows"), F.lit(left).alias("tables_left"),
+        F.lit(int(fs.exists(path))).alias("files_left"), (F.col("n") == rows[0]).alias("source_kept"))
+
+
+_DDL_TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+
+
+@register("column_ddl", f"""
+SELECT upper('warehouse.shared.sales_app_' || table_name) AS table_name,
+       '(' || string_agg(CASE WHEN column_name = 'value' AND data_type = 'VARCHAR' THEN 'raw_value' ELSE column_name END || ' ' ||
+         CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+                        WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE lower(data_type) END, ', ' ORDER BY column_index) || ')' AS column_ddl_text,
+       CAST(count(*) AS INTEGER) AS n_columns, '/internal/sales_app/' || table_name || '/' AS rel_path
+FROM duckdb_columns()
+WHERE table_name IN ({", ".join(f"'{t}'" for t in _DDL_TABLES)}) AND column_name <> 'n_chars'
+GROUP BY table_name
 """)
 def column_ddl(spark, sf_dir):
-    """Catalog walk -> column clauses in order per table, published
-    name, relative path; day columns excluded by name."""
-    from .plans.catalog import DAY_PARTITION_COLUMNS, column_metadata, exclude_columns, gather_columns, \
-        published_name, relative_path
+    """Catalog walk over an application with the given tables' schemas -> column
+    clauses in order per table, published name, relative path; one column and the day columns
+    excluded by name.  The tables are declared, no data moves."""
+    import uuid
 
-    _build_app(spark, sf_dir)
-    meta = exclude_columns(column_metadata(spark, APP_DB), ["", *DAY_PARTITION_COLUMNS])
-    g = gather_columns(meta)
-    return g.select(published_name("warehouse", "shared", APP).alias("table_name"), "column_ddl_text",
-                    "n_columns", relative_path(F.col("location"), APP).alias("rel_path"))
+    from .plans.catalog import DAY_PARTITION_COLUMNS, column_metadata, exclude_columns, gather_columns, published_name, relative_path
+    from .plans.publish import create_external_table
+    from .session import hadoop_fs, work_path
+    from .sources.tables import create_database, quote_ident
+
+    root = f"{work_path(spark, 'apps')}/{APP}"
+    db = f"{APP}_{uuid.uuid4().hex[:12]}"
+    create_database(spark, db, f"{root}.db")
+    for t in _DDL_TABLES:
+        fs, path = hadoop_fs(spark, f"{root}/{t}")
+        fs.mkdirs(path)
+        columns = [f"{quote_ident(f.name)} {f.dataType.simpleString()}" for f in table(spark, sf_dir, t).schema.fields]
+        create_external_table(spark, f"{db}.{t}", f"{root}/{t}", columns)
+    meta = exclude_columns(column_metadata(spark, db), ["", "n_chars", *DAY_PARTITION_COLUMNS])
+    return gather_columns(meta).select(published_name("warehouse", "shared", APP).alias("table_name"), "column_ddl_text",
+                                       "n_columns", relative_path(F.col("location"), APP).alias("rel_path"))
 
 
 @register("list_files", """
-SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, true AS all_nonempty FROM events
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS row_count, true AS all_listed FROM events GROUP BY 1
 """)
 def list_files(spark, sf_dir):
-    """Recursive listing of the day-partitioned application files (metadata only)."""
-    from .sources.files import list_files as lf
+    """The listing of the day-partitioned application files, joined to the rows read from
+    each: rows per listed day, and whether every file that has rows is listed with its size."""
+    from .sources.files import list_files as lf, read_with_source
+
+    _, root = _build_app(spark, sf_dir, ("metrics",))
+    rows = read_with_source(spark, f"{root}/metrics").groupBy("_source_path").agg(F.count(F.lit(1)).alias("n"))
+    # one spelling of a local path's scheme on both sides
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = lf(spark, f"{root}/metrics").select(plain("path").alias("path"), "length")
+    both = rows.select(plain("_source_path").alias("path"), "n").join(files, "path", "left")
+    day = F.concat_ws("-", *[F.regexp_extract("path", f"{c}=([0-9]+)", 1) for c in ("P_Year", "P_Month", "P_Day")])
+    return both.groupBy(day.alias("day")).agg(F.sum("n").alias("row_count"), F.min(F.coalesce(F.col("length") > 0, F.lit(False))).alias("all_listed"))
+
+
+@register("write_sized_files", """
+SELECT 1 + count(*) // 1000 AS files, count(*) AS row_count, true AS all_within FROM events
+""")
+def write_sized_files(spark, sf_dir):
+    """Events written 1,000 rows to a file; the files as read back."""
+    from .session import work_path
+    from .sources.files import read_with_source
+    from .sources.tables import write_sized
+
+    path = work_path(spark, "sized")
+    write_sized(table(spark, sf_dir, "events"), path, rows_per_file=1000)
+    per_file = read_with_source(spark, path).groupBy("_source_path").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("row_count"), (F.max("n") <= 1000).alias("all_within"))
+
+
+@register("table_lifecycle", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, false AS dropped_left, true AS second_write_refused FROM customer
+""")
+def table_lifecycle(spark, sf_dir):
+    """A database is selected; a table is written, written again (refused), re-created
+    with other rows, scanned; another table is dropped."""
+    import uuid
 
-    root = _build_app(spark, sf_dir)
-    files = lf(spark, f"{root}/events", glob="*.parquet")
-    day = F.concat_ws("-", F.regexp_extract("path", r"P_Year=([0-9]{4})", 1),
-                      F.regexp_extract("path", r"P_Month=([0-9]{2})", 1),
-                      F.regexp_extract("path", r"P_Day=([0-9]{2})", 1))
-    return files.groupBy(day.alias("day")).agg(F.min(F.col("length") > 0).alias("all_nonempty"))
+    from pyspark.errors import AnalysisException
+
+    from .session import work_path
+    from .sources.tables import create_database, drop_table, read_table, save_table, use_database
+
+    db = f"lifecycle_{uuid.uuid4().hex[:12]}"
+    create_database(spark, db, work_path(spark, f"{db}.db"))
+    customer = table(spark, sf_dir, "customer")
+    before = spark.catalog.currentDatabase()
+    use_database(spark, db)
+    try:
+        save_table(customer.where("c_nationkey < 10"), "party")
+        save_table(customer.select("c_custkey"), "gone")
+        refused = False
+        try:
+            save_table(customer, "party")
+        except AnalysisException:
+            refused = True
+        save_table(customer, "party", replace=True)
+        drop_table(spark, "gone")
+        left = spark.catalog.tableExists(f"{db}.gone")
+        return read_table(spark, f"{db}.party").withColumn("dropped_left", F.lit(left)).withColumn("second_write_refused", F.lit(refused))
+    finally:
+        use_database(spark, before)
 
 
 # --------------------------------------------------------------------------- bronze
@@ -619,11 +760,11 @@ RUN_TS = "2024-02-01 00:00:00"
 
 
 def _landed(spark, sf_dir, run_id="run-0001", run_ts=RUN_TS, path=None):
-    from .operators.bronze import LOAD_DAY as LD, archive, with_load_metadata
+    from .operators.bronze import archive, with_load_metadata
     from .session import work_path
 
     path = path or work_path(spark, "bronze/events")
-    archive(with_load_metadata(table(spark, sf_dir, "events"), run_id, run_ts), path, LD)
+    archive(with_load_metadata(table(spark, sf_dir, "events"), run_id, run_ts), path)
     return path
 
 
@@ -709,11 +850,11 @@ def conform(spark, sf_dir):
 @register("encrypt_options", "SELECT c_custkey, c_name, CAST(8 * (strlen(c_name) // 8 + 1) AS INTEGER) AS cipher_bytes FROM customer")
 def encrypt_options(spark, sf_dir):
     """ECB mode with PKCS5 padding; 8*(floor(n/8)+1) cipher bytes, and back."""
-    from .functions.cipher import RC2Params, decrypt_column, encrypt_udf, with_min_partitions
+    from .functions.cipher import RC2Params, decrypt_column, encrypt_udf
 
     p = _cipher_params()
     ecb = RC2Params(p.key, None, "ECB", "pkcs5")
-    cust = with_min_partitions(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(spark.sparkContext.defaultParallelism)
     enc = cust.select("c_custkey", F.base64(encrypt_udf(ecb)("c_name")).alias("cipher"))
     return enc.select("c_custkey", decrypt_column("cipher", ecb, as_text=True).alias("c_name"),
                       F.length(F.unbase64("cipher")).alias("cipher_bytes"))
@@ -732,19 +873,27 @@ def base64_text(spark, sf_dir):
 
 
 @register("publish_report", """
-SELECT * FROM (VALUES
-  ('events', 'create_internal_table', 'warehouse.sales_app_events'),
-  ('events', 'load_day', 'warehouse.sales_app_events@2024-01-03'),
-  ('events', 'create_view', 'warehouse.sales_app_events_v'),
-  ('metrics', 'create_internal_table', 'warehouse.sales_app_metrics'),
-  ('metrics', 'load_day', 'warehouse.sales_app_metrics@2024-01-03'),
-  ('single', 'create_internal_table', 'warehouse.sales_app_single')
-) AS t("table", step, object)
+WITH n AS (SELECT count(*) AS total, count(*) FILTER (WHERE strftime(ts, '%Y%m%d') = '20240103') AS loaded FROM events),
+a AS (SELECT count(*) AS active FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+      WHERE strftime(ts, '%Y%m%d') = '20240103')
+SELECT * FROM (
+  SELECT 'events' AS "table", 'create_internal_table' AS step, 'sales_app_events' AS object, loaded AS row_count FROM n
+  UNION ALL SELECT 'events', 'load_day', 'sales_app_events@2024-01-03', loaded FROM n
+  UNION ALL SELECT 'events', 'create_view', 'sales_app_events_v', active FROM a
+  UNION ALL SELECT 'metrics', 'create_internal_table', 'sales_app_metrics', loaded FROM n
+  UNION ALL SELECT 'metrics', 'load_day', 'sales_app_metrics@2024-01-03', loaded FROM n
+  UNION ALL SELECT 'single', 'create_internal_table', 'sales_app_single', total FROM n
+  UNION ALL SELECT 'single', 'load_whole', 'sales_app_single', total FROM n)
 """)
 def publish_report(spark, sf_dir):
-    """The steps an internal publish executed for each application table
-    (views only where an active flag exists, day loads only for day-partitioned tables)."""
-    return _publish(spark, sf_dir, "internal")
+    """The steps of an internal publish of each application table, with the rows that the
+    step's object holds afterwards (views only where an active flag exists, day loads only for
+    day-partitioned tables)."""
+    warehouse, report = _publish(spark, sf_dir, "internal", ("events", "metrics", "single"))
+    names = {r.object.split("@")[0] for r in report.select("object").collect()}  # catalog-sized
+    counts = Q.stack([spark.table(n).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("name"), "row_count") for n in sorted(names)])
+    return report.join(counts, F.substring_index("object", "@", 1) == F.col("name")).select(
+        "table", "step", F.replace("object", F.lit(f"{warehouse}."), F.lit("")).alias("object"), "row_count")
 
 
 @register("quality_passed", "SELECT * FROM events WHERE " + " AND ".join(
@@ -754,3 +903,76 @@ def quality_passed(spark, sf_dir):
     from .operators.gold import apply_quality
 
     return apply_quality(table(spark, sf_dir, "events"), _quality_rules())[0]
+
+
+# --------------------------------------------------------------------------- ties, repeats and the run clock
+
+@register("archive_two_runs", """
+SELECT event_id, 'run-a' AS _run_id, 1 AS copies FROM events UNION ALL
+SELECT event_id, 'run-b' AS _run_id, 1 AS copies FROM events
+""")
+def archive_two_runs(spark, sf_dir):
+    """L4: two runs on one day, one of them retried; each row of each run is archived once."""
+    path = _landed(spark, sf_dir, "run-a")
+    _landed(spark, sf_dir, "run-b", path=path)
+    _landed(spark, sf_dir, "run-a", path=path)
+    return spark.read.parquet(path).groupBy("event_id", "_run_id").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+@register("active_flag_ties", "SELECT user_id, 2 * count(*) AS n_rows, 1 AS n_active FROM events GROUP BY user_id")
+def active_flag_ties(spark, sf_dir):
+    """A load that is doubled still has one active row per user."""
+    from .operators.silver import flag_active
+
+    ev = table(spark, sf_dir, "events")
+    flagged = flag_active(Q.stack([ev, ev]), ["user_id"], ["ts"])
+    return flagged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("Row_IsActive").cast("int").alias("n_active"))
+
+
+@register("match_merge_duplicates", ORACLE_SQL["match_merge"])
+def match_merge_duplicates(spark, sf_dir):
+    """Sources that repeat their keys still give one master row per key."""
+    from .operators.silver import match_merge as merge
+
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("nationkey"), F.col("c_custkey").alias("number"),
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"))
+    supp = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("nationkey"), F.col("s_suppkey").alias("number"),
+        F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
+    worse = cust.withColumn("name", F.concat("name", F.lit("~")))
+    return merge(Q.stack([cust, worse, cust]), Q.stack([supp, supp]), ["nationkey", "number"], prefer="left")
+
+
+@register("first_order", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def first_order(spark, sf_dir):
+    """The first row of an ordered table."""
+    return Q.first_row(table(spark, sf_dir, "orders").orderBy(F.col("o_totalprice").desc(), F.col("o_orderkey")))
+
+
+@register("status_names", """
+SELECT o_orderkey, name FROM orders JOIN (VALUES ('F', 'finished'), ('O', 'open'), ('P', 'in process')) AS n(status, name) ON o_orderstatus = status
+""")
+def status_names(spark, sf_dir):
+    """Rows with an explicit schema, joined to orders as a lookup."""
+    from .sources.tables import from_rows
+
+    names = from_rows(spark, [("F", "finished"), ("O", "open"), ("P", "in process")], "status string, name string")
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(names, orders["o_orderstatus"] == names["status"]).select("o_orderkey", "name")
+
+
+@register("run_clock", """
+SELECT event_id, CAST(ts AS DATE) - 1 AS day_before, CAST(ts AS DATE) + 2 AS two_days_after,
+       CAST(second(ts) AS INTEGER) AS second, CAST(minute(ts) AS INTEGER) AS minute, CAST(hour(ts) AS INTEGER) AS hour, CAST(day(ts) AS INTEGER) AS day,
+       CAST(month(ts) AS VARCHAR) AS month, CAST(year(ts) AS INTEGER) AS year
+FROM events
+""")
+def run_clock(spark, sf_dir):
+    """processing date and run-clock parts, each event's time as the run's."""
+    from .functions.clock import clock_parts, processing_date
+
+    ev = table(spark, sf_dir, "events")
+    parts = clock_parts(F.col("ts"))
+    return ev.select("event_id", processing_date(-1, F.col("ts").cast("date")).alias("day_before"),
+                     processing_date(2, F.col("ts").cast("date")).alias("two_days_after"), *[c.alias(n) for n, c in parts.items()])

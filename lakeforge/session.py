@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library depends on (runtime SQL confs, safe to set on a live session).
 #  - partition values such as P_Month=04 stay strings (type inference would turn them to 4)
@@ -64,8 +64,9 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     On a cluster this is a distributed file system path visible to every
-    executor.  Only when the session has none (local tests) do we create one and
-    register it, so ``DataFrame.checkpoint()`` and our scratch tables agree.
+    executor, and it must be set: rows written to a folder of one machine would be
+    missing on the others.  Only a local session (tests) without one gets a
+    temporary folder, registered so that ``DataFrame.checkpoint()`` agrees.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
@@ -74,6 +75,8 @@ def shared_root(spark: SparkSession) -> str:
         if current:
             base = current.rsplit("/", 1)[0]
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeforge-ckpt-")
         sc.setCheckpointDir(base)
         sc._conf.set("spark.checkpoint.dir", base)
@@ -93,32 +96,15 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 * 1024 * 1024,
-                   max_partitions: int = 200_000) -> int:
-    """Size shuffles for a job reading ``input_bytes`` (for example a whole table at 100 TB).
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back.
 
-    Sets the shuffle partition count to about ``input_bytes / partition_bytes`` (never
-    lower than the current setting) so each reduce task holds one split's worth of
-    data and sorts or aggregates in memory; AQE then coalesces partitions that turn
-    out small and splits skewed ones.  Scan splits and AQE's target size use the
-    same ``partition_bytes``.  Returns the partition count set.
+    For the derived side of a join: the planner then knows its size before any row
+    of the other side is moved, and a retry need not compute it again.
     """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(current, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
-    return n
-
-
-def input_bytes(spark: SparkSession, *paths: str) -> int:
-    """Total size of the files below ``paths`` (file-system metadata only)."""
-    total = 0
-    for p in paths:
-        fs, path = hadoop_fs(spark, p)
-        total += int(fs.getContentSummary(path).getLength())
-    return total
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> str:

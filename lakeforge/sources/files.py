@@ -1,13 +1,10 @@
 """File listing and file reads with load metadata.
 
-``list_files`` (S8) is a DataFrame of ``path, length, modificationTime`` for
-every file below a folder.  The default uses Spark's ``binaryFile`` source with
-the ``content`` column pruned, so only file-system metadata is read and large
-trees are listed in parallel by the cluster.  Like every Spark file source it
-skips names starting with ``_`` or ``.`` and empty files.  ``include_hidden=True``
-lists everything through the Hadoop file system's recursive listing instead
-(one paged listing per prefix on object stores); it is iterated on the driver
-and written out in bounded batches, so driver memory does not grow with the tree.
+``list_files`` (S8) is a table of ``path, length, modificationTime`` of every file
+below a folder, hidden and empty ones included.  Spark's own file sources skip
+those, so the listing is the Hadoop file system's recursive iterator, which pages
+through the store; it is written to the shared folder in batches of a fixed size,
+whatever the number of files, and driver memory holds one batch.
 """
 
 from __future__ import annotations
@@ -25,45 +22,20 @@ LISTING_SCHEMA = StructType([
     StructField("length", LongType(), False),
     StructField("modificationTime", TimestampType(), False),
 ])
+BATCH = 50_000
 
 
-def list_files(spark: SparkSession, root: str, include_hidden: bool = False, glob: str | None = None,
-               batch_rows: int = 200_000) -> DataFrame:
+def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file (not folder) below ``root``, in no particular order."""
-    if include_hidden:
-        return _list_all(spark, root, batch_rows)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select("path", "length", "modificationTime")
-
-
-def _list_all(spark: SparkSession, root: str, batch_rows: int = 200_000) -> DataFrame:
-    """Every file below ``root`` through the Hadoop file-system listing (hidden and
-    empty files included).  The listing is an iterator on the driver; rows are
-    written out in batches of ``batch_rows`` to a table in the shared folder, so a
-    large tree never sits in driver memory at once."""
     fs, path = hadoop_fs(spark, root)
-    it = fs.listFiles(path, True)
-    rows, out = [], None
-
-    def flush():
-        nonlocal rows, out
-        if out is None:
-            out = work_path(spark, "listing")
-        spark.createDataFrame(rows, LISTING_SCHEMA).write.mode("append").parquet(out)
+    found, out, more = fs.listFiles(path, True), work_path(spark, "listing"), True
+    while more:
         rows = []
-
-    while it.hasNext():
-        st = it.next()
-        rows.append((st.getPath().toString(), int(st.getLen()),
-                     dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc)))
-        if len(rows) >= batch_rows:
-            flush()
-    if out is None:
-        return spark.createDataFrame(rows, LISTING_SCHEMA)
-    if rows:
-        flush()
+        while len(rows) < BATCH and (more := found.hasNext()):
+            st = found.next()
+            rows.append((st.getPath().toString(), int(st.getLen()),
+                         dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc)))
+        spark.createDataFrame(rows, LISTING_SCHEMA).write.mode("append").parquet(out)
     return spark.read.schema(LISTING_SCHEMA).parquet(out)
 
 

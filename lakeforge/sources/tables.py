@@ -23,6 +23,11 @@ def quote_ident(name: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
 
 
+def quote_text(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def from_rows(spark: SparkSession, rows: Sequence, schema: StructType | str) -> DataFrame:
     """Rows plus an explicit schema to a DataFrame (no inference)."""
     return spark.createDataFrame(list(rows), schema)
@@ -30,7 +35,7 @@ def from_rows(spark: SparkSession, rows: Sequence, schema: StructType | str) ->
 
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     """CREATE DATABASE IF NOT EXISTS, optionally at a shared location."""
-    loc = f" LOCATION '{location}'" if location else ""
+    loc = f" LOCATION {quote_text(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_ident(name)}{loc}")
 
 
@@ -100,7 +105,7 @@ def partition_count(df: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PA
     """Number of output partitions for ``df``: ``1 + floor(count / rows)``.
 
     An exact multiple gets one extra partition (1,000,000 rows -> 2), as in the
-    legacy helper.  Costs one counting job; ``write_sized`` avoids it.
+    legacy helper.  Costs one counting job.
     """
     return 1 + df.count() // rows_per_partition
 
@@ -115,13 +120,12 @@ def partition_count_frame(df: DataFrame, label: str, rows_per_partition: int = D
 
 
 def write_sized(df: DataFrame, path: str, rows_per_file: int = DEFAULT_ROWS_PER_PARTITION, mode: str = "overwrite",
-                partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """Write with at most ``rows_per_file`` rows per file, in one pass.
+                fmt: str = "parquet") -> None:
+    """Write about ``rows_per_file`` rows per file, never more.
 
-    Instead of counting and repartitioning (a full extra scan plus a full
-    round-robin shuffle), every task splits its output at the row limit.
+    As many tasks as ``partition_count`` says get an equal share of the rows
+    (round robin), so many small tasks no longer leave many small files, and a
+    large one is cut at the row limit.
     """
-    writer = df.write.format(fmt).mode(mode).option("maxRecordsPerFile", rows_per_file)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    (df.repartition(partition_count(df, rows_per_file)).write.format(fmt).mode(mode)
+       .option("maxRecordsPerFile", rows_per_file).save(path))

@@ -18,14 +18,14 @@ from pyspark.sql.types import StructType
 
 from ..operators.bronze import LOAD_DAY, LOAD_TS, RUN_ID, SOURCE_FILE
 
+#: Files of one micro-batch.
+MAX_FILES_PER_TRIGGER = 10_000
+
 
 def stream_with_metadata(spark: SparkSession, source_dir: str, schema: StructType, run_id: str,
-                         fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+                         fmt: str = "parquet", max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
     """A streaming DataFrame of the landing folder plus load metadata columns."""
-    reader = spark.readStream.format(fmt).schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.load(source_dir)
+    df = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir)
     ts = F.current_timestamp().cast("timestamp_ntz")
     return df.select(
         "*",
@@ -38,10 +38,11 @@ def stream_with_metadata(spark: SparkSession, source_dir: str, schema: StructTyp
 
 def land_incremental(spark: SparkSession, source_dir: str, schema: StructType, target_path: str,
                      checkpoint: str, run_id: str, fmt: str = "parquet", partition_by=(LOAD_DAY,),
-                     once: bool = True, max_files_per_trigger: int | None = None):
+                     once: bool = True, max_files_per_trigger: int = MAX_FILES_PER_TRIGGER):
     """L3: land the files that arrived since the last run (``once``: wait for the
     bounded run to finish and return the finished query; else return the running
-    query)."""
+    query).  A backlog is taken in micro-batches of ``max_files_per_trigger`` files,
+    each committed before the next."""
     stream = stream_with_metadata(spark, source_dir, schema, run_id, fmt, max_files_per_trigger)
     writer = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
               .outputMode("append"))

@@ -24,16 +24,15 @@ def _names(df, root):
     return sorted(r.path.split(root, 1)[1].lstrip("/") for r in df.collect())
 
 
-def test_list_files_default(spark, tree):
-    df = FS.list_files(spark, tree)
-    assert df.columns == ["path", "length", "modificationTime"]
-    assert _names(df, tree) == ["a/b/z.csv", "a/y.csv", "x.csv"]
-    assert "content" not in plan_text(df).split("ReadSchema")[1].split("\n")[0]
+ALL = [".hid", "a/b/_delta_log/0.json", "a/b/z.csv", "a/empty", "a/y.csv", "x.csv"]
 
 
-def test_list_files_hidden(spark, tree):
-    df = FS.list_files(spark, tree, include_hidden=True)
-    assert _names(df, tree) == [".hid", "a/b/_delta_log/0.json", "a/b/z.csv", "a/empty", "a/y.csv", "x.csv"]
+@pytest.mark.parametrize("batch", [2, 3, 50_000])
+def test_list_files_is_complete(spark, tree, monkeypatch, batch):
+    monkeypatch.setattr(FS, "BATCH", batch)
+    df = FS.list_files(spark, tree)
+    assert df.columns == ["path", "length", "modificationTime"]
+    assert _names(df, tree) == ALL
     assert {r.path.rsplit("/", 1)[1]: r.length for r in df.collect()}["empty"] == 0
 
 
@@ -51,6 +50,8 @@ def test_write_sized(spark):
     T.write_sized(spark.range(2500).repartition(1), path, rows_per_file=1000)
     files = [f for f in os.listdir(path) if f.endswith(".parquet")]
     assert len(files) == 3 and spark.read.parquet(path).count() == 2500
+    T.write_sized(spark.range(2500, numPartitions=60), path, rows_per_file=1000)  # many small tasks don't leave many files
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 3 and spark.read.parquet(path).distinct().count() == 2500
 
 
 def test_drop_table_and_data(spark):
@@ -74,20 +75,27 @@ def test_read_with_source(spark):
     assert all(r._source_path.endswith(".parquet") for r in rows)
 
 
-def test_size_for_input(spark):
-    from lakeforge.session import input_bytes, size_for_input
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    """Without spark.checkpoint.dir only a local session makes a folder of its own."""
+    from lakeforge import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
 
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        n = size_for_input(spark, 100 * 1024 ** 4)  # 100 TB
-        assert n == 200_000 and spark.conf.get("spark.sql.shuffle.partitions") == str(n)
-        assert size_for_input(spark, 10) == n  # never lowers the current setting
-        assert input_bytes(spark, "/root/testdata/sf0.001/region.parquet") > 0
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 * 1024 * 1024))
+        def get(self, key, default=None):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_root(Session())
 
 
 def test_ship_package(spark):
@@ -99,8 +107,3 @@ def test_ship_package(spark):
     local = path.replace("file:", "")
     names = zipfile.ZipFile(local).namelist()
     assert "lakeforge/functions/cipher.py" in names and "lakeforge/__init__.py" in names
-
-
-def test_list_files_hidden_in_batches(spark, tree):
-    small = FS.list_files(spark, tree, include_hidden=True, batch_rows=2)
-    assert _names(small, tree) == [".hid", "a/b/_delta_log/0.json", "a/b/z.csv", "a/empty", "a/y.csv", "x.csv"]

@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from lakeforge import registry
 from tools.check_oracle import TABLES, rows_of
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

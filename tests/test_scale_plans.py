@@ -44,10 +44,52 @@ def test_flag_join_key_is_near_unique(spark):
 def test_cross_reference_hot_group_partial_min(spark):
     df = S.cross_reference(_hot(spark), ["user_id"], "event_id")
     text = plan_text(df)
-    assert "partial_min(event_id" in text
+    # the group table is small and its size known: broadcast, no row of the table is shuffled
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
     assert df.where("user_id = 0").select("master_key").distinct().first()[0] == 0
 
 
+def test_no_job_runs_while_joins_are_declared(spark):
+    from lakeforge import registry as R
+
+    sc = spark.sparkContext
+    for name in ("star_join", "sales_mart", "cross_mart", "match_merge", "active_flag"):
+        R.QUERIES[name](spark, "/root/testdata/sf0.001")  # schemas are read once
+        for path in ("lineitem", "orders", "customer", "nation", "supplier", "events"):
+            assert spark.read.parquet(f"/root/testdata/sf0.001/{path}.parquet").columns
+        sc.setJobGroup(f"declare {name}", name)
+        df = R.QUERIES[name](spark, "/root/testdata/sf0.001")
+        ran = sc.statusTracker().getJobIdsForGroup(f"declare {name}")
+        stages = [sc.statusTracker().getStageInfo(s) for j in ran for s in sc.statusTracker().getJobInfo(j).stageIds]
+        # reading a file's schema is a job of one task; nothing else may run
+        assert all(s.numTasks == 1 for s in stages) and len(ran) <= len(df.inputFiles()) + 1, name
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_encrypt_columns_starts_no_job(spark):
+    from lakeforge.functions.cipher import RC2Params, encrypt_columns
+
+    df = _hot(spark).repartition(7)
+    spark.sparkContext.setJobGroup("declare encrypt", "")
+    encrypt_columns(df.withColumn("s", F.col("user_id").cast("string")), ["s"], RC2Params(b"some-key"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("declare encrypt")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_match_merge_is_one_aggregation(spark):
+    hot = _hot(spark)
+    df = S.match_merge(hot.select("user_id", "event_id"), hot.select("user_id", "ts"), ["user_id"])
+    text = plan_text(df)
+    assert "Join" not in text and "partial_min" in text and df.count() == 1000
+
+
+def test_dedupe_exact_moves_digests(spark):
+    """The texts themselves aren't shuffled while the repeated digests are few."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = plan_text(S.dedupe_exact(docs, ["text"], "doc_id"))
+    assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text
+
+
 def test_exact_units_sum_hot_group(spark):
     big = 10 ** 12  # amounts far above 2^24 units
     df = spark.range(30_000).select((F.col("id") % 2).alias("k"), (F.lit(big) + F.col("id")).alias("u"))
@@ -146,7 +188,7 @@ def test_aqe_splits_a_hot_order_in_the_star_join(spark):
         fact = spark.range(60_000).select(F.col("id").alias("line"),
                                           F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("orderkey"))
         orders = spark.range(5000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 10).alias("o_total"))
-        out = star_join(fact, [Dimension(orders, [("orderkey", "o_orderkey")], broadcast_rows=10)])
+        out = star_join(fact, [Dimension(orders, [("orderkey", "o_orderkey")])])
         assert len(out.collect()) == 60_000  # executes this plan (count() would plan a new one)
         final = out._jdf.queryExecution().executedPlan().toString()
         assert "skew=true" in final
