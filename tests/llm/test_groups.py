@@ -221,7 +221,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     def good(t):
         n, chars, symbols, dup, again, lines = plain_measure(t or "")
-        return not (n < 50 or 100 * again > 50 * n or 10 * symbols > 5 * n or chars < 2 * n or chars > 20 * n or 10 * dup > 6 * lines)
+        return not (n < 50 or 100 * again > 50 * n or 10 * symbols > n or chars < 2 * n or chars > 20 * n or 10 * dup > 6 * lines)
 
     left = [(d[0], d[1]) for d in docs if good(d[1])]
     classes = plain_classes([t for _, t in left])

@@ -53,7 +53,7 @@ def test_ledger_policies_and_ablation(spark):
     want = set()
     for i, t in rows:
         n, chars, symbols, dup, again, lines = plain_measure(t or "")
-        failed = [n < 50, 100 * again > 50 * n, 10 * symbols > 5 * n, chars < 2 * n, chars > 20 * n, 10 * dup > 6 * lines, n > 1_000_000]
+        failed = [n < 50, 100 * again > 50 * n, 10 * symbols > n, chars < 2 * n, chars > 20 * n, 10 * dup > 6 * lines, n > 1_000_000]
         bits = sum(1 << k for k, f in enumerate(failed) if f)
         want.add((i, n, bits, not any(f for k, f in enumerate(failed) if names[k] in quality_ledger.POLICIES["v1"])))
     assert got == want and book.count() == len(rows)
