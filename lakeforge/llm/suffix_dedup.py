@@ -13,8 +13,9 @@ About one position in fifty is an anchor, and all work below is on them:
     anchor.  A rank is the least position that has the pair.  Ranking is an aggregation with map-side combine and a
     join back that Spark splits where one pair is very frequent.  What is dropped cannot start a repeated string.
 2.  *Whole stretches.*  The string that holds every 400-byte string assigned to an anchor: if it is repeated, all are.
-3.  *Edges.*  Where it isn't, but the rank is, a repeat ends nearby.  Only there the 400-byte strings are compared one
-    by one; of a stretch that is repeated, one occurrence stands for all.
+3.  *Edges.*  Where it isn't, but the rank is, a repeat ends nearby.  There the stretch is cut into eighths.  An eighth
+    is dropped if what its strings have in common isn't repeated, settled if its own stretch is, and only else are its
+    400-byte strings compared one by one.  Of a stretch that is repeated, one occurrence stands for all.
 
 Texts are told apart by a 128-bit key of what they say, not by their ids; exact copies are one text, whose every byte
 goes if it has 400 bytes or more.  Steps 2 and 3 compare 128-bit fingerprints.  Each step is written to the shared
@@ -60,6 +61,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def packed(begin: np.ndarray, many: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Some strings of an anchor as one number: where the first starts, how many they are, and how far on the anchor is."""
+    return (begin * 128 + many) * 128 + ahead
+
+
+#: The parts of a packed number in SQL.
+BEGIN, MANY = "own div 16384", "own div 128 % 128"
+
+
 class Powers:
     """Powers of the two bases and of their inverses modulo 2^64, grown as needed."""
 
@@ -112,7 +122,7 @@ def anchors(texts: list[bytes], length: int, stretches: bool) -> dict[str, np.nd
 
     ``text`` (its index), ``place`` (2 x number of the anchor in its text, plus 1 if the third rank is decided within
     what follows the anchor in every string assigned to it), ``name`` (fingerprint of the block to the next anchor),
-    ``own`` (128 x first string assigned to it, plus how many), and if ``stretches``, ``f1 f2`` (their stretch's print).
+    ``own`` (the strings assigned to it, see :func:`packed`), and if ``stretches``, ``f1 f2`` (their stretch's print).
     """
     window, gram = shape(length)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -148,7 +158,7 @@ def anchors(texts: list[bytes], length: int, stretches: bool) -> dict[str, np.nd
     prints = Prints(values, 2 if stretches else 1)
     keep = np.flatnonzero(follows)
     out = {"text": text[keep], "place": (2 * number + decided)[keep], "name": prints.of(at[keep], at[keep + 1], 0),
-           "own": ((begin - offsets[text]) * 128 + many)[keep]}
+           "own": packed(begin - offsets[text], many, at - begin)[keep]}
     if stretches:
         stop = np.where(many > 0, end + length, begin)[keep]
         out |= {"f1": prints.of(begin[keep], stop, 0), "f2": prints.of(begin[keep], stop, 1)}
@@ -200,32 +210,63 @@ def reranked(rows: DataFrame) -> DataFrame:
     return rows.join(ranked(rows, pair), pair).drop(*pair).withColumnRenamed("new", "rank")
 
 
-def strings_at(asked: DataFrame, length: int) -> DataFrame:
-    """A row per string of ``length`` bytes at the asked places: its print, its text's key, its start, ``known``."""
-    schema = "s1 long, s2 long, t1 long, t2 long, start long, known boolean"
+def cut_at(asked: DataFrame, length: int, width: int) -> DataFrame:
+    """The asked strings in parts of up to ``width`` starts, counted from the anchor so that copies are cut alike.
+
+    A row per part: ``g1 g2`` (print of what all strings of a whole part have in common), ``f1 f2`` (print of the
+    stretch that this part's strings cover), the text's key, ``own`` and ``known``.
+    """
+    schema = "g1 long, g2 long, f1 long, f2 long, t1 long, t2 long, own long, known boolean"
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
             for t1, t2, text, places in zip(*(batch.column(n) for n in ("t1", "t2", "text", "places"))):
-                key = (t1.as_py(), t2.as_py())
-                if key == last:  # copies of a text come one after the other
-                    continue
-                last = key
                 prints = Prints(BYTE[np.frombuffer(text.as_py().encode(), np.uint8)])
-                own = np.array([(p["own"] >> 7, p["own"] & 127, p["known"]) for p in places.as_py()], np.int64)
-                start = np.repeat(own[:, 0] - np.cumsum(own[:, 1]) + own[:, 1], own[:, 1]) + np.arange(own[:, 1].sum())
-                known = np.repeat(own[:, 2], own[:, 1]).astype(bool)
-                for k in range(0, len(start), 100_000):
-                    s = start[k:k + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(prints.of(s, s + length, 0)), pa.array(prints.of(s, s + length, 1)), pa.array(np.full(len(s), key[0])),
-                         pa.array(np.full(len(s), key[1])), pa.array(s), pa.array(known[k:k + 100_000])], schema=target)
+                own = np.array([p["own"] for p in places.as_py()], np.int64)
+                known = np.array([p["known"] for p in places.as_py()], bool)
+                first, many, ahead = own >> 14, own >> 7 & 127, own & 127
+                # strings of part k start from ``at - k * width - width + 1`` to ``at - k * width``
+                low = (ahead - many + 1) // width
+                parts = ahead // width - low + 1
+                which = np.repeat(np.arange(len(own)), parts)
+                k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts) + low[which]
+                last = (first + ahead)[which] - k * width
+                begin = np.maximum(first[which], last - width + 1)
+                end = np.minimum((first + many - 1)[which], last)
+                for a in range(0, len(which), 100_000):
+                    w, b, e, z = which[a:a + 100_000], begin[a:a + 100_000], end[a:a + 100_000], last[a:a + 100_000]
+                    common = z - width + 1 + length
+                    columns = [prints.of(z, common, 0), prints.of(z, common, 1), prints.of(b, e + length, 0), prints.of(b, e + length, 1),
+                               np.full(len(w), t1.as_py()), np.full(len(w), t2.as_py()), packed(b, e - b + 1, (first + ahead)[w] - b), known[w]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
     return asked.mapInArrow(run, schema)
 
 
+def again(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that stand at more than one spot, or at one that stands for others; ``low`` is the least spot."""
+    spots = rows.select(*keys, "known", F.xxhash64("t1", "t2", "own").alias("spot"))
+    found = spots.groupBy(*keys).agg(F.min("spot").alias("low"), F.max("spot").alias("top"), F.max("known").alias("known"))
+    return found.where("low < top or known").select(*keys, "low")
+
+
+def settled(rows: DataFrame, group: list[str], length: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(spans of repeated stretches, what has to be asked more closely).
+
+    Asked are the strings of stretches that aren't repeated, and, as known ones, those of one occurrence of each
+    repeated stretch of the same group.
+    """
+    found = rows.join(again(rows, ["f1", "f2"]), ["f1", "f2"], "left")
+    stands = F.col("known") | (F.xxhash64("t1", "t2", "own") == F.col("low"))
+    found = scratch.keep(name, found.select("t1", "t2", "own", *group, "known", F.col("low").isNotNull().alias("whole"), stands.alias("stands")))
+    spans = found.where("whole and not known").selectExpr("t1", "t2", f"{BEGIN} AS begin", f"{BEGIN} + {MANY} - 1 + {length} AS end")
+    edges = found.where("not whole")
+    stand = found.where("whole and stands").join(edges.select(*group).distinct(), group, "left_semi")
+    asked = edges.select("t1", "t2", "own", F.lit(False).alias("known")).unionByName(stand.select("t1", "t2", "own", F.lit(True).alias("known")))
+    return spans, asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("own", "known")).alias("places"))
+
+
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``t1``, ``t2`` and ``spans`` (begin, end) of the repeated strings of each text that has any.
 
@@ -248,35 +289,30 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # round 2: pairs of pairs, where what follows the anchor decides them; other suffixes are past the threshold
     rows = rows.withColumn("n", number)
     ahead = F.coalesce(*[F.when(F.lead("n", k).over(order) == F.col("n") + 2, F.lead("rank", k).over(order)) for k in (1, 2)])
-    rows = scratch.keep("pairs2", rows.withColumn("next", ahead).drop("n").where("own % 128 > 0 or next is not null"))
+    rows = scratch.keep("pairs2", rows.withColumn("next", ahead).drop("n").where(f"{MANY} > 0 or next is not null"))
     scratch.drop("round1")
     due = rows.where("place % 2 = 1 and next is not null")
     done = rows.where("place % 2 = 0").withColumn("rank", F.xxhash64("rank", F.lit(1))).drop("next")
-    rows = scratch.keep("round2", reranked(due).unionByName(done).where("own % 128 > 0"))
+    rows = scratch.keep("round2", reranked(due).unionByName(done).where(f"{MANY} > 0"))
     scratch.drop("pairs2")
-    # whole stretches
-    whole = rows.groupBy("f1", "f2").agg(F.min(F.xxhash64(*SPOT)).alias("low"), F.max(F.xxhash64(*SPOT)).alias("top"))
-    rows = rows.join(whole.where("low < top").drop("top"), ["f1", "f2"], "left")
-    rows = scratch.keep("stretches", rows.select("t1", "t2", "place", "own", "rank", F.col("low").isNotNull().alias("whole"),
-                                                 (F.xxhash64(*SPOT) == F.col("low")).alias("stands")))
+    # whole stretches, then eighths of them, then single strings
+    rows = rows.select("t1", "t2", "own", "f1", "f2", "rank", F.lit(False).alias("known"))
+    whole, asked = settled(rows, ["rank"], length, scratch, "stretches")
+    one = docs.withColumn("k", F.row_number().over(Window.partitionBy("t1", "t2").orderBy(F.lit(1)))).where("k = 1").select("t1", "t2", "text")
+    texts = scratch.keep("texts", one.join(asked, ["t1", "t2"]))
     scratch.drop("round2")
-    # edges
-    edges = rows.where("not whole")
-    stand = rows.where("whole and stands").join(edges.select("rank").distinct(), "rank", "left_semi")
-    asked = edges.select("t1", "t2", "own", F.lit(False).alias("known")).unionByName(stand.select("t1", "t2", "own", F.lit(True).alias("known")))
-    asked = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("own", "known")).alias("places"))
-    strings = scratch.keep("strings", strings_at(docs.select("t1", "t2", "text").join(asked, ["t1", "t2"]), length))
-    spots = strings.select("s1", "s2", "known", F.xxhash64("t1", "t2", "start").alias("spot"))
-    twice = spots.groupBy("s1", "s2").agg(F.min("spot").alias("low"), F.max("spot").alias("top"), F.max("known").alias("known"))
-    twice = twice.where("low < top or known").select("s1", "s2")
-    single = strings.where("not known").join(twice, ["s1", "s2"], "left_semi").select("t1", "t2", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+    group = ["g1", "g2"]
+    parts = scratch.keep("parts", cut_at(texts, length, max(1, shape(length)[0] // 8)))
+    eighths, asked = settled(parts.join(again(parts, group), group, "left_semi"), group, length, scratch, "eighths")
+    strings = scratch.keep("strings", cut_at(texts.drop("places").join(asked, ["t1", "t2"]), length, 1))
+    single = strings.where("not known").join(again(strings, ["f1", "f2"]), ["f1", "f2"], "left_semi")
+    single = single.selectExpr("t1", "t2", f"{BEGIN} AS begin", f"{BEGIN} + {length} AS end")
     # copies of a whole text
     copies = docs.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("end"))
     copies = copies.where("n > 1").select("t1", "t2", F.lit(0).cast("long").alias("begin"), "end")
-    runs = rows.where("whole").select("t1", "t2", F.expr("own div 128").alias("begin"), F.expr(f"own div 128 + own % 128 - 1 + {length}").alias("end"))
-    spans = runs.unionByName(single).unionByName(copies).groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = whole.unionByName(eighths).unionByName(single).unionByName(copies).groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     spans = scratch.keep("spans", spans)
-    scratch.drop("stretches", "strings")
+    scratch.drop("stretches", "texts", "parts", "eighths", "strings")
     return spans
 
 
