@@ -12,11 +12,12 @@ texts agree in a slot with the probability of their weighted Jaccard similarity.
 a process stops once its next point is later than the latest slot's, so a text costs its shingles plus some 700 points.
 
 Search.  32 bands of 4 slots: a pair at 0.8 shares no band once in 2 * 10^7.  Texts that share a band with others are
-candidates.  No pairs are made within a bucket: every member meets the bucket's *leader*, its most central member (the
-one that shares most buckets with most others).  Texts around a common original all link through it; two texts that
-share their own edits meet in buckets that those edits made.  Members that meet no link in a bucket then get a second
-leader.  All meetings are verified on whole texts.  A link between two texts is lost only if it would join classes that
-no leader joins; the tests hold the classes against brute force.
+candidates.  No pairs are made within a bucket: every member meets the bucket's *leaders*, its most central member (the
+one that shares most buckets with most others), its shortest and its longest.  Texts around a common original all link
+through it; a text that others merely add to is the shortest; two texts that share their own edits meet in buckets that
+those edits made.  Members that no link joins to a bucket's leaders then get leaders of their own.  All meetings are
+verified on whole texts.  A link between two texts is lost only if it would join classes that no leader joins; the tests
+hold the classes against brute force.
 
 Classes are the connected components of the links.  Identical texts are one text from the start, so copies cost
 nothing.  Ids are carried, never used to tell texts apart.
@@ -130,14 +131,14 @@ def band_keys(found: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """``key``, ``t1``, ``t2``: a row per band of each text with words; a text that a task meets again is skipped."""
-    schema = "key long, t1 long, t2 long"
+    """``key``, ``t1``, ``t2``, ``size``: a row per band of each text with words; a text that a task meets again is skipped."""
+    schema = "key long, t1 long, t2 long, size long"
     target = arrow_schema(schema)
 
     def rows(names: list[tuple[int, int]], bags: list) -> pa.RecordBatch:
         keys = band_keys(signatures(bags))
-        both = np.repeat(np.array(names, np.int64), keys.shape[1], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(both[:, 0]), pa.array(both[:, 1])], schema=target)
+        own = np.array([(*n, int(b[1].sum())) for n, b in zip(names, bags)], np.int64).repeat(keys.shape[1], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *[pa.array(own[:, c]) for c in range(3)]], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -218,9 +219,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def leaders(members: DataFrame, central: DataFrame) -> DataFrame:
-    """The most central member of each bucket."""
-    best = members.join(central, KEY).groupBy("key").agg(F.max(F.struct("pull", "t1", "t2")).alias("best"))
-    return best.select("key", F.col("best.t1").alias("l1"), F.col("best.t2").alias("l2"))
+    """A row per bucket and leader: the most central, the shortest and the longest member."""
+    found = members.join(central, KEY).groupBy("key").agg(
+        F.max(F.struct("pull", *KEY)).alias("a"), F.min(F.struct("size", *KEY)).alias("b"), F.max(F.struct("size", *KEY)).alias("c"))
+    named = [F.struct(F.col(f"{x}.t1").alias("l1"), F.col(f"{x}.t2").alias("l2")) for x in "abc"]
+    return found.select("key", F.inline(F.array_distinct(F.array(*named))))
 
 
 def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -248,14 +251,14 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     texts = scratch.keep("texts", one.join(central, KEY, "left_semi"))
     met = members.join(leaders(members, central), "key").where("t1 <> l1 or t2 <> l2")
     met = scratch.keep("met", met.groupBy(*KEY, *LEADER).agg(F.count(F.lit(1)).alias("n")))
-    # first the leader that a text meets most often, then its other leaders, then second leaders
+    # first the leader that a text meets most often, then its other leaders, then those of members still apart
     most = met.groupBy(*KEY).agg(F.max(F.struct("n", "l1", "l2")).alias("m")).select(*KEY, "m.l1", "m.l2")
     links = scratch.keep("links1", verified(most, texts))
     labels = components(links, scratch, "first")
     more = joined(met.select(*KEY, *LEADER).join(most, [*KEY, *LEADER], "left_anti"), labels)
     links = scratch.keep("links2", links.unionByName(verified(more, texts)))
     labels = components(links, scratch, "second")
-    apart = joined(members.join(leaders(members, central), "key").where("t1 <> l1 or t2 <> l2"), labels).select("key", *KEY)
+    apart = joined(members.join(leaders(members, central), "key").where("t1 <> l1 or t2 <> l2"), labels).select("key", *KEY, "size").distinct()
     apart = scratch.keep("apart", apart)
     second = apart.join(leaders(apart, central), "key").where("t1 <> l1 or t2 <> l2").select(*KEY, *LEADER).distinct()
     second = joined(second.join(met, [*KEY, *LEADER], "left_anti"), labels)
