@@ -243,13 +243,16 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     bands = scratch.keep("bands", banded(docs))
     spot = F.xxhash64("t1", "t2")
     shared = bands.groupBy("key").agg(F.min(spot).alias("low"), F.max(spot).alias("top"), F.count(F.lit(1)).alias("n")).where("low < top")
-    members = scratch.keep("members", bands.join(shared.select("key", "n"), "key"))
-    scratch.drop("bands")
+    # tables that are joined on a bucket are written first: Spark then splits the rows of a large bucket
+    shared = scratch.keep("shared", shared.select("key", "n"))
+    members = scratch.keep("members", bands.join(shared, "key"))
+    scratch.drop("bands", "shared")
     central = members.groupBy(*KEY).agg(F.sum("n").alias("pull"))
     # one row of each text that has company; copies go before anything moves
     one = docs.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))).where("k = 1").select(*KEY, "text")
     texts = scratch.keep("texts", one.join(central, KEY, "left_semi"))
-    met = members.join(leaders(members, central), "key").where("t1 <> l1 or t2 <> l2")
+    first = scratch.keep("leaders", leaders(members, central))
+    met = members.join(first, "key").where("t1 <> l1 or t2 <> l2")
     met = scratch.keep("met", met.groupBy(*KEY, *LEADER).agg(F.count(F.lit(1)).alias("n")))
     # first the leader that a text meets most often, then its other leaders, then those of members still apart
     most = met.groupBy(*KEY).agg(F.max(F.struct("n", "l1", "l2")).alias("m")).select(*KEY, "m.l1", "m.l2")
@@ -258,13 +261,13 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     more = joined(met.select(*KEY, *LEADER).join(most, [*KEY, *LEADER], "left_anti"), labels)
     links = scratch.keep("links2", links.unionByName(verified(more, texts)))
     labels = components(links, scratch, "second")
-    apart = joined(members.join(leaders(members, central), "key").where("t1 <> l1 or t2 <> l2"), labels).select("key", *KEY, "size").distinct()
+    apart = joined(members.join(first, "key").where("t1 <> l1 or t2 <> l2"), labels).select("key", *KEY, "size").distinct()
     apart = scratch.keep("apart", apart)
-    second = apart.join(leaders(apart, central), "key").where("t1 <> l1 or t2 <> l2").select(*KEY, *LEADER).distinct()
+    second = apart.join(scratch.keep("leaders2", leaders(apart, central)), "key").where("t1 <> l1 or t2 <> l2").select(*KEY, *LEADER).distinct()
     second = joined(second.join(met, [*KEY, *LEADER], "left_anti"), labels)
     links = scratch.keep("links3", links.unionByName(verified(second, texts)))
     labels = scratch.keep("labels", components(links, scratch, "third"))
-    scratch.drop("members", "texts", "met", "apart", "links1", "links2")
+    scratch.drop("members", "leaders", "texts", "met", "apart", "leaders2", "links1", "links2")
     return links, labels
 
 
