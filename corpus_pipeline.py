@@ -42,8 +42,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document (packed little-endian 32-bit integers), and digests of ids and decoded bytes."""
     prepare(spark)
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe_tree.decode_documents(bpe_tree.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    both = bpe_tree.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -147,7 +147,21 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     return map_batches(encoded.select("doc_id", "n_tokens", "ids"), work, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` and ``decoded`` of each document, by one codec in one pass."""
+    shared = share(docs, ranks_path)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> dict:
+        own = codec(shared.value, pattern)
+        ids = [own.encode(t) for t in text_values(batch.column("text"))]
+        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [own.decode(i) for i in ids]}
+
+    return map_batches(rows, work, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encodes, decodes, and returns ``doc_id``, ``n_tokens`` and the digests of ids and decoded bytes."""
-    both = decode_documents(encode_documents(docs, ranks_path, pattern), ranks_path, pattern)
+    both = encode_and_decode(docs, ranks_path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

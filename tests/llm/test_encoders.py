@@ -79,6 +79,8 @@ def test_queries_on_awkward_rows(spark, ranked):
         ids = ranked.encode_to_numpy(t or "")
         want.append((i, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert both == sorted(want, key=repr)
+    steps = bpe_tree.decode_documents(bpe_tree.encode_documents(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert sorted(((r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in steps.collect()), key=repr) == both
     none = docs.limit(0)
     assert token_counts.count_tokens(none, JSON).count() == 0
     assert bpe_tree.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
