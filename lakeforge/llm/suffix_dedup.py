@@ -10,8 +10,9 @@ About one position in fifty is an anchor, and all work below is on them:
 1.  *Doubling.*  A suffix's first rank is that of the block from its anchor to the next.  Each round pairs the rank at
     an anchor with the rank as many blocks further on as the rank covers, ranks the pairs anew, and drops every suffix
     whose rank is unique, until a rank covers more than the part of a 400-byte string that is sure to follow its
-    anchor.  A rank is the least position that has the pair.  Ranking is an aggregation with map-side combine and a
-    join back that Spark splits where one pair is very frequent.  What is dropped cannot start a repeated string.
+    anchor.  A rank is the least position that has the pair.  Ranking is an aggregation with map-side combine that is
+    written down, and a join to it that Spark splits where one pair is very frequent.  What is dropped cannot start a
+    repeated string.
 2.  *Whole stretches.*  The string that holds every 400-byte string assigned to an anchor: if it is repeated, all are.
 3.  *Edges.*  Where it isn't, but the rank is, a repeat ends nearby.  There the stretch is cut into eighths.  An eighth
     is dropped if what its strings have in common isn't repeated, settled if its own stretch is, and only else are its
@@ -198,16 +199,17 @@ def sampled(docs: DataFrame, length: int, stretches: bool) -> DataFrame:
     return docs.where(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(run, schema)
 
 
-def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """The keys that stand at more than one spot, with their rank ``new``: the least spot."""
     spots = rows.select(*keys, F.xxhash64(*SPOT).alias("spot"))
-    return spots.groupBy(*keys).agg(F.min("spot").alias("new"), F.max("spot").alias("top")).where("new < top").drop("top")
+    found = spots.groupBy(*keys).agg(F.min("spot").alias("new"), F.max("spot").alias("top"))
+    return scratch.keep(name, found.where("new < top").drop("top"))
 
 
-def reranked(rows: DataFrame) -> DataFrame:
+def reranked(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The rows whose pair of ranks (``rank``, ``next``) stands elsewhere too, with the pair's rank."""
     pair = ["rank", "next"]
-    return rows.join(ranked(rows, pair), pair).drop(*pair).withColumnRenamed("new", "rank")
+    return rows.join(ranked(rows, pair, scratch, name), pair).drop(*pair).withColumnRenamed("new", "rank")
 
 
 def cut_at(asked: DataFrame, length: int, width: int) -> DataFrame:
@@ -244,11 +246,11 @@ def cut_at(asked: DataFrame, length: int, width: int) -> DataFrame:
     return asked.mapInArrow(run, schema)
 
 
-def again(rows: DataFrame, keys: list[str]) -> DataFrame:
+def again(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """The keys that stand at more than one spot, or at one that stands for others; ``low`` is the least spot."""
     spots = rows.select(*keys, "known", F.xxhash64("t1", "t2", "own").alias("spot"))
     found = spots.groupBy(*keys).agg(F.min("spot").alias("low"), F.max("spot").alias("top"), F.max("known").alias("known"))
-    return found.where("low < top or known").select(*keys, "low")
+    return scratch.keep(name, found.where("low < top or known").select(*keys, "low"))
 
 
 def settled(rows: DataFrame, group: list[str], length: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +259,7 @@ def settled(rows: DataFrame, group: list[str], length: int, scratch: Scratch, na
     Asked are the strings of stretches that aren't repeated, and, as known ones, those of one occurrence of each
     repeated stretch of the same group.
     """
-    found = rows.join(again(rows, ["f1", "f2"]), ["f1", "f2"], "left")
+    found = rows.join(again(rows, ["f1", "f2"], scratch, f"{name}-again"), ["f1", "f2"], "left")
     stands = F.col("known") | (F.xxhash64("t1", "t2", "own") == F.col("low"))
     found = scratch.keep(name, found.select("t1", "t2", "own", *group, "known", F.col("low").isNotNull().alias("whole"), stands.alias("stands")))
     spans = found.where("whole and not known").selectExpr("t1", "t2", f"{BEGIN} AS begin", f"{BEGIN} + {MANY} - 1 + {length} AS end")
@@ -275,17 +277,17 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
 
     # round 0: the block at each anchor
-    rows = sampled(docs, length, True).join(ranked(sampled(docs, length, False), ["name"]), "name")
-    rows = scratch.keep("round0", rows.drop("name").withColumnRenamed("new", "rank"))
+    ranks = ranked(sampled(docs, length, False), ["name"], scratch, "ranks0")
+    rows = scratch.keep("round0", sampled(docs, length, True).join(ranks, "name").drop("name").withColumnRenamed("new", "rank"))
     # round 1: pairs of blocks; copies of a text that other tasks met are dropped on the way
     rows = rows.repartition("t1", "t2").dropDuplicates(SPOT)
     order = Window.partitionBy("t1", "t2").orderBy("place")
     number = F.expr("place div 2")
     rows = rows.withColumn("n", number).withColumn("next", F.when(F.lead("n").over(order) == F.col("n") + 1, F.lead("rank").over(order)))
     rows = scratch.keep("pairs1", rows.where("next is not null").drop("n"))
-    scratch.drop("round0")
-    rows = scratch.keep("round1", reranked(rows))
-    scratch.drop("pairs1")
+    scratch.drop("round0", "ranks0")
+    rows = scratch.keep("round1", reranked(rows, scratch, "ranks1"))
+    scratch.drop("pairs1", "ranks1")
     # round 2: pairs of pairs, where what follows the anchor decides them; other suffixes are past the threshold
     rows = rows.withColumn("n", number)
     ahead = F.coalesce(*[F.when(F.lead("n", k).over(order) == F.col("n") + 2, F.lead("rank", k).over(order)) for k in (1, 2)])
@@ -293,8 +295,8 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch.drop("round1")
     due = rows.where("place % 2 = 1 and next is not null")
     done = rows.where("place % 2 = 0").withColumn("rank", F.xxhash64("rank", F.lit(1))).drop("next")
-    rows = scratch.keep("round2", reranked(due).unionByName(done).where(f"{MANY} > 0"))
-    scratch.drop("pairs2")
+    rows = scratch.keep("round2", reranked(due, scratch, "ranks2").unionByName(done).where(f"{MANY} > 0"))
+    scratch.drop("pairs2", "ranks2")
     # whole stretches, then eighths of them, then single strings
     rows = rows.select("t1", "t2", "own", "f1", "f2", "rank", F.lit(False).alias("known"))
     whole, asked = settled(rows, ["rank"], length, scratch, "stretches")
@@ -303,16 +305,16 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch.drop("round2")
     group = ["g1", "g2"]
     parts = scratch.keep("parts", cut_at(texts, length, max(1, shape(length)[0] // 8)))
-    eighths, asked = settled(parts.join(again(parts, group), group, "left_semi"), group, length, scratch, "eighths")
+    eighths, asked = settled(parts.join(again(parts, group, scratch, "common"), group, "left_semi"), group, length, scratch, "eighths")
     strings = scratch.keep("strings", cut_at(texts.drop("places").join(asked, ["t1", "t2"]), length, 1))
-    single = strings.where("not known").join(again(strings, ["f1", "f2"]), ["f1", "f2"], "left_semi")
+    single = strings.where("not known").join(again(strings, ["f1", "f2"], scratch, "twice"), ["f1", "f2"], "left_semi")
     single = single.selectExpr("t1", "t2", f"{BEGIN} AS begin", f"{BEGIN} + {length} AS end")
     # copies of a whole text
     copies = docs.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("end"))
     copies = copies.where("n > 1").select("t1", "t2", F.lit(0).cast("long").alias("begin"), "end")
     spans = whole.unionByName(eighths).unionByName(single).unionByName(copies).groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     spans = scratch.keep("spans", spans)
-    scratch.drop("stretches", "texts", "parts", "eighths", "strings")
+    scratch.drop("stretches", "stretches-again", "texts", "parts", "common", "eighths", "eighths-again", "strings", "twice")
     return spans
 
 
