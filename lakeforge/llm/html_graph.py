@@ -14,7 +14,8 @@ Texts are cut into blocks at block-level elements; white space in a block become
 empty line.  Script, style and other unrendered elements are never text.
 
 Defined results: a null or empty html has the empty text; broken markup is read as a browser would roughly read it
-(open elements end where their parent ends); very deep or long pages take no recursion; repeated rows each get a row;
+(open elements end where their parent ends, also those that are never text; an open head ends at the first thing that may
+not stand in it); very deep or long pages take no recursion; repeated rows each get a row;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -39,8 +41,12 @@ MAIN, OTHER, BOTH = range(3)
 LABEL = "x-label"
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea select datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+UNSEEN = frozenset("script style noscript template title svg iframe object canvas audio video textarea select datalist".split())
+#: Elements that may stand in the head; any other, and any text, ends a head that is left open.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements that end an svg that is left open.
+ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INLINE = frozenset("math annotation maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An element of the key ends an open one of the values, up to the nearest of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -73,7 +79,8 @@ class Reader:
     """Builds the tree of a page."""
 
     def __init__(self):
-        self.tree, self.open, self.blocks, self.unseen = Tree(), [], 0, ""
+        self.tree, self.open, self.blocks, self.unseen, self.head = Tree(), [], 0, "", False
+        self.inner: Counter[str] = Counter()  # elements open within the unseen one
         self.truth = [-1]  # of the labelled stretches that are open
         self.add("html")
         self.open.append(0)
@@ -117,11 +124,24 @@ class Reader:
         del self.open[depth:]
 
     def start(self, tag: str, said: str) -> None:
-        if self.unseen or tag in ("html", "body"):
+        if self.unseen:
+            if not self.ends_unseen(tag):
+                if tag not in VOID and not said.endswith("/"):
+                    self.inner[tag] += 1
+                return
+            self.unseen = ""
+            if tag == "select":
+                return
+        if self.head and tag not in HEAD:
+            self.head = False
+        if tag in ("html", "body") or (self.head and tag != "template"):
+            return
+        if tag == "head":
+            self.head = True
             return
         if tag in UNSEEN:
             if not said.endswith("/"):
-                self.unseen = tag
+                self.unseen, self.inner = tag, Counter()
             return
         given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(said)} if "=" in said else {}
         if tag == LABEL:
@@ -146,24 +166,48 @@ class Reader:
         if tag not in VOID:
             self.open.append(node)
 
+    def ends_unseen(self, tag: str) -> bool:
+        """Whether the start of an element ends the unseen one, as it does in a browser."""
+        if self.unseen == "svg":
+            return tag in ENDS_SVG and not (self.inner["foreignobject"] or self.inner["desc"])
+        return self.unseen == "select" and tag in ("input", "select", "textarea")
+
+    def depth_of(self, tag: str) -> int:
+        """The open element that an end tag closes; 0 if none."""
+        for depth in range(len(self.open) - 1, 0, -1):
+            name = self.tree.tag[self.open[depth]]
+            if name == tag:
+                return depth
+            if tag in INLINE and name not in INLINE:
+                break
+        return 0
+
     def end(self, tag: str) -> None:
         if self.unseen:
-            self.unseen = "" if tag == self.unseen else self.unseen
+            if self.inner[tag]:
+                self.inner[tag] -= 1
+                return
+            if tag == self.unseen:
+                self.unseen = ""
+                return
+            if tag not in ("body", "html") and not self.depth_of(tag):
+                return
+            self.unseen = ""
+        if tag in ("head", "body", "html"):
+            self.head = False
             return
         if tag == LABEL:
             self.truth.pop()
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.tree.tag[self.open[depth]]
-            if name == tag:
-                self.close_to(depth)
-                return
-            if tag in INLINE and name not in INLINE:
-                return
+        depth = self.depth_of(tag)
+        if depth:
+            self.close_to(depth)
 
     def data(self, text: str) -> None:
         if not self.unseen:
-            self.add("", text=unescape(text))
+            self.head = self.head and not text.strip()
+            if not self.head:
+                self.add("", text=unescape(text))
 
 
 def parse(html: str) -> Tree:

@@ -259,3 +259,27 @@ def test_extraction_on_awkward_pages(spark, model):
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (0, 1, 5, 6))
     assert next(r.n_chars for r in got if r.page_id == 7) > 300_000
     assert html_graph.extract_pages(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>x</title><body><p>Text one.<p>Text two.", "Text one.|Text two."),
+    ("<head><meta charset=x><style>p{}</style>\n<script>1</script><p>Text one.", "Text one."),
+    ("<head><title>x</title>Text one.", "Text one."),
+    ("<head><template><p>no</template><noscript><p>no</noscript></head><body>Text one.", "Text one."),
+    ("<div><svg><path d='1'></div><p>Text one.", "Text one."),
+    ("<svg><g><text>no</text><p>Text one.", "Text one."),
+    ("<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg><p>Text one.", "Text one."),
+    ("<p>Text one.</p><div><object><p>no</p></div><p>Text two.", "Text one.|Text two."),
+    ("<div><object>no<object>no</object>no</object>Text one.</div>", "Text one."),
+    ("<section><canvas>no</section><div><audio>no</div><div><video><source>no</div>Text one.", "Text one."),
+    ("<form><select><option>no<option>no</form><p>Text one.", "Text one."),
+    ("<div><select><option>no<input>Text one.</div>", "Text one."),
+    ("<div><datalist><option>no</div><div><template><p>no</div>Text one.", "Text one."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.", "Let x=1 hold."),
+])
+def test_texts_of_pages_with_omitted_end_tags(page, want):
+    tree, blocks = html_graph.parse(page), {}
+    for k, tag in enumerate(tree.tag):
+        if not tag:
+            blocks[tree.block[k]] = blocks.get(tree.block[k], "") + tree.text[k]
+    assert "|".join(" ".join(t.split()) for t in blocks.values() if t.strip()) == want
