@@ -12,12 +12,14 @@ texts agree in a slot with the probability of their weighted Jaccard similarity.
 a process stops once its next point is later than the latest slot's, so a text costs its shingles plus some 700 points.
 
 Search.  32 bands of 4 slots: a pair at 0.8 shares no band once in 2 * 10^7.  Texts that share a band with others are
-candidates.  No pairs are made within a bucket: every member meets the bucket's *leaders*, its most central member (the
-one that shares most buckets with most others), its shortest and its longest.  Texts around a common original all link
-through it; a text that others merely add to is the shortest; two texts that share their own edits meet in buckets that
-those edits made.  Members that no link joins to a bucket's leaders then get leaders of their own.  All meetings are
-verified on whole texts.  A link between two texts is lost only if it would join classes that no leader joins; the tests
-hold the classes against brute force.
+candidates.  Pairs of a bucket are settled by rounds of *leaders*: its most central member (the one that shares most
+buckets with most others), its shortest and its longest meet every member that is in another component yet.  Texts
+around a common original all link through it; a text that others merely add to is the shortest.  A member that has led a
+bucket has settled all its pairs there and leaves it; a bucket whose members are all in one component is settled.  After
+``ROUNDS`` rounds, what is left is settled by blocks: the members of a bucket are dealt over blocks of some ``BLOCK``
+shingles, and every two blocks are compared as a whole, so that a large bucket is spread over tasks and a text is fetched
+once a block rather than once a pair.  Every two texts that share a band end in one class or have been compared.  All
+comparisons are exact, on whole texts; pairs whose sizes alone rule a link out aren't fetched.
 
 Classes are the connected components of the links.  Identical texts are one text from the start, so copies cost
 nothing.  Ids are carried, never used to tell texts apart.
@@ -43,6 +45,8 @@ WORDS = 5
 SLOTS, ROWS = 128, 4
 #: Shingles whose signatures are made at a time.
 GROUP = 200_000
+#: Rounds of leaders before the rest is settled by blocks, and the shingles of a block.
+ROUNDS, BLOCK = 3, 100_000
 MIX, STEP, BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2127599BF4325C37)
 KEY, LEADER = ["t1", "t2"], ["l1", "l2"]
 
@@ -218,25 +222,97 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels.select(parts[0].cast("long").alias("t1"), parts[1].cast("long").alias("t2"), "label")
 
 
-def leaders(members: DataFrame, central: DataFrame) -> DataFrame:
-    """A row per bucket and leader: the most central, the shortest and the longest member."""
+def leaders(members: DataFrame, central: DataFrame, label: str | None = None) -> DataFrame:
+    """A row per bucket and leader (the most central, the shortest and the longest member) with its size, and its label."""
+    more = ["size", *([label] if label else [])]
     found = members.join(central, KEY).groupBy("key").agg(
-        F.max(F.struct("pull", *KEY)).alias("a"), F.min(F.struct("size", *KEY)).alias("b"), F.max(F.struct("size", *KEY)).alias("c"))
-    named = [F.struct(F.col(f"{x}.t1").alias("l1"), F.col(f"{x}.t2").alias("l2")) for x in "abc"]
+        F.max(F.struct("pull", *KEY, *more)).alias("a"), F.min(F.struct("size", *KEY, *more[1:])).alias("b"), F.max(F.struct("size", *KEY, *more[1:])).alias("c"))
+    named = [F.struct(F.col(f"{x}.t1").alias("l1"), F.col(f"{x}.t2").alias("l2"), *[F.col(f"{x}.{c}").alias(f"lead_{c}") for c in more]) for x in "abc"]
     return found.select("key", F.inline(F.array_distinct(F.array(*named))))
 
 
-def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose two texts aren't in one component yet."""
-    if labels is None:
-        return pairs
     own = labels.withColumnRenamed("label", "own")
     lead = labels.select(F.col("t1").alias("l1"), F.col("t2").alias("l2"), F.col("label").alias("lead"))
     return pairs.join(own, KEY, "left").join(lead, LEADER, "left").where("own is null or lead is null or own <> lead").drop("own", "lead")
 
 
-def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): verified links between texts, and the component of each linked text.
+def fitting(pairs: DataFrame) -> DataFrame:
+    """The pairs of a text and another that their sizes alone allow to be similar."""
+    return pairs.where("(t1 <> l1 or t2 <> l2) and 5 * least(size, lead_size) >= 4 * greatest(size, lead_size)")
+
+
+def unsettled(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The members of buckets that hold more than one component, with their component ``own``."""
+    own = members.join(labels, KEY, "left").select("key", *KEY, "size", F.coalesce("label", F.concat_ws("/", *KEY)).alias("own"))
+    own = scratch.keep(f"{name}-own", own)
+    mixed_up = own.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("top")).where("low < top")
+    out = scratch.keep(name, own.join(scratch.keep(f"{name}-keys", mixed_up.select("key")), "key"))
+    scratch.drop(f"{name}-own", f"{name}-keys")
+    return out
+
+
+def cell_links(cell: pa.Table) -> pa.Table:
+    """Links between the members of two blocks of a bucket (or of one) that join their components.
+
+    A pair is compared in the first of the buckets that it shares.
+    """
+    key, i, j = (cell.column(c)[0].as_py() for c in ("key", "i", "j"))
+    n = cell.num_rows
+    names = list(zip(cell.column("t1").to_pylist(), cell.column("t2").to_pylist()))
+    block, size = cell.column("block").to_numpy(), cell.column("size").to_numpy()
+    group = np.unique(np.array(cell.column("own").to_pylist(), object), return_inverse=True)[1]
+    earlier = [[k for k in keys if k < key] for keys in cell.column("keys").to_pylist()]
+    number, who = np.unique(np.array([k for ks in earlier for k in ks], np.int64), return_inverse=True)[1], np.repeat(np.arange(n), [len(ks) for ks in earlier])
+    met, pairs = np.zeros(len(number) and number.max() + 1, bool), []
+    for a in np.flatnonzero(block == i):
+        other = (block == j) & (np.arange(n) > a) if i == j else block == j
+        other &= (group != group[a]) & (5 * np.minimum(size, size[a]) >= 4 * np.maximum(size, size[a]))
+        if other.any() and len(earlier[a]):
+            met[number[who == a]] = True
+            other &= np.bincount(who[met[number]], minlength=n) == 0
+            met[number[who == a]] = False
+        if other.any():
+            pairs.append((a, other))
+    links = []
+    if pairs:
+        taken = np.logical_or.reduce([o for _, o in pairs])
+        taken[[a for a, _ in pairs]] = True
+        bags = [shingles(t.as_py().encode() if take else b"") for t, take in zip(cell.column("text"), taken)]
+        owner, weight = np.repeat(np.arange(n), [len(b[0]) for b in bags]), np.concatenate([b[1] for b in bags])
+        shingle = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)[1]
+        start, own = np.searchsorted(owner, np.arange(n + 1)), np.zeros(shingle.max() + 1, np.int64)
+    for a, other in pairs:
+        other &= group != group[a]
+        if not other.any():
+            continue
+        mine = slice(start[a], start[a + 1])
+        own[shingle[mine]] = weight[mine]
+        common = np.bincount(owner, weights=np.minimum(own[shingle], weight), minlength=n).astype(np.int64)
+        own[shingle[mine]] = 0
+        for b in np.flatnonzero(other & (5 * common >= 4 * (size + size[a] - common))):
+            if group[a] != group[b]:
+                links.append((*names[a], *names[b]))
+                group[group == group[b]] = group[a]
+    columns = list(zip(*links)) or [[]] * 4
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip([*KEY, *LEADER], columns)})
+
+
+def rest(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links between the members of buckets that no leader has joined, by blocks."""
+    blocks = scratch.keep("blocks", left.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks")))
+    keys = left.groupBy(*KEY).agg(F.collect_list("key").alias("keys"))
+    texts = scratch.keep("rest-texts", texts.join(keys, KEY))
+    placed = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("t2", "t1"), "blocks"))
+    # a member takes part in the comparisons of its block with each block
+    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least("block", b).alias("i"), F.greatest("block", b).alias("j")))
+    cells = scratch.keep("cells", placed.select("key", *KEY, "size", "own", "block", F.inline(cell)))
+    return cells.join(texts, KEY).groupBy("key", "i", "j").applyInArrow(cell_links, "t1 long, t2 long, l1 long, l2 long")
+
+
+def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``t1``, ``t2`` and ``label``: the component of each linked text.
 
     ``docs`` has ``t1``, ``t2`` and ``text`` without nulls.
     """
@@ -252,23 +328,42 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     one = docs.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))).where("k = 1").select(*KEY, "text")
     texts = scratch.keep("texts", one.join(central, KEY, "left_semi"))
     first = scratch.keep("leaders", leaders(members, central))
-    met = members.join(first, "key").where("t1 <> l1 or t2 <> l2")
+    met = fitting(members.join(first, "key"))
     met = scratch.keep("met", met.groupBy(*KEY, *LEADER).agg(F.count(F.lit(1)).alias("n")))
-    # first the leader that a text meets most often, then its other leaders, then those of members still apart
+    # first the leader that a text meets most often, then its other leaders
     most = met.groupBy(*KEY).agg(F.max(F.struct("n", "l1", "l2")).alias("m")).select(*KEY, "m.l1", "m.l2")
     links = scratch.keep("links1", verified(most, texts))
     labels = components(links, scratch, "first")
     more = joined(met.select(*KEY, *LEADER).join(most, [*KEY, *LEADER], "left_anti"), labels)
     links = scratch.keep("links2", links.unionByName(verified(more, texts)))
     labels = components(links, scratch, "second")
-    apart = joined(members.join(first, "key").where("t1 <> l1 or t2 <> l2"), labels).select("key", *KEY, "size").distinct()
-    apart = scratch.keep("apart", apart)
-    second = apart.join(scratch.keep("leaders2", leaders(apart, central)), "key").where("t1 <> l1 or t2 <> l2").select(*KEY, *LEADER).distinct()
-    second = joined(second.join(met, [*KEY, *LEADER], "left_anti"), labels)
-    links = scratch.keep("links3", links.unionByName(verified(second, texts)))
-    labels = scratch.keep("labels", components(links, scratch, "third"))
-    scratch.drop("members", "leaders", "texts", "met", "apart", "leaders2", "links1", "links2")
-    return links, labels
+    # then new leaders of buckets that hold several components; who has led a bucket leaves it
+    led = lambda lead: lead.select("key", F.col("l1").alias("t1"), F.col("l2").alias("t2"))
+    met, spent = met.select(*KEY, *LEADER), ["members", "leaders", "texts", "met", "links1", "links2"]
+    left = members.select("key", *KEY, "size").join(led(first), ["key", *KEY], "left_anti").distinct()
+    for number in range(ROUNDS + 1):
+        left = unsettled(left, labels, scratch, f"left{number}")
+        spent.append(f"left{number}")
+        if left.isEmpty():
+            break
+        if number == ROUNDS:
+            new = scratch.keep("rest", rest(left, texts, scratch))
+            spent += ["rest", "blocks", "rest-texts", "cells"]
+        else:
+            lead = scratch.keep(f"leaders-{number}", leaders(left, central, "own"))
+            pairs = fitting(left.join(lead, "key").where("own <> lead_own")).select(*KEY, *LEADER).distinct()
+            swapped = met.select(F.col("l1").alias("t1"), F.col("l2").alias("t2"), F.col("t1").alias("l1"), F.col("t2").alias("l2"))
+            pairs = scratch.keep(f"pairs-{number}", pairs.join(met.unionByName(swapped), [*KEY, *LEADER], "left_anti"))
+            met = met.unionByName(pairs)
+            new = scratch.keep(f"new-{number}", verified(pairs, texts))
+            left = left.drop("own").join(led(lead), ["key", *KEY], "left_anti")
+            spent += [f"leaders-{number}", f"pairs-{number}", f"new-{number}"]
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links, scratch, f"more-{number}")
+    labels = scratch.keep("labels", labels)
+    scratch.drop(*spent)
+    return labels
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -278,25 +373,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A row per document: ``doc_id``, ``class_id`` (the least id of its class), ``class_docs``, ``n_links`` of its text."""
+    """A row per document: ``doc_id``, ``class_id`` (the least id of its class) and ``class_docs``."""
     scratch = Scratch(docs.sparkSession, "bagminhash")
     rows = _keyed(docs)
-    links, labels = linked(rows, scratch)
-    both = links.unionByName(links.select(F.col("l1").alias("t1"), F.col("l2").alias("t2"), F.col("t1").alias("l1"), F.col("t2").alias("l2"))).distinct()
-    n_links = both.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_links"))
+    labels = linked(rows, scratch)
     texts = rows.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     texts = texts.join(labels, KEY, "left").withColumn("label", F.coalesce("label", F.concat_ws("/", *KEY)))
     whole = texts.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_docs"))
-    named = texts.select(*KEY, "label").join(whole, "label").join(n_links, KEY, "left").select(*KEY, "class_id", "class_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = texts.select(*KEY, "label").join(whole, "label").select(*KEY, "class_id", "class_docs")
     named = scratch.keep("classes", named)
-    return rows.select("doc_id", *KEY).join(named, KEY).select("doc_id", "class_id", "class_docs", "n_links")
+    return rows.select("doc_id", *KEY).join(named, KEY).select("doc_id", "class_id", "class_docs")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The document with the least id of each class, with all its columns."""
     scratch = Scratch(docs.sparkSession, "bagminhash")
     keyed = _keyed(docs)
-    _, labels = linked(keyed, scratch)
+    labels = linked(keyed, scratch)
     texts = keyed.groupBy(*KEY).agg(F.min("doc_id").alias("first")).join(labels, KEY)
     rank = F.struct(F.col("first").isNull().alias("none"), "first", *KEY)
     best = texts.groupBy("label").agg(F.min(rank).alias("best"))

@@ -87,5 +87,5 @@ def op9_warc_round_trip(spark, table):
 
 @register("op10_bag_minhash")
 def op10_bag_minhash(spark, table):
-    """Near-duplicate class, its size and the number of verified links of every document."""
+    """Near-duplicate class and its size of every document."""
     return bag_minhash.classes(table("documents"))

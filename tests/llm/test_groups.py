@@ -94,6 +94,32 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert bag_minhash.classes(docs.limit(0)).count() == 0 and bag_minhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def copies_without_original(seed, copies, edits):
+    """Near copies of a text that isn't among them; two copies are about as similar as a link asks."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(5000)]
+    base = [r.choice(words) for _ in range(300)]
+    texts = []
+    for _ in range(copies):
+        b = base[:]
+        for _ in range(r.choice(edits)):
+            b[r.randrange(len(b))] = r.choice(words)
+        texts.append(" ".join(b))
+    return texts
+
+
+@pytest.mark.parametrize("rounds,block", [(3, 100_000), (0, 6_000)])
+def test_near_copies_without_their_original(spark, monkeypatch, rounds, block):
+    prepare(spark)
+    monkeypatch.setattr(bag_minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(bag_minhash, "BLOCK", block)
+    texts = copies_without_original(5, 220 if rounds else 40, [3, 4, 5, 6])
+    want = plain_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in bag_minhash.classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------ repeated strings
 
 def plain_removal(texts, length):
