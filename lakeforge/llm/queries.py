@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, bpe_tree, chat_repair, decontaminate, html_graph, quality_ledger, suffix_dedup, token_counts, url_rules, warc
+from . import bag_minhash, bpe_tree, chat_repair, decontaminate, html_graph, personal_data, quality_ledger, ranked_search, suffix_dedup, token_alignment, token_counts, url_rules, warc
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,21 @@ def op9_warc_round_trip(spark, table):
 def op10_bag_minhash(spark, table):
     """Near-duplicate class and its size of every document."""
     return bag_minhash.classes(table("documents"))
+
+
+@register("op11_personal_data", personal_data.ORACLE)
+def op11_personal_data(spark, table):
+    """Personal data of every document, and the terms beside it that disclose it."""
+    return personal_data.report(table("documents"))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark, table):
+    """Alignment of a byte-level vocabulary's tokens with a piece vocabulary's in every document."""
+    return token_alignment.align(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op13_ranked_search", ranked_search.ORACLE)
+def op13_ranked_search(spark, table):
+    """The 50 highest-scoring documents of every benchmark item."""
+    return ranked_search.search(table("documents"), table("benchmark"))
