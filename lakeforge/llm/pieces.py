@@ -19,9 +19,11 @@ BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 MEMO, LONGEST = 300_000, 64
 
 
-def split(text: str) -> list[str]:
-    """The pieces, in order; each but the first begins with the space of its boundary."""
+def split(text: str, before: str = "") -> list[str]:
+    """The pieces, in order; each but the first begins with the space of its boundary.  ``before`` is put before the first."""
     parts = BOUNDARY.split(text) if IRREGULAR.search(text) else text.split(" ")
+    if before:
+        return [before + parts[0], *[" " + p for p in parts[1:]]]
     return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] or len(parts) > 1 else []
 
 

@@ -1,24 +1,25 @@
 """Ranked lexical search by NRA: impact-sorted lists read in order, score intervals kept per document.
 
 *Index.*  Every document gives its terms with their counts; kept are the terms that some item asks for.  A posting is
-(term, document, impact), where the impact is what the term adds to the document's score: that depends on no item, so
-lists are sorted by it.  They are written in tiers: tier k holds the impacts from ``top / 2^(k+1)`` up to
-``top / 2^k``, the last tier all that are left.  All counts behind the impacts (N, L, df) are over all documents.
+(term, document, impact), where the impact is what the term adds to the document's score; it depends on no item, so the
+lists of terms are sorted by it, once.  N, L and df count all documents.  Documents are dealt by hash into shards of some
+``SHARD`` documents, which are written as one row each: every term's list in order of impact.  So a task holds one shard,
+no list is longer than a shard however common its word is, and lost shards are read again.
 
-*Reading.*  Round k reads tier k of all lists, for the items that are still open.  What it finds for an item and a
-document raises the document's lower bound.  A term not yet seen in a document adds less than the tier's floor (nor
-more than its list's greatest impact), so every document has an upper bound, and so has every document not yet met.
+*Reading.*  For an item, a shard's lists are read from the top in steps: each step reads on, in all lists, as far as the
+impacts stay at or above a floor, and the floor falls by a factor of ``STEP``.  What is read raises the lower bounds of
+documents.  A term not yet read for a document adds less than the floor, nor more than its list's greatest impact: that
+bounds every document from above, and every document not yet met.
 
-* An item *closes* when its 50th best lower bound is above what a document not yet met can reach: from then on no
-  document joins.  Documents whose upper bound falls below that 50th best are dropped at every round.
-* Once an item has closed, its remaining tiers are read for its candidates alone, up to the end of the lists; then lower
-  and upper bound meet, and scores and ties are exact.
+* When the ``top``-th best lower bound exceeds what a document not yet met can reach, no document joins any more.
+* Documents that cannot reach that bound are dropped; later steps read on for the others alone, down to the end of the
+  lists, so membership, ties and final scores are exact.
 
-An item that never closes (fewer documents than asked for, say) reads its lists to the end and is exact too.  Common
-words have small impacts, so most items close before the long lists of common words are opened.
+Each shard gives its own best ``top`` of each item; the best of these, picked by a window that is limited before it is
+shuffled, are the result.  Items are broadcast in blocks of at most ``BLOCK`` terms (under 2 MB), one block at a time (an
+item of more terms is a block of its own).
 
-Nothing is broadcast by hand; each round is written to the shared folder.  A document is told apart by its row, not by
-its id.
+A document is told apart by its row, not by its id.
 
 Defined results: null texts have no term, neither has a text without letters or digits; documents without a term don't
 count for N; items without a term, or without a document that scores above 0, give no row; repeated items each get
@@ -32,20 +33,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema
 
-#: Documents per item; tiers of the index.
-TOP, TIERS = 50, 12
+#: Documents per item; documents of a shard; factor by which a step's floor falls; terms of a block of items.
+TOP, SHARD, STEP, BLOCK = 50, 16_384, 4, 200_000
 #: Maximal runs of digits, a-z and characters from U+0080 on, after A-Z is lower-cased, on UTF-8 bytes.
 TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rows of an Arrow batch of terms.
 ROWS = 100_000
 #: What the term of a document's own row begins with: no term does.
-OWN = "\0"
+OWN = b"\0"
 
 
 def term_counts(rows: DataFrame, keep: list[str], key: str) -> DataFrame:
@@ -58,97 +61,161 @@ def term_counts(rows: DataFrame, keep: list[str], key: str) -> DataFrame:
     ddl = f"{kinds}, n long, term string, tf long"
     schema = arrow_schema(ddl)
 
-    def emit(parts: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), schema)], schema=schema)
+    def emit(batch: pa.RecordBatch, of: list[int], many: list[int], sizes: list[int], terms: list[bytes], tf: list[int]) -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.array(of, np.int64), many))
+        columns = [batch.column(c).take(at) for c in keep] + [pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64())]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
-            names = zip(*[batch.column(c).to_pylist() for c in keep])
-            for name, own, text in zip(names, batch.column(key).to_pylist(), batch.column("text").cast(pa.binary())):
+            of, many, sizes, terms, tf = [], [], [], [], []
+            for k, (own, text) in enumerate(zip(batch.column(key).to_pylist(), batch.column("text").cast(pa.binary()))):
                 words = TERMS.findall((text.as_py() or b"").lower())
                 if not words:
                     continue
-                held.append((*name, len(words), f"{OWN}{own}", 0))
-                for term, tf in Counter(words).items():
-                    held.append((*name, len(words), term.decode(), tf))
-                    if len(held) >= ROWS:
-                        yield emit(held)
-                        held = []
-        if held:
-            yield emit(held)
+                counts = Counter(words)
+                of.append(k)
+                many.append(len(counts) + 1)
+                sizes.append(len(words))
+                terms.append(OWN + str(own).encode())
+                tf.append(0)
+                terms.extend(counts)
+                tf.extend(counts.values())
+                if len(terms) >= ROWS:
+                    yield emit(batch, of, many, sizes, terms, tf)
+                    of, many, sizes, terms, tf = [], [], [], [], []
+            if terms:
+                yield emit(batch, of, many, sizes, terms, tf)
 
     return rows.mapInArrow(run, ddl)
 
 
-def index(docs: DataFrame, items: DataFrame, scratch: Scratch, tiers: int = TIERS) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(terms of the items, postings in tiers, floors of the tiers).
-
-    Terms: ``item``, ``item_id``, ``term``, ``most`` (the list's greatest impact).  Postings: ``term``, ``doc``,
-    ``doc_id``, ``impact``, ``tier``.  The last tier's floor is 1, so that nothing is left below it.
-    """
+def shards(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(items with the numbers of their ``terms``, shards of the index)."""
+    own = F.col("term").startswith(OWN.decode())
     asked = items.select("item_id", "text", F.monotonically_increasing_id().alias("item"))
-    asked = scratch.keep("asked", term_counts(asked, ["item", "item_id"], "item").where(~F.col("term").startswith(OWN)).select("item", "item_id", "term"))
+    asked = scratch.keep("asked", term_counts(asked, ["item", "item_id"], "item").where(~own).select("item", "item_id", "term"))
     wanted = scratch.keep("wanted", asked.select(F.col("term").alias("wanted")).distinct())
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("doc"))
     counts = term_counts(rows, ["doc", "doc_id"], "doc").join(wanted, F.col("term") == F.col("wanted"), "left")
-    counts = scratch.keep("counts", counts.where(F.col("wanted").isNotNull() | F.col("term").startswith(OWN)).drop("wanted"))
-    own = F.col("term").startswith(OWN)
+    counts = scratch.keep("counts", counts.where(F.col("wanted").isNotNull() | own).drop("wanted"))
     n_docs, length = counts.where(own).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    held = counts.where(~own)
     weight = F.floor(1000 * F.ln((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("long")
-    weights = scratch.keep("weights", held.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("df")).select("t", weight.alias("w")).where("w > 0"))
-    size = f"(100 - 50 + ((50L * n * {n_docs}L) div {max(1, length)}L))"
-    posted = held.join(weights, F.col("term") == F.col("t")).select("term", "doc", "doc_id", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 20L * {size}))").alias("impact"))
-    posted = scratch.keep("posted", posted.where("impact > 0"))
+    weights = counts.where(~own).groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("df")).select("t", weight.alias("w")).where("w > 0")
+    weights = scratch.keep("weights", weights.withColumn("number", F.monotonically_increasing_id()))
+    share = f"((1000000000L * tf) div (1000L * tf + 20L * (100 - 50 + ((50L * n * {n_docs}L) div {max(1, length)}L))))"
+    posted = counts.where(~own).join(weights, F.col("term") == F.col("t")).select("doc", "doc_id", "number", F.expr(f"w * {share}").alias("impact")).where("impact > 0")
+    many = max(1, -(-n_docs // size))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ddl = f"docs array<long>, doc_ids array<{kind}>, numbers binary, begins binary, places binary, impacts binary"
+    schema = arrow_schema(ddl)
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        order = pa.compute.sort_indices(table.select(["doc_id", "doc"]), sort_keys=[("doc_id", "ascending"), ("doc", "ascending")], null_placement="at_end")
+        doc = table.column("doc").take(order).to_numpy()
+        first = np.concatenate(([True], doc[1:] != doc[:-1]))
+        place = np.empty(len(doc), np.int64)
+        place[order.to_numpy()] = np.cumsum(first) - 1
+        number, gain = table.column("number").to_numpy(), table.column("impact").to_numpy()
+        by = np.lexsort((-gain, number))
+        numbers, begins = np.unique(number[by], return_index=True)
+        one = order.filter(pa.array(first))
+        return pa.Table.from_pylist([{"docs": doc[first].tolist(), "doc_ids": table.column("doc_id").take(one).to_pylist(), "numbers": numbers.astype("<i8").tobytes(),
+                                      "begins": np.append(begins, len(by)).astype("<i8").tobytes(), "places": place[by].astype("<i4").tobytes(),
+                                      "impacts": gain[by].astype("<i8").tobytes()}], schema=schema)
+
+    built = posted.groupBy(F.pmod(F.xxhash64("doc"), F.lit(many)).alias("shard")).applyInArrow(build, ddl)
+    built = scratch.keep("shards", built)
     scratch.drop("counts")
-    most = posted.groupBy("term").agg(F.max("impact").alias("most"))
-    terms = scratch.keep("terms", asked.join(most, "term"))
-    top = terms.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0]
-    floors = [max(1, top >> (k + 1)) for k in range(tiers - 1)] + [1]
-    tier = sum(((F.col("impact") < floor).cast("int") for floor in floors), F.lit(0))
-    path = f"{scratch.root}/postings"
-    posted.withColumn("tier", tier).sortWithinPartitions("tier", F.desc("impact")).write.partitionBy("tier").parquet(path)
-    scratch.drop("posted")
-    return terms, scratch.spark.read.schema(posted.withColumn("tier", tier).schema).parquet(path), floors
-
-
-def search(docs: DataFrame, items: DataFrame, top: int = TOP, tiers: int = TIERS) -> DataFrame:
+    numbered = asked.join(weights, F.col("term") == F.col("t")).groupBy("item").agg(F.max("item_id").alias("item_id"), F.sort_array(F.collect_list("number")).alias("terms"))
+    return scratch.keep("items", numbered), built
+
+
+def best(lists: list[tuple[np.ndarray, np.ndarray]], n_docs: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the ``top`` documents over impact-sorted lists of (places, impacts), equal scores by place."""
+    lower, seen = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int32)
+    most = np.array([impacts[0] for _, impacts in lists], np.int64)
+    at, among, floor = [0] * len(lists), None, int(most.max())
+    while True:
+        floor = floor // STEP if floor >= STEP else 0
+        for k, (places, impacts) in enumerate(lists):
+            if at[k] == len(impacts) or impacts[at[k]] < floor:
+                continue
+            to = int(np.searchsorted(-impacts, -floor, "right"))
+            new, gain = places[at[k]:to], impacts[at[k]:to]
+            if among is not None:
+                own = among[new]
+                new, gain = new[own], gain[own]
+            lower[new] += gain
+            seen[new] += 1
+            at[k] = to
+        if not floor:
+            break
+        rest = int(np.minimum(most, floor - 1).sum())
+        if n_docs > top and among is None:
+            last = int(np.partition(lower, n_docs - top)[n_docs - top])
+            if last <= rest:
+                continue  # a document not yet met may still belong
+        elif among is not None:
+            last = int(np.partition(lower[among], -top)[-top])
+        else:
+            continue
+        among = (lower + rest - seen * np.int64(floor - 1) >= last) & ((lower > 0) if among is None else among)
+    found = np.flatnonzero(lower > 0 if among is None else among & (lower > 0))
+    order = np.lexsort((found, -lower[found]))[:top]
+    return found[order], lower[found][order]
+
+
+def blocks(items: DataFrame, most: int = BLOCK) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items with their term numbers, in blocks of at most ``most`` terms."""
+    block, held = [], 0
+    for row in items.select("item", "terms").toLocalIterator():
+        if block and held + len(row.terms) > most:
+            yield block
+            block, held = [], 0
+        block.append((row.item, np.array(row.terms, np.int64)))
+        held += len(row.terms)
+    if block:
+        yield block
+
+
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, size: int = SHARD, block_terms: int = BLOCK) -> DataFrame:
     """``item_id``, ``rank``, ``doc_id``, ``score``: the ``top`` documents of each item."""
-    scratch = Scratch(docs.sparkSession, "ranked")
-    terms, postings, floors = index(docs, items, scratch, tiers)
-    items_of = terms.select("item", "term")
-    state = kept = None
-    bounds, any_open = None, True
-    for k, floor in enumerate(floors):
-        tier = postings.where(F.col("tier") == k).select("term", "doc", "doc_id", "impact")
-        found = []
-        if any_open:
-            still = items_of if bounds is None else items_of.join(bounds.where("open").select("item"), "item", "left_semi")
-            found.append(tier.join(still, "term").select("item", "doc", "doc_id", "impact"))
-        if kept is not None:
-            closed = kept.where("not open").select("item", "doc")
-            found.append(closed.join(tier, "doc").join(items_of, ["item", "term"], "left_semi").select("item", "doc", "doc_id", "impact"))
-            found.append(kept.select("item", "doc", "doc_id", "lower", "seen"))
-        union = None
-        for part in found:
-            part = part if "lower" in part.columns else part.withColumnRenamed("impact", "lower").withColumn("seen", F.lit(1).cast("long"))
-            union = part if union is None else union.unionByName(part)
-        state = scratch.keep(f"state{k}", union.groupBy("item", "doc").agg(F.max("doc_id").alias("doc_id"), F.sum("lower").alias("lower"), F.sum("seen").alias("seen")))
-        # what a term not yet seen may add, and each item's lower bound of rank `top`
-        unseen = F.least(F.lit(floor - 1), F.col("most"))
-        rest = terms.groupBy("item").agg(F.sum(unseen).alias("rest"))
-        rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("lower")))
-        last = state.select("item", "lower").withColumn("rank", rank).where(F.col("rank") <= top).where(F.col("rank") == top).select("item", F.col("lower").alias("last"))
-        bounds = scratch.keep(f"bounds{k}", rest.join(last, "item", "left").withColumn("open", F.col("last").isNull() | (F.col("rest") >= F.col("last"))))
-        any_open = bool(bounds.where("open").limit(1).count())
-        kept = state.join(bounds, "item").where(F.col("last").isNull() | (F.col("lower") + F.col("rest") - F.col("seen") * (floor - 1) >= F.col("last")))
-        if k > 1:
-            scratch.drop(f"state{k - 2}")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ranked")
+    asked, index = shards(docs, items, scratch, size)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ddl = f"item long, doc long, doc_id {kind}, score long"
+    schema = arrow_schema(ddl)
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "doc")
-    names = terms.select("item", "item_id").distinct()
-    ranked = kept.select("item", "doc", "doc_id", F.col("lower").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    found = None
+    for k, block in enumerate(blocks(asked, block_terms)):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    numbers, begins, impacts = (np.frombuffer(batch.column(c)[row].as_py(), "<i8") for c in ("numbers", "begins", "impacts"))
+                    places = np.frombuffer(batch.column("places")[row].as_py(), "<i4")
+                    doc, doc_id = batch.column("docs")[row].values, batch.column("doc_ids")[row].values
+                    for item, terms in shared.value:
+                        own = np.searchsorted(numbers, terms)
+                        own = own[numbers[np.minimum(own, len(numbers) - 1)] == terms]
+                        if not len(own):
+                            continue
+                        at, scores = best([(places[begins[t]:begins[t + 1]], impacts[begins[t]:begins[t + 1]]) for t in own], len(doc), top)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), item)), doc.take(pa.array(at)), doc_id.take(pa.array(at)).cast(schema.field("doc_id").type),
+                                                          pa.array(scores)], schema=schema)
+
+        ranked = index.mapInArrow(run, ddl).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        ranked = scratch.keep(f"ranked{k}", ranked)
+        found = ranked if found is None else found.unionByName(ranked)
+        shared.unpersist()
+    names = asked.select("item", "item_id")
+    if found is None:
+        found = spark.createDataFrame([], f"{ddl}, rank int")
+    return found.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 ORACLE = r"""

@@ -13,7 +13,7 @@ folded in any tree.
   boundary is near, the chunk is made longer up to the next.  Chunks are then folded ``FAN`` at a time, round by round,
   each round written to the shared folder.
 
-Within a range the text between two proven boundaries is a unit; units repeat, so their fragments are remembered.
+Within a range the pieces between proven boundaries repeat; the first tokenizer's ids of a piece are remembered.
 
 *Counts.*  A link is a pair of token occurrences whose byte ranges overlap.  Each batch of documents has a dictionary of
 its distinct id pairs, documents name pairs by their place in it.  Dictionaries are added up into the corpus-wide
@@ -33,7 +33,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, map_batches, text_values
-from .pieces import BOUNDARY, split
+from .pieces import BOUNDARY, Memo, split
 
 #: Characters of a chunk of a long document; fragments folded at a time.
 CHUNK, FAN = 65_536, 16
-#: Units remembered in a worker, and the longest (in characters) that is.
-MEMO, LONGEST = 150_000, 48
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -59,7 +57,7 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers: ids of a unit, and the bytes of an id."""
+    """The two tokenizers: ids of texts, and the bytes and decimal digits of an id."""
 
     def __init__(self, vocabulary_a: bytes, vocabulary_b: bytes):
         import os
@@ -72,56 +70,46 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabulary_b)
         symbols = byte_of_symbol()
-        self.a_bytes = {i: bytes(symbols[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        named = {i: bytes(symbols[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [named.get(i, b"") for i in range(max(named) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self.known: dict[str, tuple | None] = {}
-
-    def ids(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of units that each begin with a space; None where their bytes are not the unit's."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [(x, y) if b"".join(map(self.a_bytes.__getitem__, x)) == (raw := u.encode()) and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-                else None for u, x, y in zip(units, a, b)]
-
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """Byte offsets where the tokens end."""
-        return list(accumulate(len(self.a_bytes[x]) for x in a)), list(accumulate(len(self.b_bytes[y]) for y in b))
-
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[bytes], list[int]]:
-        """The groups of two token runs that begin and end together, and their links as packed id pairs."""
-        groups, links, (end_a, end_b) = [], [], self.ends(a, b)
-        i = j = from_i = from_j = 0
-        while i < len(a):
-            links.append(a[i] << 32 | b[j])
-            if end_a[i] == end_b[j]:
-                i, j = i + 1, j + 1
-                groups.append(b"%s|%s" % (",".join(map(str, a[from_i:i])).encode(), ",".join(map(str, b[from_j:j])).encode()))
-                from_i, from_j = i, j
-            elif end_a[i] < end_b[j]:
-                i += 1
-            else:
-                j += 1
-        return groups, links
-
-    def closed(self, a: list[int], b: list[int]) -> tuple[int, int, int, bytes, tuple[int, ...]]:
-        """(tokens of A, of B, groups, groups written out, links) of two runs that begin and end together."""
-        groups, links = self.groups(a, b)
-        return len(a), len(b), len(groups), b";".join(groups), tuple(links)
-
-    def of(self, units: list[str]) -> list[tuple | None]:
-        """What each unit comes to, remembered for short ones."""
-        known = self.known
-        missing = list(dict.fromkeys(u for u in units if u not in known))
-        if not missing:
-            return [known[u] for u in units]
-        if len(known) > MEMO:
-            known.clear()
-            missing = list(dict.fromkeys(units))
-        fresh = {u: ids and self.closed(*ids) for u, ids in zip(missing, self.ids(missing))}
-        out = [fresh[u] if u in fresh else known[u] for u in units]
-        known.update((u, v) for u, v in fresh.items() if len(u) <= LONGEST)
-        return out
+        self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        # how an id is written: one of A before another of A and before those of B, one of B before another and before the next group
+        self.writing = [b"%d%s" % (i, after) for n, after in ((len(self.a_bytes), b","), (len(self.a_bytes), b"|"), (len(self.b_bytes), b","), (len(self.b_bytes), b";"))
+                        for i in range(n)]
+        self.memo = Memo(lambda pieces: [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def ids(self, stretch: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a stretch that begins with a space; None where their bytes are not the stretch's."""
+        a = list(chain.from_iterable(self.memo.of(split(stretch[1:], " "))))
+        b = self.b.encode(stretch[1:], num_threads=1)
+        raw = stretch.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def closed(self, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+        """(groups, groups written out, links as packed id pairs) of two runs that begin and end together.
+
+        Every link is one stretch between neighbouring ends, whichever tokenizer they belong to.
+        """
+        if not len(a):
+            return 0, b"", np.zeros(0, np.int64)
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.concatenate((end_a, end_b))
+        ends.sort(kind="stable")
+        twice = ends[1:] == ends[:-1]
+        common, ends = ends[1:][twice], ends[np.concatenate(([True], ~twice))]
+        links = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        upto_a, upto_b = np.searchsorted(end_a, common) + 1, np.searchsorted(end_b, common) + 1  # tokens up to each group's end
+        entry_a, entry_b = a.copy(), b + 2 * len(self.a_bytes)
+        entry_a[upto_a - 1] += len(self.a_bytes)
+        entry_b[upto_b - 1] += len(self.b_bytes)
+        entry = np.empty(len(a) + len(b), np.int64)
+        entry[np.arange(len(a)) + np.repeat(np.concatenate(([0], upto_b[:-1])), np.diff(upto_a, prepend=0))] = entry_a
+        entry[np.arange(len(b)) + np.repeat(upto_a, np.diff(upto_b, prepend=0))] = entry_b
+        return len(common), b"".join(map(self.writing.__getitem__, entry.tolist()))[:-1], links
 
 
 @dataclass
@@ -138,12 +126,13 @@ class Fragment:
     written: list[bytes] = field(default_factory=list)
     links: Counter = field(default_factory=Counter)
 
-    def add(self, closed: tuple[int, int, int, bytes, tuple[int, ...]]) -> None:
-        n_a, n_b, n_groups, written, links = closed
-        self.n_a, self.n_b, self.n_groups = self.n_a + n_a, self.n_b + n_b, self.n_groups + n_groups
+    def add(self, pair: Pair, a: np.ndarray, b: np.ndarray) -> None:
+        """Add the groups of two runs that begin and end together."""
+        n_groups, written, links = pair.closed(a, b)
+        self.n_a, self.n_b, self.n_groups = self.n_a + len(a), self.n_b + len(b), self.n_groups + n_groups
         if n_groups:
             self.written.append(written)
-        self.links.update(links)
+        self.links.update(links.tolist())
 
 
 def compose(pair: Pair, parts: list[Fragment]) -> Fragment:
@@ -156,9 +145,8 @@ def compose(pair: Pair, parts: list[Fragment]) -> Fragment:
         side[1].extend(x.head[1])
         if not x.closed:
             continue
-        if out.closed:
-            if side[0] and x.valid and out.valid:
-                out.add(pair.closed(*side))
+        if out.closed and side[0] and out.valid:
+            out.add(pair, np.array(side[0], np.int64), np.array(side[1], np.int64))
         out.closed, out.tail = True, (list(x.tail[0]), list(x.tail[1]))
         out.n_a, out.n_b, out.n_groups = out.n_a + x.n_a, out.n_b + x.n_b, out.n_groups + x.n_groups
         out.written.extend(x.written)
@@ -166,53 +154,24 @@ def compose(pair: Pair, parts: list[Fragment]) -> Fragment:
     return out
 
 
-def partial(pair: Pair, a: list[int], b: list[int], low: int, high: int) -> Fragment:
-    """The fragment of the bytes (low, high] of a unit whose tokens are given: the tokens that end there."""
-    end_a, end_b = pair.ends(a, b)
-    own_a = [(x, e) for x, e in zip(a, end_a) if low < e <= high]
-    own_b = [(y, e) for y, e in zip(b, end_b) if low < e <= high]
-    common = sorted({e for _, e in own_a} & {e for _, e in own_b})
-    if low <= 0:  # the unit's start is a common end
-        first = 0
-    elif common:
-        first = common[0]
-    else:
-        return Fragment(head=([x for x, _ in own_a], [y for y, _ in own_b]))
-    last = common[-1] if common else first
-    out = Fragment(closed=True, head=([x for x, e in own_a if e <= first], [y for y, e in own_b if e <= first]),
-                   tail=([x for x, e in own_a if e > last], [y for y, e in own_b if e > last]))
-    out.add(pair.closed([x for x, e in own_a if first < e <= last], [y for y, e in own_b if first < e <= last]))
-    return out
-
-
-def units_of(text: str) -> list[str]:
-    """The units of a text with a space before it; each begins with the space of its boundary."""
-    units = split(text)
-    return [" " + units[0], *units[1:]] if units else []
-
-
 def fragment_of(pair: Pair, stretch: str, low: int, high: int) -> Fragment:
-    """The fragment of the bytes (low, high] of a stretch that begins with a space and ends at proven boundaries."""
-    parts, at = [], 0
-    units = units_of(stretch[1:]) or [stretch]
-    sizes = [len(u.encode()) for u in units]
-    known = pair.of(units)
-    whole = Fragment(closed=True)
-    for unit, size, entry in zip(units, sizes, known):
-        begin, at = at, at + size
-        if at <= low or begin >= high:
-            continue
-        if entry is None:
-            return Fragment(valid=False)
-        if begin >= low and at <= high:
-            whole.add(entry)
-            continue
-        ids = pair.ids([unit])[0]
-        parts.extend([whole] if whole.n_groups else [])
-        parts.append(partial(pair, *ids, low - begin, high - begin))
-        whole = Fragment(closed=True)
-    parts.extend([whole] if whole.n_groups or not parts else [])
-    return compose(pair, parts)
+    """The fragment of the bytes (low, high] of a stretch that begins with a space and ends at proven boundaries: of the
+    tokens that end there."""
+    ids = pair.ids(stretch)
+    if ids is None:
+        return Fragment(valid=False)
+    a, b = ids
+    end_a, end_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    own_a, own_b = (end_a > low) & (end_a <= high), (end_b > low) & (end_b <= high)
+    a, end_a, b, end_b = a[own_a], end_a[own_a], b[own_b], end_b[own_b]
+    common = np.intersect1d(end_a, end_b, assume_unique=True)
+    if low > 0 and not len(common):
+        return Fragment(head=(a.tolist(), b.tolist()))
+    first = 0 if low <= 0 else common[0]  # the stretch's start is a common end
+    last = common[-1] if len(common) else first
+    out = Fragment(closed=True, head=(a[end_a <= first].tolist(), b[end_b <= first].tolist()), tail=(a[end_a > last].tolist(), b[end_b > last].tolist()))
+    out.add(pair, a[(end_a > first) & (end_a <= last)], b[(end_b > first) & (end_b <= last)])
+    return out
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[tuple[str, int, int]]:
@@ -273,23 +232,21 @@ class Batch:
     """The documents of a batch with the dictionary of their id pairs."""
 
     def __init__(self, batch: int):
-        self.batch, self.place, self.total, self.rows = batch, {}, [], []
-
-    def add(self, doc_id, n_a: int, n_b: int, n_groups: int, written: bytes, links: Counter) -> None:
-        places = []
-        for link, n in links.items():
-            at = self.place.setdefault(link, len(self.total))
-            if at == len(self.total):
-                self.total.append(0)
-            self.total[at] += n
-            places.append(at)
-        self.rows.append((0, self.batch, doc_id, n_a, n_b, n_groups, sum(links.values()), hashlib.sha256(written).hexdigest() if n_groups else "",
-                          packed(places), packed(list(links.values()))))
+        self.batch, self.rows, self.links, self.times = batch, [], [], []
+
+    def add(self, doc_id, n_a: int, n_b: int, n_groups: int, written: bytes, links: np.ndarray, times: np.ndarray) -> None:
+        self.rows.append((0, self.batch, doc_id, n_a, n_b, n_groups, int(times.sum()), hashlib.sha256(written).hexdigest() if n_groups else ""))
+        self.links.append(links)
+        self.times.append(times)
 
     def table(self, schema: pa.Schema) -> pa.RecordBatch:
         """Rows of ``PART``: kind 0 for each document, then the dictionary as kind 1."""
-        book = (1, self.batch, None, 0, 0, 0, 0, "", np.array(list(self.place), "<u8").tobytes(), np.array(self.total, "<u8").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*self.rows, book), schema)], schema=schema)
+        book, places = np.unique(np.concatenate(self.links), return_inverse=True)
+        total = np.bincount(places, np.concatenate(self.times), len(book)).astype("<u8")
+        cuts = np.cumsum([len(x) for x in self.links])[:-1]
+        rows = [(*row, at.astype("<u4").tobytes(), times.astype("<u4").tobytes()) for row, at, times in zip(self.rows, np.split(places, cuts), self.times)]
+        rows.append((1, self.batch, None, 0, 0, 0, 0, "", book.astype("<u8").tobytes(), total.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _short(rows: DataFrame, pair, kind: str) -> DataFrame:
@@ -301,12 +258,12 @@ def _short(rows: DataFrame, pair, kind: str) -> DataFrame:
         for k, batch in enumerate(batches):
             out = Batch(TaskContext.get().partitionId() << 32 | k)
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_values(batch.column("text"))):
-                known = own.of(units_of(text)) if text else []
-                if not known or None in known:
-                    out.add(doc_id, 0, 0, 0, b"", Counter())
+                ids = own.ids(" " + text) if text else None
+                if ids is None:
+                    out.add(doc_id, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
                 else:
-                    out.add(doc_id, sum(e[0] for e in known), sum(e[1] for e in known), sum(e[2] for e in known),
-                            b";".join([e[3] for e in known]), Counter(chain.from_iterable([e[4] for e in known])))
+                    n_groups, written, links = own.closed(*ids)
+                    out.add(doc_id, len(ids[0]), len(ids[1]), n_groups, written, *np.unique(links, return_counts=True))
             yield out.table(schema)
 
     return rows.mapInArrow(run, PART.format(kind))
@@ -354,10 +311,11 @@ def _long(rows: DataFrame, pair, kind: str, scratch: Scratch, size: int) -> Data
         for batch in batches:
             for row in batch.to_pylist():
                 x, out = from_row(row), Batch(-1 - row["doc"])
+                links = np.array(list(x.links.items()) if x.valid else [], np.int64).reshape(-1, 2)
                 if x.valid:
-                    out.add(row["doc_id"], x.n_a, x.n_b, x.n_groups, b"".join(x.written), x.links)
+                    out.add(row["doc_id"], x.n_a, x.n_b, x.n_groups, b";".join(x.written), links[:, 0], links[:, 1])
                 else:
-                    out.add(row["doc_id"], 0, 0, 0, b"", Counter())
+                    out.add(row["doc_id"], 0, 0, 0, b"", links[:, 0], links[:, 1])
                 yield out.table(schema_out)
 
     return level.join(names, "doc").mapInArrow(rooted, PART.format(kind))
