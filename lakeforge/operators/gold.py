@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -96,11 +96,14 @@ def apply_quality(df: DataFrame, rules: Mapping[str, Column], failed_col: str =
     passed = df.where(reduce(lambda a, b: a & b, [rules[n] for n in names]))
     failed = F.filter(F.array(*[F.when(~ok[n], F.lit(n)) for n in names]), lambda x: x.isNotNull())
     rejected = df.where(~all_ok).withColumn(failed_col, failed)
-    counts = df.agg(F.count(F.lit(1)).alias("_total"),
+    total = "_total"
+    while total in names:
+        total += "_"
+    counts = df.agg(F.count(F.lit(1)).alias(total),
                     *[F.count_if(~ok[n]).alias(n) for n in names])
-    report = counts.unpivot("_total", names, "rule", "failed_rows").select(
+    report = counts.unpivot(total, names, "rule", "failed_rows").select(
         "rule", F.col("failed_rows").cast("bigint").alias("failed_rows"),
-        F.col("_total").cast("bigint").alias("total_rows"))
+        F.col(total).cast("bigint").alias("total_rows"))
     return passed, rejected, report
 
 
@@ -123,3 +126,26 @@ def cross_mart(marts: Sequence[DataFrame], on: Sequence[str], how: str = "full_o
     A mart has one row per key, so no key is frequent here.
     """
     return reduce(lambda a, b: a.join(b, list(on), how), marts)
+
+
+# --------------------------------------------------------------------------- L5, L14 measured while writing
+
+def write_quality(df: DataFrame, rules: Mapping[str, Column], path: str, passed_col: str = "__passed",
+                  failed_col: str = "_failed_rules") -> dict[str, int]:
+    """Passed and quarantined rows written from one scan, and the counts taken by the same job.
+
+    Below ``path`` lie ``<passed_col>=true`` and ``<passed_col>=false``, the latter with the names of the failed rules.
+    Returns ``rows``, ``passed`` and the failing rows of each rule (``failed.<rule>``), as an ``Observation`` of the
+    writing job; no row is read again for the report.
+    """
+    for c in (passed_col, failed_col):
+        if c in df.columns:
+            raise ValueError(f"the data have a column {c}; name another")
+    ok = {n: F.coalesce(rule, F.lit(False)) for n, rule in rules.items()}
+    failed = F.filter(F.array(*[F.when(~passes, F.lit(n)) for n, passes in ok.items()]), lambda x: x.isNotNull())
+    seen = Observation()
+    marked = df.withColumn(failed_col, failed).withColumn(passed_col, F.size(failed_col) == 0)
+    watched = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(passed_col)).alias("passed"),
+                             *[F.count_if(F.array_contains(failed_col, n)).alias(f"failed.{n}") for n in ok])
+    watched.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(passed_col).parquet(path)
+    return {name: int(n) for name, n in seen.get.items()}

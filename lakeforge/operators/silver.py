@@ -80,31 +80,50 @@ def _desc(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in cols]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def dedupe_latest(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str]) -> DataFrame:
     """Keep the latest row per key, latest = greatest ``order_desc`` values
     (NULLs count as oldest).  End ``order_desc`` with a unique column so the
-    choice is deterministic."""
-    w = Window.partitionBy(*keys).orderBy(*_desc(order_desc))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    choice is deterministic.  Helper columns get names the data don't have."""
+    w, rn = Window.partitionBy(*keys).orderBy(*_desc(order_desc)), fresh("_rn", df)
+    return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
+
+
+def _one_of_tied(rows: DataFrame, group: Sequence[str], n: str, by: Sequence[Column], keep) -> DataFrame:
+    """``rows`` with ``keep(rows, number)`` applied, where only rows whose ``n`` is above 1 are numbered in their group."""
+    number = fresh("_number", rows)
+    lone = keep(rows.where(F.coalesce(F.col(n) <= 1, F.lit(True))), F.lit(1))
+    tied = rows.where(F.col(n) > 1).withColumn(number, F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
+    return lone.unionByName(keep(tied, F.col(number)))
 
 
 def dedupe_exact(df: DataFrame, subset: Sequence[str], keep_min: str) -> DataFrame:
     """Among rows equal on ``subset`` keep the one with the smallest ``keep_min`` (NULL last).
 
     Rows are equal if the SHA-256 of their ``subset`` is.  First only digests are
-    aggregated, some 40 bytes a row; those that repeat are written down.  Rows
-    whose digest doesn't repeat pass untouched, the others meet their digest's
-    least ``keep_min``; only rows that tie there are compared by a window.
+    aggregated, some 40 bytes a row; those that repeat are written down with their
+    least ``keep_min``.  Then one left join lets pass what doesn't repeat and what
+    is least; only rows that tie there are numbered, if there are any.  Helper
+    columns get names the data don't have.
     """
+    d, k, least, n = (fresh(c, df) for c in ("_d", "_k", "_least", "_n"))
     digest = F.unhex(key_text(*subset, digest=True))
-    again = (df.select(digest.alias("_d"), F.col(keep_min).alias("_k")).groupBy("_d")
-             .agg(F.min("_k").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    counts = df.select(digest.alias(d), F.col(f"`{keep_min}`").alias(k)).groupBy(d, k).agg(F.count(F.lit(1)).alias(n))
+    first = F.min(F.struct(F.col(k).isNull(), F.col(k).alias(least), F.col(n).alias(n))).alias("first")
+    again = counts.groupBy(d).agg(F.sum(n).alias("all"), first).where(F.col("all") > 1).select(d, f"first.{least}", f"first.{n}")
     again = measured(again, "dedupe")
-    rows = df.withColumn("_d", digest)
-    alone = rows.join(again, "_d", "left_anti").drop("_d")
-    least = rows.join(again, "_d").where(F.col(keep_min).eqNullSafe(F.col("_least"))).drop("_least")
-    one = least.withColumn("_rn", F.row_number().over(Window.partitionBy("_d").orderBy(F.lit(1)))).where("_rn = 1")
-    return alone.unionByName(one.drop("_d", "_rn"))
+    met = df.withColumn(d, digest).join(again, d, "left")
+    met = met.where(F.col(n).isNull() | F.col(f"`{keep_min}`").eqNullSafe(F.col(least)))
+    if again.where(F.col(n) > 1).isEmpty():
+        return met.select(*[F.col(f"`{c}`") for c in df.columns])
+    return _one_of_tied(met, [d], n, [F.lit(1)], lambda rows, number: rows.where(number == 1).select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 # --------------------------------------------------------------------------- L9 current-row flag
@@ -114,17 +133,29 @@ def flag_active(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str], f
 
     Exactly one row of a key is active: rows that tie on keys and order columns,
     repeated rows included, are numbered (by their other columns), and the first
-    one counts.
+    one counts.  Helper columns get names the data don't have.
+
+    The latest key and order columns are found on those columns alone (every task
+    sends at most the rows that tie for latest) and written down with their number;
+    the rows meet them in one join, by broadcast if that is small.  Whole rows are
+    sorted only where they tie for latest.
     """
     cols = list(dict.fromkeys([*keys, *order_desc]))
+    n, r = fresh("_n", df), fresh("_r", df)
+    slim = df.select(*[F.col(f"`{c}`") for c in cols])
+    latest = Window.partitionBy(*keys).orderBy(*_desc(order_desc))
+    top = slim.withColumn(r, F.rank().over(latest)).where(F.col(r) == 1).groupBy(*cols).agg(F.count(F.lit(1)).alias(n))
+    names = {c: fresh(f"_l_{c}", df) for c in cols}
+    top = measured(top.select(*[F.col(f"`{c}`").alias(names[c]) for c in cols], n), "latest")
+    met = df.join(top, reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(names[c])) for c in cols]), "left")
+
+    def flagged(rows: DataFrame, number: Column) -> DataFrame:
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(n).isNotNull() & (number == 1)).alias(flag))
+
+    if top.where(F.col(n) > 1).isEmpty():
+        return flagged(met, F.lit(1))
     rest = [c for c, kind in df.dtypes if c not in cols and not kind.startswith(("map", "variant"))]
-    tied = Window.partitionBy(*cols).orderBy(*[F.col(c).asc_nulls_first() for c in rest] or [F.lit(1)])
-    rows = df.withColumn("_tie", F.row_number().over(tied))
-    latest = dedupe_latest(df.select(*cols), keys, order_desc).withColumn(flag, F.lit(True))
-    latest = latest.select(*[F.col(c).alias(f"_l_{c}") for c in cols], flag)
-    cond = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(latest[f"_l_{c}"]) for c in cols])
-    active = F.coalesce(F.col(flag), F.lit(False)) & (F.col("_tie") == 1)
-    return rows.join(latest, cond, "left").select(*[rows[c] for c in df.columns], active.alias(flag))
+    return _one_of_tied(met, cols, n, [F.col(f"`{c}`").asc_nulls_first() for c in rest] or [F.lit(1)], flagged)
 
 
 def active_rows(df: DataFrame, flag: str = ACTIVE_FLAG) -> DataFrame:

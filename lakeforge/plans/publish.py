@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import date_parts, day_parts_python
 from ..operators.silver import ACTIVE_FLAG
+from ..session import hadoop_fs
 from ..sources.tables import create_database, drop_table_and_data, quote_ident, quote_text, table_location
 from .catalog import DAY_PARTITION_COLUMNS, RESERVED_RENAMES, list_tables, rename_reserved
 
@@ -135,8 +136,8 @@ def load_day(spark: SparkSession, source: DataFrame, target: str, day,
     The day filter is on the partition columns, so only that day's folders are
     read.  A date is written as a static ``INSERT OVERWRITE`` of its partition: a
     day loaded twice is there once, a day whose source is now empty becomes
-    empty.  ``day`` may be a list of dates: one pruned job replaces the days that
-    have rows, then the named days without any are dropped.
+    empty.  ``day`` may be a list of dates: one pruned job stages all of them, then
+    the catalog is switched (``_switch_days``), so a load that fails changes nothing.
     """
     days = [day] if isinstance(day, dt.date) else list(day)
     src = rename_reserved(source.where(day_filter(days)).drop(*[c for c in excluded if c not in DAY_PARTITION_COLUMNS]))
@@ -150,10 +151,45 @@ def load_day(spark: SparkSession, source: DataFrame, target: str, day,
         finally:
             spark.catalog.dropTempView(view)
         return
-    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(target, overwrite=True)
-    loaded = {tuple(r) for r in rows.select(*DAY_PARTITION_COLUMNS).distinct().collect()}  # at most the named days
-    for parts in {day_parts_python(d) for d in days} - loaded:
-        spark.sql(f"ALTER TABLE {quote_ident(target)} DROP IF EXISTS PARTITION ({spec(parts)})")
+    _switch_days(spark, rows, target, [spec(day_parts_python(d)) for d in days], ["/".join(f"{c}={v}" for c, v in zip(DAY_PARTITION_COLUMNS, day_parts_python(d))) for d in days])
+
+
+def _partition_location(spark: SparkSession, target: str, spec: str) -> str | None:
+    """Where a partition's files lie; None if the table has no such partition."""
+    if spark.sql(f"SHOW PARTITIONS {quote_ident(target)} PARTITION ({spec})").isEmpty():
+        return None
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_ident(target)} PARTITION ({spec})").where("col_name = 'Location'").first()
+    return found.data_type
+
+
+def _switch_days(spark: SparkSession, rows: DataFrame, target: str, specs: Sequence[str], folders: Sequence[str]) -> None:
+    """Replace the named days by ``rows``: staged first, then switched.
+
+    One job reads the source and writes every day to a folder of this load; a failure there leaves the table as it was.
+    Then the catalog is pointed to the new folders, an empty one for a day without rows; if that fails on the way, the days
+    already switched are pointed back.  The old folders go last.
+    """
+    staged = f"{table_location(spark, target)}/.loads/{uuid.uuid4().hex}"
+    rows.hint("rebalance", *DAY_PARTITION_COLUMNS).write.partitionBy(*DAY_PARTITION_COLUMNS).parquet(staged)
+    before = {spec: _partition_location(spark, target, spec) for spec in specs}
+    switched: list[str] = []
+    try:
+        for spec, folder in zip(specs, folders):
+            fs, path = hadoop_fs(spark, f"{staged}/{folder}")
+            fs.mkdirs(path)
+            switched.append(spec)
+            how = f"ADD PARTITION ({spec}) LOCATION" if before[spec] is None else f"PARTITION ({spec}) SET LOCATION"
+            spark.sql(f"ALTER TABLE {quote_ident(target)} {how} {quote_text(f'{staged}/{folder}')}")
+    except Exception:
+        for spec in switched:
+            back = f"DROP IF EXISTS PARTITION ({spec})" if before[spec] is None else f"PARTITION ({spec}) SET LOCATION {quote_text(before[spec])}"
+            spark.sql(f"ALTER TABLE {quote_ident(target)} {back}")
+        raise
+    spark.sql(f"REFRESH TABLE {quote_ident(target)}")
+    for old in before.values():
+        if old is not None:
+            fs, path = hadoop_fs(spark, old)
+            fs.delete(path, True)
 
 
 def load_whole(spark: SparkSession, source: DataFrame, target: str, excluded: Sequence[str] = ()) -> None:

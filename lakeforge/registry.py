@@ -976,3 +976,6 @@ def run_clock(spark, sf_dir):
     parts = clock_parts(F.col("ts"))
     return ev.select("event_id", processing_date(-1, F.col("ts").cast("date")).alias("day_before"),
                      processing_date(2, F.col("ts").cast("date")).alias("two_days_after"), *[c.alias(n) for n, c in parts.items()])
+
+
+from . import layer_queries  # noqa: E402, F401  (registers its queries)

@@ -129,3 +129,13 @@ def write_sized(df: DataFrame, path: str, rows_per_file: int = DEFAULT_ROWS_PER_
     """
     (df.repartition(partition_count(df, rows_per_file)).write.format(fmt).mode(mode)
        .option("maxRecordsPerFile", rows_per_file).save(path))
+
+
+def write_rebalanced(df: DataFrame, path: str, max_rows: int = DEFAULT_ROWS_PER_PARTITION, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """S10 in one pass: files of some ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, none of more than ``max_rows`` rows.
+
+    Nothing is counted beforehand: Spark measures what is shuffled and merges small partitions and splits large ones
+    (the ``rebalance`` hint), and the writer begins a new file at the row limit.  ``write_sized`` gives an exact number
+    of files at the cost of a counting job.
+    """
+    df.hint("rebalance").write.format(fmt).mode(mode).option("maxRecordsPerFile", max_rows).save(path)
