@@ -19,7 +19,8 @@ on the partitioning.
 
 Defined results: roles are matched after trimming and lower-casing, with common aliases; other roles and null are
 unknown and cheap to relabel.  A null text is empty.  Turns are ordered by number (null first), then role, then a hash
-of the text.  A repeated row (same conversation, number, role and text) is one turn delivered twice and counts once.
+of the text.  A repeated row (same conversation, number, role and text) is one turn delivered twice and counts once; without a
+number nothing says so, and each row is a turn.
 Rows with a null conversation id are one conversation.  Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -140,15 +141,19 @@ def path(begin: int, end: int, turns: list[tuple[int, int]]) -> list[Move]:
 
 
 def coded(conversations: DataFrame) -> DataFrame:
-    """Distinct turns with their role's code and hash."""
+    """Distinct turns with their role's code and hash; equal turns without a number are counted apart."""
     role = F.lower(F.trim("role"))
     for alias, name in ALIASES.items():
         role = F.when(role == alias, F.lit(name)).otherwise(role)
     code = F.lit(UNKNOWN)
     for number, name in enumerate(ROLES, SYSTEM):
         code = F.when(role == name, F.lit(number)).otherwise(code)
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return rows.withColumn("code", code).withColumn("h", F.xxhash64("conv_id", "turn", "role", "text"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    times = F.when(F.col("turn").isNull(), F.col("n")).otherwise(F.lit(1).cast("long"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("n")
+    h = F.when(F.col("copy") > 1, F.xxhash64("conv_id", "turn", "role", "text", "copy")).otherwise(F.xxhash64("conv_id", "turn", "role", "text"))
+    return rows.withColumn("code", code).withColumn("h", h).drop("copy")
 
 
 SEGMENT = "conv_id {id}, part int, first long, n long, m array<long>"

@@ -52,6 +52,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SECTIONS = frozenset("nav header footer aside form article main section".split())
+#: Elements whose text is not taken for the main text of a bare page.
+NOT_PLAIN = frozenset("a aside button dialog fieldset footer form header input label legend menu nav option select".split())
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE_END = tuple(".!?…:;\"”")
 
@@ -349,9 +351,26 @@ class Model:
         for k, tag in enumerate(tree.tag):
             if not tag and (belief[k] is None or belief[k][MAIN] > belief[k][OTHER]):
                 blocks.setdefault(tree.block[k], []).append(tree.text[k])
+        if not any(t.strip() for parts in blocks.values() for t in parts):
+            blocks = bare(tree)
         return "\n\n".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 
 
+def bare(tree: Tree) -> dict[int, list[str]]:
+    """The blocks of a page in which the model finds no main text: what stands in plain elements only.
+
+    Plain are elements that no class, id or role names and that are neither a link nor a section that tells what it is
+    for.  So a page of one paragraph, list or table is that, and a page of menus and footers is still empty.
+    """
+    plain, blocks = [True] * len(tree.tag), {}
+    for k, tag in enumerate(tree.tag):
+        named = tag in NOT_PLAIN or bool(tree.tokens[k])
+        plain[k] = not named and (k == 0 or plain[tree.parent[k]])
+        if not tag and plain[k]:
+            blocks.setdefault(tree.block[k], []).append(tree.text[k])
+    return blocks
+
+
 def train(spark: SparkSession, pages: int = LABELLED, first_seed: int = 0) -> Model:
     """Learns the potentials from labelled pages.
 

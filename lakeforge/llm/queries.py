@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bag_minhash, bpe_tree, chat_repair, decontaminate, html_graph, personal_data, quality_ledger, ranked_search, suffix_dedup, token_alignment, token_counts, url_rules, warc
-from .common import prepare
+from .common import Scratch, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,10 +63,18 @@ def op5_bpe_round_trip(spark, table):
 def op6_quality_ledger(spark, table):
     """Quality measurements, failure bits and the verdict of the production policy for every document."""
     book = quality_ledger.apply_policy(quality_ledger.ledger(table("documents")))
-    return book.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failed_bits",
+    return book.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "failed_bits",
                            f"failed_bits & {quality_ledger.mask('base')}L != 0 AS base_failed", "kept")
 
 
+@register("quality_ablation", quality_ledger.ABLATION)
+def quality_ablation(spark, table):
+    """What every rule of both policies costs, by sums over the bits of one stored ledger."""
+    book = Scratch(spark, "ledger").keep("book", quality_ledger.ledger(table("documents")))
+    base, production = (quality_ledger.ablation(book, policy) for policy in ("base", "v1"))
+    return base.unionByName(production)
+
+
 @register("op7_suffix_dedup")
 def op7_suffix_dedup(spark, table):
     """Bytes of every document that a 400-byte string repeated elsewhere covers."""

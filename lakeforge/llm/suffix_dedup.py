@@ -365,16 +365,27 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return map_batches(found, work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def kept_text(text: bytes, runs: list[tuple[int, int]], min_words: int = 0) -> str:
+    """The text without the runs of more than ``min_words`` words; a character that a run cuts in two goes too."""
+    parts, at = [], 0
+    for begin, end in runs:
+        if not min_words or len(text[begin:end].split()) > min_words:
+            parts.append(text[at:begin])
+            at = end
+    return "".join(part.decode(errors="ignore") for part in [*parts, text[at:]])
+
+
+def removed(docs: DataFrame, length: int = LENGTH, min_words: int = 0) -> DataFrame:
     """The documents, all columns and rows, with the repeated bytes gone from ``text`` and ``n_chars`` counted anew.
 
-    A character that a run cuts in two goes too.
+    With ``min_words``, of the runs that repeated strings of ``length`` bytes cover only those of more words go.  A
+    character that a run cuts in two goes too.
     """
     found = _marked(docs, length)
     kind = found.schema["row"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"row": batch.column("row"), "kept": [cut(t, _runs(s, len(t))).decode(errors="ignore")
+        return {"row": batch.column("row"), "kept": [kept_text(t, _runs(s, len(t)), min_words)
                                                      for t, s in zip(text_bytes(batch.column("body")), batch.column("spans").to_pylist())]}
 
     out = map_batches(found, work, f"row {kind}, kept string")

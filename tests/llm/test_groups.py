@@ -135,6 +135,23 @@ def plain_removal(texts, length):
     return out
 
 
+def plain_kept(texts, length, min_words=0):
+    """The texts without the repeated runs of more than ``min_words`` words, each kept part decoded alone."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[k:k + length] for b in raw for k in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if count[b[k:k + length]] > 1:
+                gone[k:k + length] = b"\1" * length
+        cuts = [k for k in range(len(b) + 1) if (k < len(b) and gone[k]) != (k > 0 and gone[k - 1])]
+        runs = [(x, y) for x, y in zip(cuts[::2], cuts[1::2]) if not min_words or len(b[x:y].split()) > min_words]
+        ends = [0, *[e for r in runs for e in r], len(b)]
+        out.append("".join(b[x:y].decode(errors="ignore") for x, y in zip(ends[::2], ends[1::2])))
+    return out
+
+
 def repeating_texts(seed, length):
     r = random.Random(seed)
     letters = "abé" if seed % 2 else "abcdefghijklmnop qrst"
@@ -168,10 +185,15 @@ def test_repeated_strings(spark, seed, length):
         kept = suffix_dedup.removed(docs.withColumn("n_chars", F.lit(1).cast("long")), length)
         assert kept.columns == [*docs.columns, "n_chars"]
         rows = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
-        left = [b.decode(errors="ignore") for *_, b in want]
+        left = plain_kept(texts, length)
         assert rows == {k: (None if t is None else left[k], len(left[k])) for k, t in enumerate(texts)}
 
 
+def test_cut_characters_go():
+    assert suffix_dedup.kept_text("aé--ñb".encode(), [(2, 6)]) == "ab"
+    assert suffix_dedup.kept_text(b"one two three four", [(0, 7), (8, 18)], 2) == suffix_dedup.kept_text(b"one two three four", [], 2) == "one two three four"
+
+
 def test_repeated_strings_of_awkward_rows(spark):
     prepare(spark)
     rows = [(i, t[:20_000] if t else t) for i, t in ROWS]
@@ -213,8 +235,9 @@ def test_chat_repair(spark):
     talks = defaultdict(list)
     for q in runs[0]:
         talks[q[0]].append(q)
-    distinct = {(c, t, role, x or "") for c, t, role, x in rows}
-    assert Counter(c for c, *_ in distinct) == Counter({c: sum(q[6] != "insert" for q in v) for c, v in talks.items()})
+    given = [(c, t, role, x or "") for c, t, role, x in rows + rows[:40]]
+    turns = [x for x in given if x[1] is None] + list({x for x in given if x[1] is not None})
+    assert Counter(c for c, *_ in turns) == Counter({c: sum(q[6] != "insert" for q in v) for c, v in talks.items()})
     code = lambda s: {"system": 1, "user": 2, "assistant": 3, "human": 2, "gpt": 3}.get((s or "").strip().lower(), 4)
     for c, v in talks.items():
         assert [q[1] for q in v] == list(range(len(v)))
@@ -228,6 +251,14 @@ def test_chat_repair(spark):
     assert chat_repair.repair(df.limit(0)).count() == 0
 
 
+def test_equal_turns_without_a_number_are_kept(spark):
+    prepare(spark)
+    turns = [(1, None, "user", "yes"), (1, None, "user", "yes"), (1, None, "assistant", "ok"), (2, 1, "user", "a"), (2, 1, "user", "a"), (2, 2, "assistant", "b")]
+    out = chat_repair.repair(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert "".join(r.rendered for r in out if r.conv_id == 1).count("yes") == 2
+    assert "".join(r.rendered for r in sorted((r for r in out if r.conv_id == 2), key=lambda r: r.seq)).count("a<|im_end|>") <= 1
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -235,10 +266,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(900)]
     prose = lambda n: " ".join(r.choice(words) for _ in range(n))
     items = [(k, prose(25)) for k in range(4)]
-    passage = prose(110)
+    passage, short = prose(56), prose(47)
     texts = [prose(r.randint(60, 200)) for _ in range(25)]
     texts += [texts[0], texts[0], texts[1] + " end", texts[2].replace(" ", "  "), prose(20), "spam " * 90, " ".join(w + "###" for w in prose(90).split()), None, ""]
-    texts += [prose(70) + " " + passage + " " + prose(70), passage + " " + prose(90), prose(100) + " " + items[0][1], prose(80) + " " + items[1][1].upper() + " " + prose(60), prose(900) + " " + items[2][1][:60]]
+    texts += [prose(70) + " " + passage + " " + prose(70), passage + " " + prose(90), prose(100) + " " + items[0][1], prose(80) + " " + items[1][1].upper() + " " + prose(60), prose(900) + " " + items[2][1][:60], prose(80) + " " + short + " " + prose(70), prose(60) + " " + short + " " + prose(90)]
     docs = [(k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate(texts)]
     order = docs[:]
     r.shuffle(order)
@@ -246,13 +277,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     def good(t):
-        n, chars, symbols, dup, again, lines = plain_measure(t or "")
-        return not (n < 50 or 100 * again > 50 * n or 10 * symbols > n or chars < 2 * n or chars > 20 * n or 10 * dup > 6 * lines)
+        n, chars, symbols, dup, again, lines, marks = plain_measure(t or "")
+        return not (n < 50 or 100 * again > 50 * n or symbols > n or 10 * marks > n or chars < 2 * n or chars > 20 * n or 10 * dup > 6 * lines)
 
     left = [(d[0], d[1]) for d in docs if good(d[1])]
     classes = plain_classes([t for _, t in left])
     left = [x for k, x in enumerate(left) if classes[k] == k]
-    left = [(i, b.decode(errors="ignore")) for (i, _), (*_, b) in zip(left, plain_removal([t for _, t in left], 400))]
+    left = list(zip([i for i, _ in left], plain_kept([t for _, t in left], corpus_pipeline.REPEATED_BYTES, corpus_pipeline.REPEATED_WORDS)))
     dirty = {x[0] for x in plain_report(left, items) if x[5]}
     left = [x for x in left if x[0] not in dirty]
     ranks = bpe_tree.codec(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN).library
@@ -261,6 +292,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id: bytes(x.ids) for x in got.collect()} == want
     assert 20 < len(want) < len(docs) - 8 and dirty
+    assert not any(passage in t for _, t in left) and sum(short in t for _, t in left) == 2
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert quality_ledger.POLICIES["v1"]

@@ -34,7 +34,7 @@ def plain_measure(text):
             lines += 1
             dup += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), lines
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), lines, len(re.findall(r"#|\.\.\.|…", text))
 
 
 def test_measurements():
@@ -52,8 +52,8 @@ def test_ledger_policies_and_ablation(spark):
     names = list(quality_ledger.RULES)
     want = set()
     for i, t in rows:
-        n, chars, symbols, dup, again, lines = plain_measure(t or "")
-        failed = [n < 50, 100 * again > 50 * n, 10 * symbols > n, chars < 2 * n, chars > 20 * n, 10 * dup > 6 * lines, n > 1_000_000]
+        n, chars, symbols, dup, again, lines, marks = plain_measure(t or "")
+        failed = [n < 50, 100 * again > 50 * n, symbols > n, chars < 2 * n, chars > 20 * n, 10 * dup > 6 * lines, n > 1_000_000, 10 * marks > n]
         bits = sum(1 << k for k, f in enumerate(failed) if f)
         want.add((i, n, bits, not any(f for k, f in enumerate(failed) if names[k] in quality_ledger.POLICIES["v1"])))
     assert got == want and book.count() == len(rows)
@@ -261,6 +261,27 @@ def test_extraction_on_awkward_pages(spark, model):
     assert html_graph.extract_pages(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>Only one paragraph here, quite long enough to be the article.</p>", "Only one paragraph here, quite long enough to be the article."),
+    ("<body><div>plain text without any wrapper. Another sentence.</div></body>", "plain text without any wrapper. Another sentence."),
+    ("<ul><li>First thing<li>Second thing</ul>", "First thing\n\nSecond thing"),
+    ("<table><tr><td>One<td>Two</table>", "One\n\nTwo"),
+    ("<nav><a href=/>Home</a></nav><footer>made by nobody</footer>", ""),
+    ("<ul><li><a href=/x>Home</a><li><a href=/y>News</a></ul>", ""),
+])
+def test_bare_pages(model, page, want):
+    assert model.extract(page) == want
+
+
+def test_clean_tables_lists_and_code_are_kept():
+    table = "\n".join(f"| item {k} | price {k * 7} | in stock |" for k in range(30))
+    items = "\n".join(f"* the {k}th thing to buy costs ${k}" for k in range(30))
+    code = "\n".join(f"if x{k} < y{k} && y{k} > {k}: total = total + x{k} * {k} % 7" for k in range(30))
+    for text in (table, items, code):
+        n, _, symbols, _, _, _, marks = quality_ledger.measure(text.encode())
+        assert n >= 50 and symbols <= n and 10 * marks <= n, text[:40]
+
+
 @pytest.mark.parametrize("page,want", [
     ("<html><head><title>x</title><body><p>Text one.<p>Text two.", "Text one.|Text two."),
     ("<head><meta charset=x><style>p{}</style>\n<script>1</script><p>Text one.", "Text one."),
