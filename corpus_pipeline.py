@@ -15,6 +15,11 @@ from lakeforge.llm import bag_minhash, bpe_tree, decontaminate, quality_ledger,
 from lakeforge.llm.common import Scratch, prepare
 
 
+#: The third stage takes out repeated runs of more than 50 words; strings of 250 bytes (50 words of four letters and a
+#: space) mark them.
+REPEATED_BYTES, REPEATED_WORDS = 250, 50
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production policy keeps."""
     prepare(spark)
@@ -28,9 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that a 400-byte string repeated elsewhere covers."""
+    """Every document without the runs of more than ``REPEATED_WORDS`` words that repeat elsewhere."""
     prepare(spark)
-    return suffix_dedup.removed(docs)
+    return suffix_dedup.removed(docs, REPEATED_BYTES, REPEATED_WORDS)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
