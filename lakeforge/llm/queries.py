@@ -108,7 +108,7 @@ def op11_personal_data(spark, table):
 @register("op12_token_alignment")
 def op12_token_alignment(spark, table):
     """Alignment of a byte-level vocabulary's tokens with a piece vocabulary's in every document."""
-    return token_alignment.align(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 @register("op13_ranked_search", ranked_search.ORACLE)

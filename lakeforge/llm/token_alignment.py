@@ -46,6 +46,9 @@ from .pieces import BOUNDARY, Memo, split
 
 #: Characters of a chunk of a long document; fragments folded at a time.
 CHUNK, FAN = 65_536, 16
+#: Below this character (Latin letters, common signs) all editions of Unicode agree on what is a letter, digit or space, so
+#: the same vocabulary, split pattern and merges give the same tokens in either library.
+SETTLED = "\u0250"
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -59,7 +62,7 @@ def byte_of_symbol() -> dict[str, int]:
 class Pair:
     """The two tokenizers: ids of texts, and the bytes and decimal digits of an id."""
 
-    def __init__(self, vocabulary_a: bytes, vocabulary_b: bytes):
+    def __init__(self, vocabulary_a: bytes, vocabulary_b: bytes, pattern: str | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,11 +81,20 @@ class Pair:
         # how an id is written: one of A before another of A and before those of B, one of B before another and before the next group
         self.writing = [b"%d%s" % (i, after) for n, after in ((len(self.a_bytes), b","), (len(self.a_bytes), b"|"), (len(self.b_bytes), b","), (len(self.b_bytes), b";"))
                         for i in range(n)]
+        self.quick = None
+        if pattern:
+            import tiktoken
+
+            ranks = {token: i for i, token in enumerate(self.a_bytes) if token}
+            self.quick = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.memo = Memo(lambda pieces: [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)])
 
     def ids(self, stretch: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a stretch that begins with a space; None where their bytes are not the stretch's."""
-        a = list(chain.from_iterable(self.memo.of(split(stretch[1:], " "))))
+        if self.quick is not None and max(stretch) < SETTLED:
+            a = self.quick.encode_ordinary(stretch)
+        else:
+            a = list(chain.from_iterable(self.memo.of(split(stretch[1:], " "))))
         b = self.b.encode(stretch[1:], num_threads=1)
         raw = stretch.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
@@ -194,11 +206,11 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[tuple[str, int, int]]:
 _PAIRS: dict[str, Pair] = {}
 
 
-def pair_of(a: bytes, b: bytes) -> Pair:
+def pair_of(a: bytes, b: bytes, pattern: str | None = None) -> Pair:
     """The worker's tokenizers."""
-    name = hashlib.sha256(hashlib.sha256(a).digest() + b).hexdigest()
+    name = hashlib.sha256(hashlib.sha256(a).digest() + hashlib.sha256(b).digest() + (pattern or "").encode()).hexdigest()
     if name not in _PAIRS:
-        _PAIRS[name] = Pair(a, b)
+        _PAIRS[name] = Pair(a, b, pattern)
     return _PAIRS[name]
 
 
@@ -334,15 +346,16 @@ def pair_counts(books: DataFrame) -> DataFrame:
     return total.select("pair", "n", (F.col("n") == best).alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256`` of each document.
 
     ``a_path`` is a ``tokenizers`` file of a byte-level vocabulary, ``b_path`` a ``sentencepiece`` model that adds a space,
-    both on the driver.
+    both on the driver.  Given A's split ``pattern``, texts of characters below ``SETTLED`` are encoded with A's own
+    vocabulary by ``tiktoken``, which is some three times as fast.
     """
     spark = docs.sparkSession
     with open(a_path, "rb") as f, open(b_path, "rb") as g:
-        shared = spark.sparkContext.broadcast((f.read(), g.read()))
+        shared = spark.sparkContext.broadcast((f.read(), g.read(), pattern))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark, "alignment")

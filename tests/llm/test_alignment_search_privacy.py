@@ -60,6 +60,15 @@ def test_fragments_compose_in_any_tree(pair):
             assert got == want, (size, text)
 
 
+def test_both_libraries_give_the_same_tokens(pair):
+    quick = token_alignment.pair_of(open(A, "rb").read(), open(B, "rb").read(), public_tokenizers.PATTERN)
+    r = random.Random(1)
+    letters = [chr(c) for c in range(ord(token_alignment.SETTLED))] + ["'s", "'LL", " the", "<|endoftext|>", "  ", "12"]
+    for text in ["".join(r.choice(letters) for _ in range(200)) for _ in range(200)] + [awkward(k, 300).encode("latin-1", "ignore").decode("latin-1") for k in range(20)]:
+        assert max(text) < token_alignment.SETTLED
+        assert quick.quick.encode_ordinary(" " + text) == pair.a.encode(" " + text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("chunk", [token_alignment.CHUNK, 50])
 def test_alignment_against_brute_force(spark, pair, chunk):
     prepare(spark)
@@ -79,7 +88,7 @@ def test_alignment_against_brute_force(spark, pair, chunk):
         n_a, n_b, groups, links = x
         want.append((i, n_a, n_b, len(groups), sum(links.values()), sum(n for p, n in links.items() if total[p] == best[p[1]]),
                      sum(n * total[p] for p, n in links.items()), hashlib.sha256(";".join(groups).encode()).hexdigest()))
-    out = token_alignment.align(docs, A, B, chunk=chunk)
+    out = token_alignment.align(docs, A, B, public_tokenizers.PATTERN, chunk=chunk)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     if chunk == 50:
         assert token_alignment.align(docs.limit(0), A, B).count() == 0
