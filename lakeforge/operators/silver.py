@@ -96,22 +96,14 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str])
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
-def _one_of_tied(rows: DataFrame, group: Sequence[str], n: str, by: Sequence[Column], keep) -> DataFrame:
-    """``rows`` with ``keep(rows, number)`` applied, where only rows whose ``n`` is above 1 are numbered in their group."""
-    number = fresh("_number", rows)
-    lone = keep(rows.where(F.coalesce(F.col(n) <= 1, F.lit(True))), F.lit(1))
-    tied = rows.where(F.col(n) > 1).withColumn(number, F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
-    return lone.unionByName(keep(tied, F.col(number)))
-
-
 def dedupe_exact(df: DataFrame, subset: Sequence[str], keep_min: str) -> DataFrame:
     """Among rows equal on ``subset`` keep the one with the smallest ``keep_min`` (NULL last).
 
     Rows are equal if the SHA-256 of their ``subset`` is.  First only digests are
     aggregated, some 40 bytes a row; those that repeat are written down with their
     least ``keep_min``.  Then one left join lets pass what doesn't repeat and what
-    is least; only rows that tie there are numbered, if there are any.  Helper
-    columns get names the data don't have.
+    is least; rows that tie there meet a join of their own, which Spark drops at run
+    time where nothing ties.  Helper columns get names the data don't have.
     """
     d, k, least, n = (fresh(c, df) for c in ("_d", "_k", "_least", "_n"))
     digest = F.unhex(key_text(*subset, digest=True))
@@ -119,11 +111,12 @@ def dedupe_exact(df: DataFrame, subset: Sequence[str], keep_min: str) -> DataFra
     first = F.min(F.struct(F.col(k).isNull(), F.col(k).alias(least), F.col(n).alias(n))).alias("first")
     again = counts.groupBy(d).agg(F.sum(n).alias("all"), first).where(F.col("all") > 1).select(d, f"first.{least}", f"first.{n}")
     again = measured(again, "dedupe")
-    met = df.withColumn(d, digest).join(again, d, "left")
-    met = met.where(F.col(n).isNull() | F.col(f"`{keep_min}`").eqNullSafe(F.col(least)))
-    if again.where(F.col(n) > 1).isEmpty():
-        return met.select(*[F.col(f"`{c}`") for c in df.columns])
-    return _one_of_tied(met, [d], n, [F.lit(1)], lambda rows, number: rows.where(number == 1).select(*[F.col(f"`{c}`") for c in df.columns]))
+    rows, own = df.withColumn(d, digest), [F.col(f"`{c}`") for c in df.columns]
+    is_least = F.col(f"`{keep_min}`").eqNullSafe(F.col(least))
+    lone = rows.join(again, d, "left").where(F.col(n).isNull() | ((F.col(n) == 1) & is_least)).select(*own)
+    tied, number = rows.join(again.where(F.col(n) > 1), d).where(is_least), fresh("_number", df)
+    first_tied = tied.withColumn(number, F.row_number().over(Window.partitionBy(d).orderBy(F.lit(1)))).where(F.col(number) == 1).select(*own)
+    return lone.unionByName(first_tied)
 
 
 # --------------------------------------------------------------------------- L9 current-row flag
@@ -135,10 +128,10 @@ def flag_active(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str], f
     repeated rows included, are numbered (by their other columns), and the first
     one counts.  Helper columns get names the data don't have.
 
-    The latest key and order columns are found on those columns alone (every task
-    sends at most the rows that tie for latest) and written down with their number;
-    the rows meet them in one join, by broadcast if that is small.  Whole rows are
-    sorted only where they tie for latest.
+    The latest key and order columns are found, with their number, on those columns
+    alone (every task sends at most the rows that tie for latest), and the rows meet
+    them in a join.  Rows that tie for latest meet them in a join of their own; only
+    those are numbered.
     """
     cols = list(dict.fromkeys([*keys, *order_desc]))
     n, r = fresh("_n", df), fresh("_r", df)
@@ -146,16 +139,14 @@ def flag_active(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str], f
     latest = Window.partitionBy(*keys).orderBy(*_desc(order_desc))
     top = slim.withColumn(r, F.rank().over(latest)).where(F.col(r) == 1).groupBy(*cols).agg(F.count(F.lit(1)).alias(n))
     names = {c: fresh(f"_l_{c}", df) for c in cols}
-    top = measured(top.select(*[F.col(f"`{c}`").alias(names[c]) for c in cols], n), "latest")
-    met = df.join(top, reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(names[c])) for c in cols]), "left")
-
-    def flagged(rows: DataFrame, number: Column) -> DataFrame:
-        return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(n).isNotNull() & (number == 1)).alias(flag))
-
-    if top.where(F.col(n) > 1).isEmpty():
-        return flagged(met, F.lit(1))
+    top = top.select(*[F.col(f"`{c}`").alias(names[c]) for c in cols], n)
+    same, number = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(names[c])) for c in cols]), fresh("_number", df)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    lone = df.join(top, same, "left").where(F.col(n).isNull() | (F.col(n) == 1)).select(*own, F.col(n).isNotNull().alias(flag))
     rest = [c for c, kind in df.dtypes if c not in cols and not kind.startswith(("map", "variant"))]
-    return _one_of_tied(met, cols, n, [F.col(f"`{c}`").asc_nulls_first() for c in rest] or [F.lit(1)], flagged)
+    by = Window.partitionBy(*[F.col(f"`{c}`") for c in cols]).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in rest] or [F.lit(1)])
+    tied = df.join(top.where(F.col(n) > 1), same).withColumn(number, F.row_number().over(by)).select(*own, (F.col(number) == 1).alias(flag))
+    return lone.unionByName(tied)
 
 
 def active_rows(df: DataFrame, flag: str = ACTIVE_FLAG) -> DataFrame:
