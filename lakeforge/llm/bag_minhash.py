@@ -12,14 +12,16 @@ texts agree in a slot with the probability of their weighted Jaccard similarity.
 a process stops once its next point is later than the latest slot's, so a text costs its shingles plus some 700 points.
 
 Search.  32 bands of 4 slots: a pair at 0.8 shares no band once in 2 * 10^7.  Texts that share a band with others are
-candidates.  Pairs of a bucket are settled by rounds of *leaders*: its most central member (the one that shares most
-buckets with most others), its shortest and its longest meet every member that is in another component yet.  Texts
-around a common original all link through it; a text that others merely add to is the shortest.  A member that has led a
-bucket has settled all its pairs there and leaves it; a bucket whose members are all in one component is settled.  After
-``ROUNDS`` rounds, what is left is settled by blocks: the members of a bucket are dealt over blocks of some ``BLOCK``
-shingles, and every two blocks are compared as a whole, so that a large bucket is spread over tasks and a text is fetched
-once a block rather than once a pair.  Every two texts that share a band end in one class or have been compared.  All
-comparisons are exact, on whole texts; pairs whose sizes alone rule a link out aren't fetched.
+candidates; buckets of the same members are one bucket.  First every member meets two *leaders* of each bucket: its most
+central member (the one that shares most buckets with most others) and its shortest.  Texts around a common original
+all link through it; a text that others merely add to is the shortest.  A bucket whose members are then all in one component
+is settled.  In any other bucket, the component that most members are in is its *major* one, and each pair that may still
+be a link holds a member of another component, a *stray*.  The buckets of one major component are settled together, so
+that a member is handled once and not once a bucket: strays and members are dealt over blocks of some ``BLOCK`` shingles,
+and each block of strays meets each block of members.  A meeting compares signatures first, a byte a slot: fewer than
+``AGREE`` of 128 agree for a pair at 0.8 once in 3 * 10^9.  Whole texts are fetched only for members that such a pair holds.
+Every two texts that share a band end in one class or have been compared.  All links are verified on whole texts; pairs
+whose sizes alone rule a link out aren't fetched.
 
 Classes are the connected components of the links.  Identical texts are one text from the start, so copies cost
 nothing.  Ids are carried, never used to tell texts apart.
@@ -45,8 +47,8 @@ WORDS = 5
 SLOTS, ROWS = 128, 4
 #: Shingles whose signatures are made at a time.
 GROUP = 200_000
-#: Rounds of leaders before the rest is settled by blocks, and the shingles of a block.
-ROUNDS, BLOCK = 3, 100_000
+#: Shingles of a block of members, and the least slots in which the signatures of a link agree.
+BLOCK, AGREE = 400_000, 72
 MIX, STEP, BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2127599BF4325C37)
 KEY, LEADER = ["t1", "t2"], ["l1", "l2"]
 
@@ -134,15 +136,20 @@ def band_keys(found: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def banded(texts: DataFrame) -> DataFrame:
-    """``key``, ``t1``, ``t2``, ``size``: a row per band of each text with words; a text that a task meets again is skipped."""
-    schema = "key long, t1 long, t2 long, size long"
+def sketches(texts: DataFrame) -> DataFrame:
+    """``t1``, ``t2``, ``size``, ``keys`` (of the bands) and ``sig`` (a byte a slot) of each text with words.
+
+    A text that a task meets again is skipped; the names a task remembers are at most those of the rows it reads.
+    """
+    schema = "t1 long, t2 long, size long, keys array<long>, sig binary"
     target = arrow_schema(schema)
 
     def rows(names: list[tuple[int, int]], bags: list) -> pa.RecordBatch:
-        keys = band_keys(signatures(bags))
-        own = np.array([(*n, int(b[1].sum())) for n, b in zip(names, bags)], np.int64).repeat(keys.shape[1], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *[pa.array(own[:, c]) for c in range(3)]], schema=target)
+        found = signatures(bags)
+        own = np.array([(*n, int(b[1].sum())) for n, b in zip(names, bags)], np.int64)
+        keys, short = band_keys(found), mixed(found).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([*[pa.array(own[:, c]) for c in range(3)], pa.array(list(keys), pa.list_(pa.int64())),
+                                           pa.array([r.tobytes() for r in short], pa.binary())], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -222,76 +229,70 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels.select(parts[0].cast("long").alias("t1"), parts[1].cast("long").alias("t2"), "label")
 
 
-def leaders(members: DataFrame, central: DataFrame, label: str | None = None) -> DataFrame:
-    """A row per bucket and leader (the most central, the shortest and the longest member) with its size, and its label."""
-    more = ["size", *([label] if label else [])]
-    found = members.join(central, KEY).groupBy("key").agg(
-        F.max(F.struct("pull", *KEY, *more)).alias("a"), F.min(F.struct("size", *KEY, *more[1:])).alias("b"), F.max(F.struct("size", *KEY, *more[1:])).alias("c"))
-    named = [F.struct(F.col(f"{x}.t1").alias("l1"), F.col(f"{x}.t2").alias("l2"), *[F.col(f"{x}.{c}").alias(f"lead_{c}") for c in more]) for x in "abc"]
+def leaders(members: DataFrame) -> DataFrame:
+    """A row per bucket and leader (its most central and its shortest member), with the leader's size."""
+    found = members.groupBy("key").agg(F.max(F.struct("pull", *KEY, "size")).alias("a"), F.min(F.struct("size", *KEY)).alias("b"))
+    named = [F.struct(F.col(f"{x}.t1").alias("l1"), F.col(f"{x}.t2").alias("l2"), F.col(f"{x}.size").alias("lead_size")) for x in "ab"]
     return found.select("key", F.inline(F.array_distinct(F.array(*named))))
 
 
-def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose two texts aren't in one component yet."""
-    own = labels.withColumnRenamed("label", "own")
-    lead = labels.select(F.col("t1").alias("l1"), F.col("t2").alias("l2"), F.col("label").alias("lead"))
-    return pairs.join(own, KEY, "left").join(lead, LEADER, "left").where("own is null or lead is null or own <> lead").drop("own", "lead")
-
-
 def fitting(pairs: DataFrame) -> DataFrame:
     """The pairs of a text and another that their sizes alone allow to be similar."""
     return pairs.where("(t1 <> l1 or t2 <> l2) and 5 * least(size, lead_size) >= 4 * greatest(size, lead_size)")
 
 
-def unsettled(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The members of buckets that hold more than one component, with their component ``own``."""
-    own = members.join(labels, KEY, "left").select("key", *KEY, "size", F.coalesce("label", F.concat_ws("/", *KEY)).alias("own"))
-    own = scratch.keep(f"{name}-own", own)
-    mixed_up = own.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("top")).where("low < top")
-    out = scratch.keep(name, own.join(scratch.keep(f"{name}-keys", mixed_up.select("key")), "key"))
-    scratch.drop(f"{name}-own", f"{name}-keys")
-    return out
+CELL = "major string, i long, j long, stray boolean, both boolean, t1 long, t2 long, size long, own string, sig binary"
 
 
-def cell_links(cell: pa.Table) -> pa.Table:
-    """Links between the members of two blocks of a bucket (or of one) that join their components.
+def cell_pairs(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each stray of a cell the members that it may be linked to: another component, fitting sizes, like signatures.
 
-    A pair is compared in the first of the buckets that it shares.
+    A pair of two strays meets twice, from either side; it counts once.
     """
-    key, i, j = (cell.column(c)[0].as_py() for c in ("key", "i", "j"))
     n = cell.num_rows
+    stray, both = (cell.column(c).to_numpy().astype(bool) for c in ("stray", "both"))
+    size = cell.column("size").to_numpy()
+    group = np.unique(np.array(cell.column("own").to_pylist(), object), return_inverse=True)[1]
+    name = np.stack([cell.column(c).to_numpy() for c in KEY], axis=1)
+    place = np.unique(name, axis=0, return_inverse=True)[1].reshape(-1)
+    sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+    others = np.flatnonzero(~stray)
+    for a in np.flatnonzero(stray):
+        fit = (group[others] != group[a]) & (5 * np.minimum(size[others], size[a]) >= 4 * np.maximum(size[others], size[a]))
+        fit = others[fit & ~(both[others] & (place[others] < place[a]))]
+        fit = fit[(sig[fit] == sig[a]).sum(axis=1) >= AGREE]
+        if len(fit):
+            yield int(a), fit
+
+
+def promising(cell: pa.Table) -> pa.Table:
+    """The rows of a cell that a pair of like signatures holds."""
+    taken = np.zeros(cell.num_rows, bool)
+    for a, others in cell_pairs(cell):
+        taken[a] = True
+        taken[others] = True
+    return cell.filter(pa.array(taken))
+
+
+def cell_links(cell: pa.Table) -> pa.Table:
+    """Links of a cell that join components, verified on whole texts."""
     names = list(zip(cell.column("t1").to_pylist(), cell.column("t2").to_pylist()))
-    block, size = cell.column("block").to_numpy(), cell.column("size").to_numpy()
+    size = cell.column("size").to_numpy()
     group = np.unique(np.array(cell.column("own").to_pylist(), object), return_inverse=True)[1]
-    earlier = [[k for k in keys if k < key] for keys in cell.column("keys").to_pylist()]
-    number, who = np.unique(np.array([k for ks in earlier for k in ks], np.int64), return_inverse=True)[1], np.repeat(np.arange(n), [len(ks) for ks in earlier])
-    met, pairs = np.zeros(len(number) and number.max() + 1, bool), []
-    for a in np.flatnonzero(block == i):
-        other = (block == j) & (np.arange(n) > a) if i == j else block == j
-        other &= (group != group[a]) & (5 * np.minimum(size, size[a]) >= 4 * np.maximum(size, size[a]))
-        if other.any() and len(earlier[a]):
-            met[number[who == a]] = True
-            other &= np.bincount(who[met[number]], minlength=n) == 0
-            met[number[who == a]] = False
-        if other.any():
-            pairs.append((a, other))
+    bags = [shingles(t) for t in text_bytes(cell.column("text"))]
+    owner, weight = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags]), np.concatenate([b[1] for b in bags])
+    shingle = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)[1]
+    start, own = np.searchsorted(owner, np.arange(len(bags) + 1)), np.zeros(shingle.max() + 1, np.int64)
     links = []
-    if pairs:
-        taken = np.logical_or.reduce([o for _, o in pairs])
-        taken[[a for a, _ in pairs]] = True
-        bags = [shingles(t.as_py().encode() if take else b"") for t, take in zip(cell.column("text"), taken)]
-        owner, weight = np.repeat(np.arange(n), [len(b[0]) for b in bags]), np.concatenate([b[1] for b in bags])
-        shingle = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)[1]
-        start, own = np.searchsorted(owner, np.arange(n + 1)), np.zeros(shingle.max() + 1, np.int64)
-    for a, other in pairs:
-        other &= group != group[a]
-        if not other.any():
+    for a, others in cell_pairs(cell):
+        others = others[group[others] != group[a]]
+        if not len(others):
             continue
         mine = slice(start[a], start[a + 1])
         own[shingle[mine]] = weight[mine]
-        common = np.bincount(owner, weights=np.minimum(own[shingle], weight), minlength=n).astype(np.int64)
+        common = np.bincount(owner, weights=np.minimum(own[shingle], weight), minlength=len(bags)).astype(np.int64)
         own[shingle[mine]] = 0
-        for b in np.flatnonzero(other & (5 * common >= 4 * (size + size[a] - common))):
+        for b in others[5 * common[others] >= 4 * (size[others] + size[a] - common[others])]:
             if group[a] != group[b]:
                 links.append((*names[a], *names[b]))
                 group[group == group[b]] = group[a]
@@ -299,16 +300,35 @@ def cell_links(cell: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, pa.int64()) for c, v in zip([*KEY, *LEADER], columns)})
 
 
-def rest(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The links between the members of buckets that no leader has joined, by blocks."""
-    blocks = scratch.keep("blocks", left.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks")))
-    keys = left.groupBy(*KEY).agg(F.collect_list("key").alias("keys"))
-    texts = scratch.keep("rest-texts", texts.join(keys, KEY))
-    placed = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("t2", "t1"), "blocks"))
-    # a member takes part in the comparisons of its block with each block
-    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least("block", b).alias("i"), F.greatest("block", b).alias("j")))
-    cells = scratch.keep("cells", placed.select("key", *KEY, "size", "own", "block", F.inline(cell)))
-    return cells.join(texts, KEY).groupBy("key", "i", "j").applyInArrow(cell_links, "t1 long, t2 long, l1 long, l2 long")
+def strays_met(held: DataFrame, sketched: DataFrame, texts: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The links that leaders have missed, from buckets that hold several components (None: there are none)."""
+    own = held.join(labels, KEY, "left").select(*KEY, "size", "keys", F.coalesce("label", F.concat_ws("/", *KEY)).alias("own"))
+    own = scratch.keep("own", own)
+    placed = own.select(*KEY, "own", F.explode("keys").alias("key"))
+    parts = placed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
+    mixed_up = parts.groupBy("key").agg(F.max(F.struct("n", "own")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed_up = scratch.keep("mixed", mixed_up.select("key", F.col("most.own").alias("major")))
+    if mixed_up.isEmpty():
+        return None
+    # the members of a major component come from the labels, once each; of a bucket only its strays are looked up
+    stray = placed.join(mixed_up, "key").where("own <> major").select("major", *KEY).distinct()
+    stray = scratch.keep("strays", stray.join(own.select(*KEY, "size", "own"), KEY).join(sketched.select(*KEY, "sig"), KEY))
+    major = mixed_up.select(F.col("major").alias("own")).distinct()
+    inner = own.select(*KEY, "size", "own").join(major, "own").join(sketched.select(*KEY, "sig"), KEY)
+    inner = inner.select(F.col("own").alias("major"), *KEY, "size", "own", "sig", F.lit(False).alias("both"))
+    every = scratch.keep("every", stray.select("major", *KEY, "size", "own", "sig", F.lit(True).alias("both")).unionByName(inner))
+    blocks = every.groupBy("major").agg(F.ceil(F.sum(F.when(F.col("both"), F.col("size"))) / BLOCK).alias("strays"), F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    every = scratch.keep("placed", every.join(scratch.keep("blocks", blocks), "major"))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("t2", "t1"), n)
+    columns = [c.split()[0] for c in CELL.split(", ")]
+    first = every.where("both").withColumn("stray", F.lit(True)).withColumn("i", at("strays")).withColumn("j", to("blocks"))
+    second = every.withColumn("stray", F.lit(False)).withColumn("j", at("blocks")).withColumn("i", to("strays"))
+    cells = first.select(columns).unionByName(second.select(columns)).groupBy("major", "i", "j")
+    likely = scratch.keep("likely", cells.applyInArrow(promising, CELL))
+    if likely.isEmpty():
+        return None
+    return likely.join(texts, KEY).groupBy("major", "i", "j").applyInArrow(cell_links, "t1 long, t2 long, l1 long, l2 long")
 
 
 def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -316,53 +336,26 @@ def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``docs`` has ``t1``, ``t2`` and ``text`` without nulls.
     """
-    bands = scratch.keep("bands", banded(docs))
-    spot = F.xxhash64("t1", "t2")
-    shared = bands.groupBy("key").agg(F.min(spot).alias("low"), F.max(spot).alias("top"), F.count(F.lit(1)).alias("n")).where("low < top")
-    # tables that are joined on a bucket are written first: Spark then splits the rows of a large bucket
-    shared = scratch.keep("shared", shared.select("key", "n"))
-    members = scratch.keep("members", bands.join(shared, "key"))
-    scratch.drop("bands", "shared")
-    central = members.groupBy(*KEY).agg(F.sum("n").alias("pull"))
+    sketched = scratch.keep("sketches", sketches(docs).dropDuplicates(KEY))
+    bands = sketched.select(*KEY, "size", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("t1").alias("x1"), F.bit_xor("t2").alias("x2")).where("n > 1")
+    # buckets of the same members are one; what is joined on a bucket is written first: Spark then splits the rows of a large one
+    shared = scratch.keep("shared", shared.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"))
+    held = bands.join(shared, "key").groupBy(*KEY, "size").agg(F.sum("n").alias("pull"), F.collect_list("key").alias("keys"))
+    held = scratch.keep("held", held)
+    members = held.select(*KEY, "size", "pull", F.explode("keys").alias("key"))
     # one row of each text that has company; copies go before anything moves
     one = docs.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))).where("k = 1").select(*KEY, "text")
-    texts = scratch.keep("texts", one.join(central, KEY, "left_semi"))
-    first = scratch.keep("leaders", leaders(members, central))
-    met = fitting(members.join(first, "key"))
-    met = scratch.keep("met", met.groupBy(*KEY, *LEADER).agg(F.count(F.lit(1)).alias("n")))
-    # first the leader that a text meets most often, then its other leaders
-    most = met.groupBy(*KEY).agg(F.max(F.struct("n", "l1", "l2")).alias("m")).select(*KEY, "m.l1", "m.l2")
-    links = scratch.keep("links1", verified(most, texts))
+    texts = scratch.keep("texts", one.join(held.select(*KEY), KEY, "left_semi"))
+    met = fitting(members.join(scratch.keep("leaders", leaders(members)), "key")).select(*KEY, *LEADER).distinct()
+    links = scratch.keep("links", verified(met, texts))
     labels = components(links, scratch, "first")
-    more = joined(met.select(*KEY, *LEADER).join(most, [*KEY, *LEADER], "left_anti"), labels)
-    links = scratch.keep("links2", links.unionByName(verified(more, texts)))
-    labels = components(links, scratch, "second")
-    # then new leaders of buckets that hold several components; who has led a bucket leaves it
-    led = lambda lead: lead.select("key", F.col("l1").alias("t1"), F.col("l2").alias("t2"))
-    met, spent = met.select(*KEY, *LEADER), ["members", "leaders", "texts", "met", "links1", "links2"]
-    left = members.select("key", *KEY, "size").join(led(first), ["key", *KEY], "left_anti").distinct()
-    for number in range(ROUNDS + 1):
-        left = unsettled(left, labels, scratch, f"left{number}")
-        spent.append(f"left{number}")
-        if left.isEmpty():
-            break
-        if number == ROUNDS:
-            new = scratch.keep("rest", rest(left, texts, scratch))
-            spent += ["rest", "blocks", "rest-texts", "cells"]
-        else:
-            lead = scratch.keep(f"leaders-{number}", leaders(left, central, "own"))
-            pairs = fitting(left.join(lead, "key").where("own <> lead_own")).select(*KEY, *LEADER).distinct()
-            swapped = met.select(F.col("l1").alias("t1"), F.col("l2").alias("t2"), F.col("t1").alias("l1"), F.col("t2").alias("l2"))
-            pairs = scratch.keep(f"pairs-{number}", pairs.join(met.unionByName(swapped), [*KEY, *LEADER], "left_anti"))
-            met = met.unionByName(pairs)
-            new = scratch.keep(f"new-{number}", verified(pairs, texts))
-            left = left.drop("own").join(led(lead), ["key", *KEY], "left_anti")
-            spent += [f"leaders-{number}", f"pairs-{number}", f"new-{number}"]
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links, scratch, f"more-{number}")
+    missed = strays_met(held, sketched, texts, labels, scratch)
+    if missed is not None:
+        links = scratch.keep("missed", missed).unionByName(links)
+        labels = components(links, scratch, "second")
     labels = scratch.keep("labels", labels)
-    scratch.drop(*spent)
+    scratch.drop("sketches", "shared", "held", "leaders", "texts", "links", "missed", "own", "mixed", "strays", "every", "blocks", "placed", "likely")
     return labels
 
 

@@ -108,18 +108,36 @@ def copies_without_original(seed, copies, edits):
     return texts
 
 
-@pytest.mark.parametrize("rounds,block", [(3, 100_000), (0, 6_000)])
-def test_near_copies_without_their_original(spark, monkeypatch, rounds, block):
+@pytest.mark.parametrize("copies,block", [(220, 400_000), (220, 6_000), (40, 1_000)])
+def test_near_copies_without_their_original(spark, monkeypatch, copies, block):
     prepare(spark)
-    monkeypatch.setattr(bag_minhash, "ROUNDS", rounds)
     monkeypatch.setattr(bag_minhash, "BLOCK", block)
-    texts = copies_without_original(5, 220 if rounds else 40, [3, 4, 5, 6])
+    texts = copies_without_original(5, copies, [3, 4, 5, 6])
     want = plain_classes(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in bag_minhash.classes(docs).collect()}
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_strays_find_their_links(spark, monkeypatch):
+    """A chain of texts, each similar to its neighbours alone, around a group that most buckets belong to."""
+    prepare(spark)
+    monkeypatch.setattr(bag_minhash, "BLOCK", 2_000)
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    chain = [[r.choice(words) for _ in range(300)]]
+    for _ in range(30):
+        b = chain[-1][:]
+        for k in r.sample(range(300), 5):
+            b[k] = r.choice(words)
+        chain.append(b)
+    texts = [" ".join(b) for b in chain] + copies_without_original(8, 60, [1, 2, 6, 9, 14])
+    want = plain_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.class_id for x in bag_minhash.classes(docs).collect()}
+    assert len(set(want)) > 2 and [got[k] for k in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------ repeated strings
 
 def plain_removal(texts, length):
