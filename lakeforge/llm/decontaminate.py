@@ -1,9 +1,10 @@
 """Benchmark decontamination by broadcast n-gram sets.
 
 The benchmark's normalised windows (13 words; an item of fewer words is one window) are gathered in blocks of at most
-``block_windows`` windows.  Each block is one broadcast, so what is broadcast has a fixed bound however large the
-benchmark is; documents are scanned once per block, and the usual benchmark is one block.  A document's windows are
-looked up by a 64-bit key and every hit is then verified word by word, so no result rests on a hash.
+``block_windows`` windows.  Each block is one broadcast, and a block is destroyed before the next is sent, so what is
+broadcast at any time has a fixed bound however large the benchmark is; documents are scanned once per block, and the usual
+benchmark is one block.  Of several blocks, the hits are written by the text's key and joined to the documents at the end.
+A document's windows are looked up by a 64-bit key and every hit is then verified word by word, so no result rests on a hash.
 
 Words: A-Z is lower-cased, a word is a run of digits, a-z and characters from U+0080 on.  On UTF-8 bytes that is a
 run of ``0-9 a-z \\x80-\\xff``.
@@ -17,13 +18,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_bytes
+from .common import Scratch, map_batches, text_bytes, text_key
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
@@ -129,10 +132,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wind
                     "items": [sorted(set(old) | f[2]) for f, old in zip(found, batch.column("items").to_pylist())]}
         return work
 
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_windows)] or [None]
-    for block in shared:
-        rows = map_batches(rows, scanner(block), schema)
-    return rows
+    parts = blocks(benchmark, window, block_windows)
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        return map_batches(rows, scanner(None if first is None else spark.sparkContext.broadcast(first)), schema)
+    # several blocks: one at a time, each is gone before the next is sent; only hits are kept, under the text's key
+    scratch = Scratch(spark, "decontaminate")
+    t1, t2 = text_key(F.coalesce(F.col("row.text"), F.lit("")))
+    texts = rows.select(F.struct(F.col("row.text").alias("text"), t1.alias("t1"), t2.alias("t2")).alias("row"), "n_words", "spans", "items")
+    hits = []
+    for k, block in enumerate(chain([first, second], parts)):
+        shared = spark.sparkContext.broadcast(block)
+        found = map_batches(texts, scanner(shared), schema.replace(kind.simpleString(), texts.schema["row"].dataType.simpleString(), 1))
+        hits.append(scratch.keep(f"hits{k}", found.where("size(spans) > 0").select("row.t1", "row.t2", "spans", "items").dropDuplicates(["t1", "t2"])))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, hits).groupBy("t1", "t2").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    both = rows.select("row", "n_words", t1.alias("t1"), t2.alias("t2")).join(every, ["t1", "t2"], "left")
+    empty = {c: F.coalesce(c, F.array().cast(f"array<{t}>")) for c, t in (("spans", "long"), ("items", "string"))}
+    return map_batches(both.withColumns(empty).select("row", "n_words", "spans", "items"), scanner(None), schema)
 
 
 def judged(scanned: DataFrame) -> DataFrame:
