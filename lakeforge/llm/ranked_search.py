@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_schema
 
 #: Documents per item; documents of a shard; factor by which a step's floor falls; terms of a block of items.
-TOP, SHARD, STEP, BLOCK = 50, 16_384, 4, 200_000
+TOP, SHARD, STEP, BLOCK = 50, 4_096, 4, 200_000
 #: Maximal runs of digits, a-z and characters from U+0080 on, after A-Z is lower-cased, on UTF-8 bytes.
 TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rows of an Arrow batch of terms.
@@ -111,7 +111,6 @@ def shards(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = SHAR
     schema = arrow_schema(ddl)
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         order = pa.compute.sort_indices(table.select(["doc_id", "doc"]), sort_keys=[("doc_id", "ascending"), ("doc", "ascending")], null_placement="at_end")
         doc = table.column("doc").take(order).to_numpy()
         first = np.concatenate(([True], doc[1:] != doc[:-1]))
