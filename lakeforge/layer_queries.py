@@ -153,3 +153,49 @@ def quality_observed(spark, sf_dir):
     names = list(observed)
     long = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(observed[n]).cast("long").alias("observed"), F.col(f"`{n}`").alias("stored")) for n in names])).alias("m"))
     return long.select("m.*")
+
+
+@register("mart_by_day", """
+SELECT event_type, count(event_id) AS events, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS units, min(ts) AS first_ts, max(ts) AS last_ts,
+       count(DISTINCT user_id) AS users
+FROM events GROUP BY event_type
+""")
+def mart_by_day(spark, sf_dir):
+    """A mart kept by day. Its first load lacks late events of two days and has a day too many; these three are refreshed."""
+    import datetime as dt
+
+    from .operators.day_mart import DayMart
+
+    events = table(spark, sf_dir, "events")
+    late = (F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-12") & (F.col("event_type") == "purchase")
+    extra = events.where("ts < '2024-01-02'").withColumn("ts", F.col("ts") - F.expr("INTERVAL 10 DAYS"))
+    days = [dt.date(2024, 1, 10), dt.date(2024, 1, 11), *(dt.date(2023, 12, d) for d in (22, 23))]
+    mart = DayMart(spark, work_path(spark, "mart"), "ts", ["event_type"], {
+        "events": ("count", "event_id"), "units": ("sum", F.floor("value")), "first_ts": ("min", "ts"), "last_ts": ("max", "ts"), "users": ("distinct", "user_id")})
+    mart.refresh(events.where(~late).unionByName(extra))
+    mart.refresh(events, days)
+    return mart.read()
+
+
+@register("external_refresh", """
+SELECT event_id, event_type, strftime(ts, '%Y') AS P_Year, strftime(ts, '%m') AS P_Month, strftime(ts, '%d') AS P_Day
+FROM events WHERE strftime(ts, '%Y-%m-%d') <> '2024-01-03'
+""")
+def external_refresh(spark, sf_dir):
+    """An external table over the first days; later days' folders come, one goes, and only these are added and dropped."""
+    import uuid
+
+    from .plans import publish
+    from .session import hadoop_fs
+    from .sources.tables import create_database
+
+    path, db = work_path(spark, "external"), f"refresh_{uuid.uuid4().hex[:12]}"
+    events = publish.with_day_partitions(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "ts").drop("ts")
+    publish.write_day_partitioned(events.where("P_Day <= '20'"), path)
+    create_database(spark, db, f"{path}.db")
+    publish.create_external_table(spark, f"{db}.events", path, ["event_id bigint", "event_type string"])
+    publish.write_day_partitioned(events.where("P_Day > '20'"), path)
+    fs, gone = hadoop_fs(spark, f"{path}/P_Year=2024/P_Month=01/P_Day=03")
+    fs.delete(gone, True)
+    publish.refresh_changed_partitions(spark, f"{db}.events")
+    return spark.table(f"{db}.events")

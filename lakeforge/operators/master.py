@@ -13,13 +13,13 @@ opened.  Inside, columns have names of the table's own, so no user column clashe
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.manifest import ManifestLog
 from ..session import hadoop_fs
 from .silver import dedupe_latest
 
@@ -32,33 +32,11 @@ class StoredMaster:
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
-
-    def _manifest_files(self) -> list[int]:
-        fs, folder = hadoop_fs(self.spark, f"{self.path}/manifests")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and n.split(".")[0].isdigit())
+        self.log = ManifestLog(spark, self.path)
 
     def manifest(self) -> dict | None:
         """The current state: ``load``, ``schema``, ``buckets`` and ``folders`` (bucket -> load that wrote it)."""
-        loads = self._manifest_files()
-        if not loads:
-            return None
-        lines = self.spark.read.text(f"{self.path}/manifests/{loads[-1]}.json", wholetext=True).first()[0]
-        return json.loads(lines)
-
-    def _publish(self, state: dict) -> None:
-        """Write the manifest aside and rename it into place; refuse if that number is taken."""
-        jvm = self.spark.sparkContext._jvm
-        fs, target = hadoop_fs(self.spark, f"{self.path}/manifests/{state['load']}.json")
-        aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/.{state['load']}-{self.spark.sparkContext.applicationId}.tmp")
-        out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if fs.exists(target) or not fs.rename(aside, target):
-            fs.delete(aside, False)
-            raise RuntimeError(f"load {state['load']} of {self.path} was published by another writer; read the master and try again")
+        return self.log.latest()
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int").alias(BUCKET)
@@ -123,5 +101,5 @@ class StoredMaster:
         schema = StructType()
         for c, kind in columns.items():
             schema = schema.add(c, kind)
-        self._publish({"load": load, "keys": self.keys, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": folders})
+        self.log.publish({"load": load, "keys": self.keys, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": folders})
         return sorted(int(b) for b, of in folders.items() if of == load)

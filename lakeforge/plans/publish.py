@@ -21,6 +21,7 @@ import datetime as dt
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +122,56 @@ def refresh_external_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"REFRESH TABLE {quote_ident(name)}")
 
 
+def _folder_specs(spark: SparkSession, location: str, columns: Sequence[str]) -> set[str]:
+    """The partition folders below ``location`` (``a=1/b=2``), listed level by level; a missing location has none."""
+    level = [""]
+    for column in columns:
+        below = []
+        for parent in level:
+            fs, path = hadoop_fs(spark, f"{location}/{parent}")
+            if not fs.exists(path):
+                continue
+            names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+            below += [f"{parent}/{n}".lstrip("/") for n in names if n.startswith(f"{column}=")]
+        level = below
+    return set(level)
+
+
+def _spec_clause(folder: str) -> str:
+    """``PARTITION (...)`` of a partition folder, whose values are escaped as Spark writes them."""
+    pairs = [part.split("=", 1) for part in folder.split("/")]
+    value = lambda v: "NULL" if v == "__HIVE_DEFAULT_PARTITION__" else quote_text(unquote(v))
+    return f"PARTITION ({', '.join(f'{quote_ident(c)} = {value(v)}' for c, v in pairs)})"
+
+
+#: Partitions named in one statement of a refresh.
+SPECS_PER_STATEMENT = 200
+
+
+def refresh_changed_partitions(spark: SparkSession, name: str) -> tuple[list[str], list[str]]:
+    """Bring an external table's partitions in line with its folders; (folders added, folders dropped).
+
+    What the catalog knows is held against the folders that are there, and only the difference is added or dropped.  Files
+    are not listed: only folders are, a call for each but the last level (with day columns, one a month).  New files in a
+    known folder are seen by the next read.  A table without partitions is only read afresh.
+    """
+    table = spark.catalog.getTable(name)
+    if table.tableType != "EXTERNAL":
+        raise ValueError(f"{name} is not external: its folders are its own")
+    columns = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    added: list[str] = []
+    dropped: list[str] = []
+    if columns:
+        known = {r.partition for r in spark.sql(f"SHOW PARTITIONS {quote_ident(name)}").toLocalIterator()}
+        there = _folder_specs(spark, table_location(spark, name), columns)
+        added, dropped = sorted(there - known), sorted(known - there)
+        for folders, verb, sep in ((added, "ADD IF NOT EXISTS", " "), (dropped, "DROP IF EXISTS", ", ")):
+            for k in range(0, len(folders), SPECS_PER_STATEMENT):
+                spark.sql(f"ALTER TABLE {quote_ident(name)} {verb} {sep.join(_spec_clause(f) for f in folders[k:k + SPECS_PER_STATEMENT])}")
+    spark.sql(f"REFRESH TABLE {quote_ident(name)}")
+    return added, dropped
+
+
 def create_internal_table(spark: SparkSession, name: str, columns: Sequence[str],
                           partition_cols: Sequence[str] = DAY_PARTITION_COLUMNS) -> None:
     """Create the published table if it does not exist (day columns as text)."""

@@ -60,7 +60,7 @@ def test_master_failed_and_rival_loads_change_nothing(spark):
         master.upsert(spark.range(5).select(F.col("id").alias("k"), F.expr("if(id = 3, raise_error('broken'), 'z')").alias("v")))
     assert {r.v for r in master.read().collect()} == {"a"}
     with pytest.raises(RuntimeError):  # the number is taken
-        master._publish({**master.manifest(), "load": 0})
+        master.log.publish({**master.manifest(), "load": 0})
     assert master.read().count() == 10
 
 
