@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .registry import register, table
-from .session import work_path
+from .session import measured, work_path
 
 
 @register("master_upsert", """
@@ -64,7 +64,7 @@ def satellite_history(spark, sf_dir):
     from .operators import history
 
     path = work_path(spark, "satellite")
-    every = history.versions(table(spark, sf_dir, "events"), ["user_id"], ["event_type"], "ts", ["event_id"])
+    every = measured(history.versions(table(spark, sf_dir, "events"), ["user_id"], ["event_type"], "ts", ["event_id"]), "versions")
     history.load_satellite(path, every.where("valid_from >= '2024-01-15'"))
     history.load_satellite(path, every)
     if history.load_satellite(path, every):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import hadoop_fs, measured
@@ -65,35 +65,66 @@ def versions(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], vali
     """``entity_key``, keys, attributes, ``valid_from``, ``hash_diff``: one row per key and time.
 
     Of several rows at one time the one with the greatest ``order`` columns counts (end it with a unique column); rows
-    without a time are left out, as nothing says when they held.
+    without a time are left out, as nothing says when they held.  Rows are shuffled once, before the hashes are taken.
     """
-    diff = F.xxhash64(key_text(*[f"`{c}`" for c in attributes])), F.xxhash64(F.lit(1), key_text(*[f"`{c}`" for c in attributes]))
+    whole = key_text(*[f"`{c}`" for c in attributes])
+    diff = F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
+    rank = [*order, *attributes]
     rows = df.where(F.col(valid_from).isNotNull()).select(
-        entity_key(keys).alias("entity_key"), *keys, *attributes, F.col(valid_from).alias("valid_from"), F.struct(*[x.alias(n) for x, n in zip(diff, ("a", "b"))]).alias("hash_diff"),
-        F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate([*order, *attributes])]).alias("rank"))
-    last = Window.partitionBy("entity_key", "valid_from").orderBy(F.desc("rank"))
-    return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "rank")
+        key_text(*[f"`{c}`" for c in keys]).alias("key"), F.struct(*keys, *attributes, F.col(valid_from).alias("valid_from")).alias("row"),
+        *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
+    of_rank = [f"o{k}" if k < len(order) else f"row.`{c}`" for k, c in enumerate(rank)]
+    last = Window.partitionBy("key", "row.valid_from").orderBy(*[F.desc(c) for c in of_rank])
+    one = rows.withColumn("n", F.row_number().over(last)).where("n = 1").select("row.*")
+    return one.select(entity_key(keys).alias("entity_key"), *keys, *attributes, "valid_from", diff.alias("hash_diff"))
+
+
+#: Entities are counted in so many buckets; those of a bucket of more than ``HOT`` rows are worked on by spans of time.
+BUCKETS, HOT = 65_536, 100_000
+
+
+def _parted(rows: DataFrame, of: DataFrame, span: str) -> DataFrame:
+    """``rows`` dealt by ``entity_key`` (as bytes) and ``__part``: the span of time where an entity of ``of`` may have many
+    rows, else NULL.  One shuffle; the windows and joins by these two columns that follow need no other."""
+    def bucket(df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(df["entity_key"]), F.lit(BUCKETS)).cast("int").alias("__bucket")
+
+    large = of.groupBy(bucket(of)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("__bucket", F.lit(True).alias("__hot"))
+    dealt = rows.select("*", bucket(rows)).join(F.broadcast(large), "__bucket", "left")
+    dealt = dealt.withColumn("__part", F.when(F.col("__hot"), F.date_trunc(span, "valid_from"))).withColumn("entity_key", F.unhex("entity_key"))
+    return dealt.drop("__bucket", "__hot").repartition("entity_key", "__part")
+
+
+def _inside() -> WindowSpec:
+    return Window.partitionBy("entity_key", "__part").orderBy("valid_from")
+
+
+def _across() -> WindowSpec:
+    return Window.partitionBy("entity_key").orderBy("__part")
+
+
+def _beginnings(part: DataFrame) -> DataFrame:
+    """The rows of ``_parted`` rows that begin an interval: those that differ from the row before."""
+    ends = part.where("__part IS NOT NULL").groupBy("entity_key", "__part").agg(F.max_by("hash_diff", "valid_from").alias("last"))
+    ends = ends.select("entity_key", "__part", F.lag("last").over(_across()).alias("earlier"))
+    marked = part.withColumn("n", F.row_number().over(_inside())).withColumn("before", F.lag("hash_diff").over(_inside())).join(ends, ["entity_key", "__part"], "left")
+    before = F.when(F.col("n") == 1, F.col("earlier")).otherwise(F.col("before"))
+    return marked.where(~before.eqNullSafe(F.col("hash_diff"))).drop("n", "before", "earlier")
 
 
 def intervals(rows: DataFrame, span: str = "day") -> DataFrame:
     """Effective intervals.  ``rows`` as from ``versions``; runs of equal attributes become one row with
     ``valid_from`` and ``valid_to`` (NULL for the current one).
 
-    Gaps and islands in two steps, so that a key with a third of all rows is no single task: inside each (key, span of
-    time) by windows, and between spans by one row per key and span.
+    Gaps and islands by windows over an entity's rows.  Where an entity may have many rows (a key with a third of all
+    is no single task) in two steps: inside each (key, span of time), and between spans by one row per key and span.
     """
-    part = rows.withColumn("span", F.date_trunc(span, "valid_from"))
-    inside = Window.partitionBy("entity_key", "span").orderBy("valid_from")
-    across = Window.partitionBy("entity_key").orderBy("span")
-    ends = part.groupBy("entity_key", "span").agg(F.max_by("hash_diff", "valid_from").alias("last"))
-    ends = ends.select("entity_key", "span", F.lag("last").over(across).alias("earlier"))
-    marked = part.withColumn("n", F.row_number().over(inside)).withColumn("before", F.lag("hash_diff").over(inside)).join(ends, ["entity_key", "span"])
-    before = F.when(F.col("n") == 1, F.col("earlier")).otherwise(F.col("before"))
-    kept = marked.where(~before.eqNullSafe(F.col("hash_diff"))).drop("n", "before", "earlier")
-    starts = kept.groupBy("entity_key", "span").agg(F.min("valid_from").alias("start"))
-    starts = starts.select("entity_key", "span", F.lead("start").over(across).alias("later"))
-    closed = kept.withColumn("next", F.lead("valid_from").over(inside)).join(starts, ["entity_key", "span"])
-    return closed.withColumn("valid_to", F.coalesce("next", "later")).drop("span", "next", "later")
+    kept = _beginnings(_parted(rows, rows, span))
+    starts = kept.where("__part IS NOT NULL").groupBy("entity_key", "__part").agg(F.min("valid_from").alias("start"))
+    starts = starts.select("entity_key", "__part", F.lead("start").over(_across()).alias("later"))
+    closed = kept.withColumn("next", F.lead("valid_from").over(_inside())).join(starts, ["entity_key", "__part"], "left")
+    closed = closed.withColumn("valid_to", F.coalesce("next", "later")).withColumn("entity_key", F.lower(F.hex("entity_key")))
+    return closed.select(*rows.columns, "valid_to")
 
 
 def load_satellite(path: str, changes: DataFrame, span: str = "day") -> int:
@@ -101,20 +132,23 @@ def load_satellite(path: str, changes: DataFrame, span: str = "day") -> int:
 
     Insert only: stored rows are never rewritten.  The history of the keys at hand, stored and new, is run together;
     what starts an interval there and isn't stored is appended.  So a reload adds nothing, and late rows find their
-    place when the history is read (``read_satellite``).
+    place when the history is read (``read_satellite``).  ``changes`` is read more than once: write it down first if it
+    costs more than a scan.
     """
     spark = changes.sparkSession
     fs, folder = hadoop_fs(spark, path)
     if not fs.exists(folder):
-        fresh = intervals(changes, span).drop("valid_to")
+        fresh = _beginnings(_parted(changes, changes, span))
     else:
         stored = spark.read.schema(changes.schema).parquet(path)
-        own = stored.join(changes.select("entity_key").distinct(), "entity_key", "left_semi").withColumn("stored", F.lit(True))
+        keys = measured(changes.select("entity_key").distinct(), "satellite-keys")
+        own = stored.join(keys, "entity_key", "left_semi").withColumn("stored", F.lit(True))
         both = own.unionByName(changes.withColumn("stored", F.lit(False)))
-        same = Window.partitionBy("entity_key", "valid_from").orderBy(F.desc("stored"))
-        one = both.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n")
-        fresh = intervals(one, span).where("NOT stored").drop("stored", "valid_to")
-    fresh = measured(fresh.select(*changes.columns), "satellite")
+        of = stored.select("entity_key").unionByName(changes.select("entity_key"))
+        same = Window.partitionBy("entity_key", "__part", "valid_from").orderBy(F.desc("stored"))
+        one = _parted(both, of, span).withColumn("n", F.row_number().over(same)).where("n = 1").drop("n")
+        fresh = _beginnings(one).where("NOT stored")
+    fresh = measured(fresh.withColumn("entity_key", F.lower(F.hex("entity_key"))).select(*changes.columns), "satellite")
     added = fresh.count()
     if added:
         fresh.write.mode("append").parquet(path)

@@ -217,3 +217,45 @@ def test_rebalanced_write_counts_nothing(spark):
     tables.write_rebalanced(spark.range(2500).repartition(7), path, max_rows=1000)
     per_file = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in per_file) == 2500 and max(r["count"] for r in per_file) <= 1000
+
+
+@pytest.mark.parametrize("hot", [0, 2, 10**6])
+def test_satellite_of_entities_worked_on_by_spans(spark, monkeypatch, hot):
+    monkeypatch.setattr(H, "HOT", hot, raising=False)
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 1, 1, 2, 3]), T0 + dt.timedelta(hours=r.randint(0, 300)), r.choice([None, "x", "y"]), n) for n in range(200)]
+    df = spark.createDataFrame(rows, "part int, ts timestamp_ntz, hot string, n int")
+    every = H.versions(df, ["part"], ["hot"], "ts", ["n"])
+    want, one = [], {}
+    for k, ts, v, _ in rows:
+        one[k, ts] = v
+    for key in {k for k, _ in one}:
+        line = sorted(((ts, v) for (k, ts), v in one.items() if k == key), key=lambda x: x[0])
+        kept = [x for i, x in enumerate(line) if i == 0 or line[i - 1][1] != x[1]]
+        want += [(key, v, ts, kept[i + 1][0] if i + 1 < len(kept) else None) for i, (ts, v) in enumerate(kept)]
+    path = scratch() + "/sat"
+    H.load_satellite(path, every.where(F.col("valid_from") >= T0 + dt.timedelta(hours=150)))
+    H.load_satellite(path, every)
+    assert H.load_satellite(path, every) == 0
+    got = H.read_satellite(spark, path)
+    assert got.columns == [*every.columns, "valid_to"]
+    assert sorted((tuple(x) for x in got.select("part", "hot", "valid_from", "valid_to").collect()), key=str) == sorted(want, key=str)
+    keys = {x.entity_key for x in got.collect()}
+    assert keys == {x.entity_key for x in every.collect()} and all(len(k) == 64 for k in keys)
+
+
+def test_satellite_load_shuffles_rows_once(spark, monkeypatch):
+    plans, measured = {}, H.measured
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        return measured(df, name)
+
+    monkeypatch.setattr(H, "measured", seen)
+    df = spark.createDataFrame([(k % 5, T0 + dt.timedelta(hours=k), "xy"[k % 2], k) for k in range(40)], "k int, ts timestamp_ntz, v string, n int")
+    path = scratch() + "/sat"
+    every = measured(H.versions(df, ["k"], ["v"], "ts", ["n"]), "versions")
+    H.load_satellite(path, every.where("k < 3"))
+    H.load_satellite(path, every)
+    deals = [line for line in plans["satellite"].splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(deals) <= 6 and not any("valid_from" in line for line in deals), deals
