@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, text_bytes, text_key
+from .common import Scratch, arrow_schema, giving_back, text_bytes, text_key
 
 WORDS = 5
 SLOTS, ROWS = 128, 4
@@ -171,7 +171,7 @@ def sketches(texts: DataFrame) -> DataFrame:
             if bags:
                 yield rows(names, bags)
 
-    return texts.select("t1", "t2", "text").mapInArrow(run, schema)
+    return texts.select("t1", "t2", "text").mapInArrow(giving_back(run), schema)
 
 
 def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
@@ -201,7 +201,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     links.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in links], pa.int64()) for c in (t1, t2, l1, l2)], schema=target)
 
-    return first.join(lead, LEADER).select(*KEY, *LEADER, "text", "lead").mapInArrow(run, schema)
+    return first.join(lead, LEADER).select(*KEY, *LEADER, "text", "lead").mapInArrow(giving_back(run), schema)
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:

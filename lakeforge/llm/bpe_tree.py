@@ -158,7 +158,10 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
         ids = [own.encode(t) for t in text_values(batch.column("text"))]
         return {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [own.decode(i) for i in ids]}
 
-    return map_batches(rows, work, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    def done() -> None:
+        codec(shared.value, pattern).memo.known.clear()
+
+    return map_batches(rows, work, f"doc_id {kind}, n_tokens long, ids binary, decoded binary", done)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -84,3 +84,20 @@ def test_queries_on_awkward_rows(spark, ranked):
     none = docs.limit(0)
     assert token_counts.count_tokens(none, JSON).count() == 0
     assert bpe_tree.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_workers_keep_no_encodings_of_a_task(spark):
+    import pyarrow as pa
+
+    prepare(spark)
+    docs = spark.createDataFrame([(k, awkward(k, 300)) for k in range(40)], "doc_id long, text string").repartition(8)
+    assert bpe_tree.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN).count() == 40
+
+    def run(batches):
+        from lakeforge.llm import bpe_tree as own
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(c.memo.known) for c in own._CODECS.values())], pa.int64())})
+
+    left = [r.n for r in spark.range(800, numPartitions=8).mapInArrow(run, "n long").collect()]
+    assert len(left) == 8 and max(left) == 0
