@@ -132,7 +132,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         ids = [own.encode(t, leaf) for t in text_values(batch.column("text"))]
         return {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids": ids}
 
-    return map_batches(rows, work, f"doc_id {kind}, n_tokens long, ids binary")
+    def done() -> None:
+        codec(shared.value, pattern).memo.known.clear()
+
+    return map_batches(rows, work, f"doc_id {kind}, n_tokens long, ids binary", done)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
